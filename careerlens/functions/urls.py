@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerlens.functions.staging import settle
+
 # Schemes whose references resolve against a base address.
 RELATIVE_SCHEMES = (
     "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp",
@@ -132,9 +134,8 @@ def with_joined_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
         .when(c(t + "h") != "", assemble(c(t + "bs"), c(t + "h"), c(t + "pp"), c(t + "q")))
         .otherwise(assemble(c(t + "bs"), c(t + "bh"), c(t + "np"), c(t + "nq")))
     )
-    df = df.withColumn(t + "out", F.when(raw.isNotNull() & b.isNotNull(), result))
     keep = [x for x in df.columns if not x.startswith(t) and x != out]
-    return df.select(*keep, c(t + "out").alias(out))
+    return settle(df, keep, {out: F.when(raw.isNotNull() & b.isNotNull(), result)})
 
 
 def with_clean_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
@@ -162,7 +163,7 @@ def with_clean_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
         ),
     )
     keep = [x for x in df.columns if not x.startswith("__k_") and x != out]
-    return df.select(*keep, clean.alias(out))
+    return settle(df, keep, {out: clean})
 
 
 def with_record_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
@@ -176,4 +177,4 @@ def with_record_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
         .otherwise(c("__v_join"))
     )
     keep = [x for x in df.columns if not x.startswith("__v_") and x != out]
-    return df.select(*keep, full.alias(out))
+    return settle(df, keep, {out: full})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from careerlens.functions.markup import (
     attribute, joined_text, marked_text, plain_text, visible)
+from careerlens.functions.staging import settle
 from careerlens.functions.text import first_nonblank
 
 _START = r"(?i)<a(?=\s)"
@@ -34,19 +35,15 @@ def extract_anchors(pages: DataFrame, html: str = "html") -> DataFrame:
         F.regexp_extract("__piece", _ATTRS, 1).alias("__attrs"),
         F.regexp_replace(F.regexp_replace("__piece", _ATTRS, ""), _INNER_END, "").alias("__inner"),
     )
-    rows = rows.withColumns({
+    rows = settle(rows, [*rest, "pos"], {
         "href": attribute(F.col("__attrs"), "href"),
+        "__label": first_nonblank(attribute(F.col("__attrs"), "aria-label"), attribute(F.col("__attrs"), "title")),
         "__marked": marked_text(F.col("__inner")),
     })
-    return rows.filter(F.col("href") != "").select(
-        *rest, "pos", "href",
-        plain_text(F.col("__marked")).alias("anchor_text"),
-        first_nonblank(
-            joined_text(F.col("__marked"), ""),
-            attribute(F.col("__attrs"), "aria-label"),
-            attribute(F.col("__attrs"), "title"),
-        ).alias("anchor_title"),
-    )
+    return settle(rows.filter(F.col("href") != ""), [*rest, "pos", "href"], {
+        "anchor_text": plain_text(F.col("__marked")),
+        "anchor_title": first_nonblank(joined_text(F.col("__marked"), ""), F.col("__label")),
+    })
 
 
 def text_anchors(pages: DataFrame, html: str = "html") -> DataFrame:

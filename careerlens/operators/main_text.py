@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from careerlens.functions.markup import joined_text, marked_text, visible
+from careerlens.functions.staging import settle
 from careerlens.operators.dom import parse_page
 
 REGIONS = ("main", "article", "body")
@@ -57,4 +58,4 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "main_text") -> D
     df = df.withColumn("__hard", F.when(nested, F.col(html)))
     native = joined_text(marked_text(F.col("__body")), " ")
     text = F.when(F.col("__hard").isNull(), native).otherwise(_parsed_main_text(F.col("__hard")))
-    return df.select(*[c for c in pages.columns if c != out], text.alias(out))
+    return settle(df.withColumn("__text", text), [c for c in pages.columns if c != out], {out: F.col("__text")})

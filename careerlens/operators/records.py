@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerlens.functions.staging import settle
 from careerlens.functions.text import bounded, contains_any, strip
 from careerlens.functions.urls import section_url
 from careerlens.lexicon import SectionPolicy
@@ -30,7 +31,7 @@ def with_section_title(blocks: DataFrame, policy: SectionPolicy = SectionPolicy(
                 & (F.length(line) < policy.division_max))
 
     df = df.withColumn("__lines", lines)
-    df = df.withColumns({
+    df = settle(df, df.columns, {
         "__role_at": F.array_position(F.transform("__lines", is_role), True),
         "__div_at": F.array_position(F.transform("__lines", is_division), True),
     })

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlens.functions import urls
+from careerlens.functions.staging import settle
 from careerlens.functions.text import (
     contains_any, exists_in, hits_of_column, matches_keywords, strip)
 from careerlens.lexicon import (
@@ -22,7 +23,7 @@ def with_matched_keywords(df: DataFrame, text: Column, keywords: str = "keywords
                           out: str = "matched_keywords") -> DataFrame:
     """Keep rows whose text holds at least one keyword of their own array column."""
     hits = hits_of_column(F.lower(text), F.col(keywords))
-    return df.withColumn(out, hits).filter(F.size(out) > 0)
+    return settle(df, [c for c in df.columns if c != out], {out: hits}).filter(F.size(out) > 0)
 
 
 def keyword_pairs(df: DataFrame, text: Column, keywords: Sequence[str]) -> DataFrame:

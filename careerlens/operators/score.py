@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerlens.functions.staging import settle
 from careerlens.functions.text import contains_any, hit_count, hit_list
 from careerlens.functions.vectors import cosine, norm
 from careerlens.lexicon import (
@@ -112,10 +113,10 @@ def adjustments(lexicon: Lexicon) -> Column:
         F.when(F.col("penalty_term").isNotNull(), F.concat(
             signed(F.col("penalty")), F.lit(" seniority ("), F.col("penalty_term"), F.lit(")"))),
         F.when(F.col("degree") == lexicon.doctorate_weight,
-               F.concat(signed(F.col("degree")), F.lit(" doctorate preferred")))
+               F.concat(signed(F.col("degree")), F.lit(" PhD preferred (not required)")))
         .when(F.col("degree") == lexicon.masters_weight,
-              F.concat(signed(F.col("degree")), F.lit(" masters preferred"))),
-        F.when(F.col("bachelor") != 0, F.concat(signed(F.col("bachelor")), F.lit(" bachelor level"))),
+              F.concat(signed(F.col("degree")), F.lit(" Masters preferred"))),
+        F.when(F.col("bachelor") != 0, F.concat(signed(F.col("bachelor")), F.lit(" bachelor's level"))),
         F.when(F.col("domain_hits") > 0, F.concat(
             signed(F.col("domain_boost")), F.lit(" keywords ("),
             F.col("domain_hits").cast("string"), F.lit(" matches)"))),
@@ -135,10 +136,11 @@ def score(df: DataFrame, profile: DataFrame, lexicon: Lexicon = Lexicon(), text:
     """
     df = with_stages(df, lexicon, text)
     df = with_similarity(df, profile, vec, when=F.col("reject_reason").isNull())
-    df = df.withColumn("score", total_score(F.col("similarity")))
+    added = {"score": total_score(F.col("similarity"))}
     if explain:
-        return df.withColumn("adjustments", adjustments(lexicon))
-    return df.drop(*STAGE_COLUMNS)
+        return settle(df, df.columns, {**added, "adjustments": adjustments(lexicon)})
+    keep = [c for c in df.columns if c not in (*STAGE_COLUMNS, "reject_reason", "similarity")]
+    return settle(df, keep, {n: F.col(n) for n in ("reject_reason", "similarity")} | added)
 
 
 def encode_survivors(df: DataFrame, encoder, lexicon: Lexicon = Lexicon(), text: str = "text",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerlens.functions.staging import settle
 from careerlens.functions.text import hits_of_column
 from careerlens.functions.urls import with_clean_url
 from careerlens.lexicon import LinkPolicy
@@ -13,8 +14,6 @@ from careerlens.operators.dedup import first_per_key
 from careerlens.operators.dom import link_groups
 from careerlens.operators.rules import is_posting_link
 
-JUNCTION = 200
-
 
 def pages_of_targets(pages: DataFrame, targets: DataFrame, on: str = "site") -> DataFrame:
     """Equi-join of landed pages with their target (side table without a hint:
@@ -33,7 +32,8 @@ def native_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy()) -> DataF
     links = text_anchors(pages)
     links = with_clean_url(links, "href", "page_url", "url").filter(F.col("url").isNotNull())
     links = links.filter(is_posting_link(F.col("url"), F.col("anchor_text"), policy))
-    links = links.withColumn("matched_keywords", hits_of_column(F.lower("anchor_text"), F.col("keywords")))
+    links = settle(links, links.columns, {
+        "matched_keywords": hits_of_column(F.lower("anchor_text"), F.col("keywords"))})
     return _first_matches(links).select(
         "company", "page_id", "pos", F.col("anchor_text").alias("title"), "url", "matched_keywords")
 
@@ -65,7 +65,7 @@ def context_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy(), **conta
     links = links.withColumn("__near", near)
     matched = F.filter("keywords", lambda k: F.array_contains(F.col("__around"), k)
                        | F.contains(F.col("__near"), F.lower(k)))
-    links = links.withColumn("matched_keywords", matched)
+    links = settle(links, links.columns, {"matched_keywords": matched})
     return _first_matches(links).select(
         "company", "page_id", "pos", F.col("anchor_text").alias("title"), "url", "matched_keywords")
 

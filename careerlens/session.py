@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", name: str = "careerlens", partitions:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

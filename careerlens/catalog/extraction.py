@@ -9,7 +9,7 @@ from careerlens.functions import urls
 from careerlens.functions.text import bounded, first_line_title, first_nonblank
 from careerlens.lexicon import GRADUATE_TERMS, SectionPolicy
 from careerlens.operators.anchors import text_anchors, titled_anchors
-from careerlens.operators.dom import Pick, RecordRule, dom_links, extract_records
+from careerlens.operators.dom import Pick, RecordRule, dom_links, extract_records, scoped_links
 from careerlens.operators.main_text import main_text
 from careerlens.operators.records import section_records, with_fallback_rows, with_section_title
 from careerlens.sources import standins as fx
@@ -153,9 +153,18 @@ select page_id, pos, href, anchor_text from anchors join boxes using (page_id) w
 def ex2(spark, sf):
     # no page of the test data has such a container, so each is searched as a whole
     links = dom_links(fx.pages(spark, sf), with_context=False)
-    scoped = links.groupBy("page_id").agg(F.max("in_container").alias("scoped"))
-    kept = links.join(scoped, "page_id").filter(F.col("in_container") | ~F.col("scoped"))
-    return kept.filter("anchor_text != ''").select("page_id", "pos", "href", "anchor_text")
+    return scoped_links(links).filter("anchor_text != ''").select("page_id", "pos", "href", "anchor_text")
+
+
+@query("ex2_scoped_anchors", using="fx_pages", sql=f"""
+with {ANCHORS} select page_id, pos, href, anchor_text from anchors""")
+def ex2b(spark, sf):
+    # every page gets a container around its navigation and one without links
+    html = F.replace(F.replace(F.col("html"), F.lit("<nav>"), F.lit('<div class="Open-Positions">')),
+                     F.lit("</nav>"), F.lit('</div><div class="careers">none</div>'))
+    html = F.replace(html, F.lit("<footer>"), F.lit('<footer><a href="/outside">outside</a>'))
+    links = dom_links(fx.pages(spark, sf).withColumn("html", html), with_context=False)
+    return scoped_links(links).select("page_id", "pos", "href", "anchor_text")
 
 
 @query("ex3_parent_context", using="fx_pages", sql=r"""

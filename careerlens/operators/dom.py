@@ -156,18 +156,46 @@ def _select(root: Node, picks) -> list[Node]:
 
 # ------------------------------------------------------------------- links
 
-_GROUP_SCHEMA = (
-    "page_id bigint, parent_pos int, parent_text string, "
-    "links array<struct<pos:int,href:string,anchor_text:string,anchor_title:string,in_container:boolean>>"
-)
+_LINK = "struct<pos:int,href:string,anchor_text:string,anchor_title:string,in_container:boolean>"
+_GROUP_SCHEMA = f"parent_pos int, parent_text string, has_container boolean, links array<{_LINK}>"
+
+
+def _page_links(root: Node, holds_links) -> tuple[dict[int, tuple[Node, list]], bool]:
+    """Links of one page by parent element, and whether it has a container."""
+    groups: dict[int, tuple[Node, list]] = {}
+    inside: set[int] = set()  # elements at or below a container
+    pos, scoped = 0, False
+    for node in root.walk():
+        own = holds_links(node)
+        scoped = scoped or own
+        if own or node.parent.order in inside:
+            inside.add(node.order)
+        if node.tag != "a" or "href" not in node.attrs:
+            continue
+        pos += 1
+        title = (
+            node.text(stripped=True)
+            or node.attrs.get("aria-label", "").strip(BLANKS)
+            or node.attrs.get("title", "").strip(BLANKS)
+        )
+        entry = {
+            "pos": pos, "href": node.attrs["href"],
+            "anchor_text": node.text().strip(BLANKS), "anchor_title": title,
+            "in_container": node.parent.order in inside,
+        }
+        groups.setdefault(node.parent.order, (node.parent, []))[1].append(entry)
+    return groups, scoped
 
 
 def link_groups(
     pages: DataFrame,
+    carry: tuple[str, ...] = (),
     container_terms: tuple[str, ...] = CONTAINER_CLASS_TERMS,
     container_tags: tuple[str, ...] = CONTAINER_TAGS,
+    html: str = "html",
 ) -> DataFrame:
-    """Anchors of each page, one row per parent element.
+    """Anchors of each page, one row per parent element, with ``page_id`` and
+    the ``carry`` columns.
 
     Grouping by parent keeps the surrounding text once instead of once per
     link, so the output never outgrows the page by the number of its links.
@@ -177,46 +205,39 @@ def link_groups(
         names = node.attrs.get("class", "").lower()
         return node.tag in container_tags and any(t in names for t in container_terms)
 
+    kept = ["page_id", *carry]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*kept, "parent_pos", "parent_text", "has_container", "links"]
         for batch in batches:
             out = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                groups: dict[int, tuple[Node, list]] = {}
-                inside: set[int] = set()  # orders of elements at or below a container
-                pos = 0
-                for node in parse_page(html).walk():
-                    if node.parent.order in inside or holds_links(node):
-                        inside.add(node.order)
-                    if node.tag != "a" or "href" not in node.attrs:
-                        continue
-                    pos += 1
-                    title = (
-                        node.text(stripped=True)
-                        or node.attrs.get("aria-label", "").strip(BLANKS)
-                        or node.attrs.get("title", "").strip(BLANKS)
-                    )
-                    entry = {
-                        "pos": pos, "href": node.attrs["href"],
-                        "anchor_text": node.text().strip(BLANKS), "anchor_title": title,
-                        "in_container": node.parent.order in inside,
-                    }
-                    groups.setdefault(node.parent.order, (node.parent, []))[1].append(entry)
+            for *values, source in zip(*(batch[c] for c in kept), batch[html]):
+                groups, scoped = _page_links(parse_page(source), holds_links)
                 for order, (parent, links) in groups.items():
-                    out.append((page_id, order, parent.text(), links))
-            yield pd.DataFrame(out, columns=["page_id", "parent_pos", "parent_text", "links"])
+                    out.append((*values, order, parent.text(), scoped, links))
+            yield pd.DataFrame(out, columns=names)
+
+    source = pages.filter(F.col(html).rlike(r"(?i)<a\s")).select(*kept, html)
+    own = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n != html)
+    return source.mapInPandas(run, f"{own}, {_GROUP_SCHEMA}")
 
-    source = pages.filter(F.col("html").rlike(r"(?i)<a\s")).select("page_id", "html")
-    return source.mapInPandas(run, _GROUP_SCHEMA)
+
+IN_SCOPE = "in_container or not has_container"
 
 
 def dom_links(pages: DataFrame, with_context: bool = True, **kwargs) -> DataFrame:
     """One row per link with the text of its parent element as context."""
     groups = link_groups(pages, **kwargs)
     rows = groups.select(
-        "page_id", *(["parent_text"] if with_context else []), F.inline("links"))
+        "page_id", "has_container", *(["parent_text"] if with_context else []), F.inline_outer("links"))
     return rows.filter(F.col("href") != "")
 
 
+def scoped_links(links: DataFrame) -> DataFrame:
+    """Links inside the containers of their page; all of them if it has none."""
+    return links.filter(IN_SCOPE)
+
+
 # ----------------------------------------------------------------- records
 
 @dataclass(frozen=True)

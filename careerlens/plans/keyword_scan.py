@@ -11,7 +11,7 @@ from careerlens.functions.urls import with_clean_url
 from careerlens.lexicon import LinkPolicy
 from careerlens.operators.anchors import text_anchors
 from careerlens.operators.dedup import first_per_key
-from careerlens.operators.dom import link_groups
+from careerlens.operators.dom import link_groups, scoped_links
 from careerlens.operators.rules import is_posting_link
 
 
@@ -45,19 +45,16 @@ def context_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy(), **conta
     keyword may also straddle the link text and the start of that text; the
     start kept for this test is longer than any keyword can reach.
     """
-    groups = link_groups(pages, **container)
-    meta = pages.select("page_id", "company", "page_url", "keywords")
-    joined = groups.join(meta, "page_id")
+    groups = link_groups(pages, ("company", "page_url", "keywords"), **container)
     longest = F.array_max(F.transform("keywords", F.length))
-    joined = joined.withColumns({
+    groups = groups.withColumns({
         "__around": hits_of_column(F.lower("parent_text"), F.col("keywords")),
         "__start": F.substring(F.col("parent_text"), F.lit(1), F.coalesce(longest, F.lit(0))),
     })
-    links = joined.select(
-        "page_id", "company", "page_url", "keywords", "__around", "__start", F.inline("links"))
-    # pages without any container are searched as a whole
-    scoped = links.groupBy("page_id").agg(F.max("in_container").alias("__scoped"))
-    links = links.join(scoped, "page_id").filter(F.col("in_container") | ~F.col("__scoped"))
+    links = groups.select(
+        "page_id", "company", "page_url", "keywords", "has_container", "__around", "__start",
+        F.inline_outer("links"))
+    links = scoped_links(links)
     links = links.filter((F.col("anchor_text") != "") & (F.col("href") != ""))
     links = with_clean_url(links, "href", "page_url", "url").filter(F.col("url").isNotNull())
     links = links.filter(is_posting_link(F.col("url"), F.col("anchor_text"), policy))

@@ -68,8 +68,7 @@ with {_LINKS_SQL}
 select page_id, pos, not {sql_any('lower(url)', LINKS.url_exclusions)} and length(anchor_text) >= 3 as is_valid
 from links""")
 def pr3(spark, sf):
-    ok = rules.is_posting_link(F.col("url"), F.col("anchor_text"), LINKS)
-    return _clean(spark, sf).select("page_id", "pos", ok.alias("is_valid"))
+    return rules.with_link_check(_clean(spark, sf), LINKS).select("page_id", "pos", "is_valid")
 
 
 _RULE_ROWS = ", ".join(
@@ -93,7 +92,7 @@ _RULED_SQL = f"""{_LINKS_SQL},
 @query("pr4_title_skip", using="fx_pages", sql=f"with {_RULED_SQL} select page_id, pos, skip from judged")
 def pr4(spark, sf):
     links = rules.with_site_rules(_titled(spark, sf), RULES)
-    return links.select("page_id", "pos", rules.skips_title(F.col("anchor_title"), CORPUS).alias("skip"))
+    return rules.with_title_skip(links, CORPUS, "anchor_title").select("page_id", "pos", "skip")
 
 
 _REASON_SQL = f"""
@@ -111,8 +110,8 @@ _REASON_SQL = f"""
 with {_RULED_SQL} select page_id, pos, url, {_REASON_SQL} as reject_reason from judged""")
 def pr5(spark, sf):
     links = rules.with_site_rules(_titled(spark, sf), RULES)
-    reason = rules.candidate_reject_reason(F.col("url"), F.col("anchor_title"), CORPUS)
-    return links.select("page_id", "pos", "url", reason.alias("reject_reason"))
+    links = rules.with_candidate_reason(links, CORPUS, text="anchor_title")
+    return links.select("page_id", "pos", "url", "reject_reason")
 
 
 _DEFAULT = CandidatePolicy()
@@ -128,8 +127,8 @@ select doc_id, case when length(trim(t)) < 15 or {sql_any('t', _DEFAULT.skip_tit
   when not {sql_any('t', _DEFAULT.role_terms, lower=True)} then 'no_role_word' end as reject_reason
 from c""")
 def pr5_default(spark, sf):
-    rows = rules.with_site_rules(fx.records(spark, sf), ())
-    reason = rules.candidate_reject_reason(F.col("url"), F.col("title"))
+    rows = rules.with_candidate_reason(rules.with_site_rules(fx.records(spark, sf), ()))
+    reason = F.col("reject_reason")
     return rows.select("doc_id", F.when(reason.isin("button", "category"), "label").otherwise(reason)
                        .alias("reject_reason"))
 
@@ -370,8 +369,7 @@ kept as (
   select *, row_number() over (partition by site, url order by page_id, pos) as rn from hits where len(hit) > 0)
 select site, url, page_id, pos, array_to_string(hit, '|') as matched from kept where rn = 1""")
 def wn3(spark, sf):
-    links = _clean(spark, sf)
-    links = links.filter(rules.is_posting_link(F.col("url"), F.col("anchor_text"), LINKS))
+    links = rules.posting_links(_clean(spark, sf), LINKS)
     links = links.withColumn("keywords", F.array(F.lit("The"), F.lit("ich"), F.lit("eau")))
     hits = rules.with_matched_keywords(links, F.col("anchor_text"))
     first = dedup.first_per_key(hits, ["site", "url"], ["page_id", "pos"])

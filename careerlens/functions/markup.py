@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careerlens.functions.text import BLANK_CLASS, strip
+from careerlens.functions.text import BLANK_CLASS, quoted, strip
 
 MARK = "\x01"
 
@@ -39,24 +39,18 @@ NAMED_REFERENCES = (
 _NUMERIC = r"^&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));"
 
 
-def _code_point(piece: Column) -> Column:
-    """Decode a piece that starts with a numeric reference, keep its rest."""
-    hexa = F.regexp_extract(piece, _NUMERIC, 1)
-    deci = F.regexp_extract(piece, _NUMERIC, 2)
-    digits = F.when(hexa != "", hexa).otherwise(F.conv(deci, 10, 16))
-    char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
-    rest = F.regexp_replace(piece, _NUMERIC, "")
-    return F.when(piece.rlike(_NUMERIC), F.concat(char, rest)).otherwise(piece)
-
-
-def decode_references(text: Column) -> Column:
-    """Decode numeric references and the named ones of ``NAMED_REFERENCES``."""
-    numeric = F.array_join(F.transform(F.split(text, "(?=&#)"), _code_point), "")
-    out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    named = out
-    for name, char in NAMED_REFERENCES:
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+def decode_references(name: str) -> Column:
+    """Decode the numeric and the ``NAMED_REFERENCES`` references of a column."""
+    code = (f"lpad(if(regexp_extract(p, r'{_NUMERIC}', 1) != '', regexp_extract(p, r'{_NUMERIC}', 1), "
+            f"conv(regexp_extract(p, r'{_NUMERIC}', 2), 10, 16)), 8, '0')")
+    numeric = (
+        f"if(contains(`{name}`, '&#'), array_join(transform(split(`{name}`, '(?=&#)'), p -> "
+        f"if(p rlike r'{_NUMERIC}', concat(decode(unhex({code}), 'UTF-32'), "
+        f"regexp_replace(p, r'{_NUMERIC}', '')), p)), ''), `{name}`)")
+    named = numeric
+    for ref, char in NAMED_REFERENCES:
+        named = f"replace({named}, '&{ref};', {quoted(char)})"
+    return F.expr(f"if(contains(`{name}`, '&'), {named}, `{name}`)")
 
 
 def visible(html: Column) -> Column:
@@ -65,9 +59,8 @@ def visible(html: Column) -> Column:
 
 
 def marked_text(markup: Column) -> Column:
-    """Text nodes of visible markup, separated by ``MARK``."""
-    tags = F.regexp_replace(F.regexp_replace(markup, _TAG, MARK), _LOOSE_TAG, MARK)
-    return decode_references(tags)
+    """Text nodes of visible markup, separated by ``MARK``, references not yet decoded."""
+    return F.regexp_replace(F.regexp_replace(markup, _TAG, MARK), _LOOSE_TAG, MARK)
 
 
 def joined_text(marked: Column, separator: str) -> Column:
@@ -85,7 +78,7 @@ def plain_text(marked: Column) -> Column:
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    """Value of one attribute in the text of a start tag, '' when absent."""
+    """Value of one attribute in the text of a start tag, '' when absent; references
+    are not yet decoded."""
     rx = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(attrs, rx, g) for g in (1, 2, 3)])
-    return decode_references(value)
+    return F.concat(*[F.regexp_extract(attrs, rx, g) for g in (1, 2, 3)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,11 +35,26 @@ def first_nonblank(*texts: Column) -> Column:
     return F.coalesce(*[blank_to_null(t) for t in texts], F.lit(""))
 
 
-def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    """True when ``text`` holds one of ``terms`` exactly as written."""
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _contains(text: str, term: str) -> str:
+    return f"contains(`{text}`, {quoted(term)})"
+
+
+def contains_any(text: Column | str, terms: Sequence[str]) -> Column:
+    """True when ``text`` holds one of ``terms`` exactly as written.
+
+    A column name gives the same expression as a Column, built in one call;
+    prefer it for long lists.
+    """
     if not terms:
         return F.lit(False)
-    return reduce(or_, [F.contains(text, F.lit(t)) for t in terms])
+    if isinstance(text, str):
+        return F.expr(" or ".join(_contains(text, t) for t in terms))
+    return reduce(or_, [text.contains(t) for t in terms])
 
 
 def matches_keywords(text: Column, terms: Sequence[str]) -> Column:
@@ -49,20 +64,27 @@ def matches_keywords(text: Column, terms: Sequence[str]) -> Column:
     return contains_any(F.lower(text), [t.lower() for t in terms])
 
 
-def hit_count(lowered: Column, terms: Sequence[str]) -> Column:
-    """How many of ``terms`` (case-blind) occur in an already lowered text."""
+def hit_count(lowered: str, terms: Sequence[str]) -> Column:
+    """How many of ``terms`` (case-blind) occur in an already lowered column."""
     if not terms:
         return F.lit(0)
-    return reduce(add, [F.contains(lowered, F.lit(t.lower())).cast("int") for t in terms])
+    return F.expr(" + ".join(f"cast({_contains(lowered, t.lower())} as int)" for t in terms))
 
 
-def hit_list(lowered: Column, terms: Sequence[str]) -> Column:
-    """The terms found in an already lowered text, in list order and case."""
+def hit_list(lowered: str, terms: Sequence[str]) -> Column:
+    """The terms found in an already lowered column, in list order and case."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(
-        F.array(*[F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms])
-    )
+    tests = ", ".join(f"if({_contains(lowered, t.lower())}, {quoted(t)}, null)" for t in terms)
+    return F.expr(f"array_compact(array({tests}))")
+
+
+def first_hit(lowered: str, terms: Sequence[str]) -> Column:
+    """1-based place of the first of ``terms`` found, NULL when there is none."""
+    if not terms:
+        return F.lit(None).cast("int")
+    tests = " ".join(f"when {_contains(lowered, t.lower())} then {i}" for i, t in enumerate(terms, 1))
+    return F.expr(f"case {tests} end")
 
 
 def hits_of_column(lowered: Column, terms: Column) -> Column:

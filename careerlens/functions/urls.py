@@ -54,127 +54,110 @@ def section_url(page_url: Column, title: Column) -> Column:
     return F.concat(page_url, F.lit("#"), F.substring(F.md5(title), 1, 8))
 
 
-def _clean(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-
-
-def _fold_dots(path: Column) -> Column:
-    """Resolve '.' and '..' segments of an absolute path."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(folded, "/")
-    joined = F.when(joined == "", "/").otherwise(joined)
-    has_dots = path.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    return F.when(has_dots, joined).otherwise(path)
+def _rx(text: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({text}, r'{pattern}', {group})"
+
+
+def _drop(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, r'{pattern}', '')"
+
+
+def _cleaned(text: str) -> str:
+    """Without tabs and line ends, and without control characters in front."""
+    return _drop(_drop(text, r"[\t\r\n]"), r"^[\x00-\x20]+")
+
+
+def _part(mark: str, text: str) -> str:
+    """Optional part of an address with its mark in front."""
+    return f"if({text} != '', concat('{mark}', {text}), '')"
+
+
+# Resolve '.' and '..' segments of an absolute path; others pass untouched.
+_FOLDED = r"""
+if(@m rlike r'(?:^|/)\.\.?(?:/|$)',
+   coalesce(nullif(array_join(concat(
+     aggregate(split(@m, '/'), cast(array() as array<string>), (acc, s) ->
+       case s when '..' then slice(acc, 1, greatest(size(acc) - 1, 0)) when '.' then acc
+       else concat(acc, array(s)) end),
+     if(element_at(split(@m, '/'), -1) in ('.', '..'), array(''), cast(array() as array<string>))), '/'), ''), '/'),
+   @m)"""
+
+
+_RESERVED = "__u_"
+
+
+def _sql(text: str) -> Column:
+    """SQL in which ``@name`` stands for a stage column."""
+    return F.expr(text.replace("@", _RESERVED))
+
+
+def _staged(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    for stage in stages:
+        df = df.select("*", *[_sql(sql).alias(_RESERVED + name) for name, sql in stage.items()])
+    return df
 
 
 def with_joined_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
     """Add ``out``: ``href`` resolved against ``base``, fragment kept."""
-    t = "__u_"
-    c = F.col
-    raw, b = c(href), c(base)
-    df = df.withColumns({
-        t + "u": _clean(raw),
-        t + "bs": F.lower(F.regexp_extract(b, _SCHEME, 1)),
-        t + "br": F.regexp_replace(b, _SCHEME, ""),
-    })
-    df = df.withColumns({
-        t + "s": F.lower(F.regexp_extract(c(t + "u"), _SCHEME, 1)),
-        t + "r": F.regexp_replace(c(t + "u"), _SCHEME, ""),
-        t + "bh": F.regexp_extract(c(t + "br"), _HOST, 1),
-        t + "bp": F.regexp_extract(c(t + "br"), _PATH, 1),
-        t + "bq": F.regexp_extract(c(t + "br"), _QUERY, 1),
-    })
-    df = df.withColumns({
-        t + "h": F.regexp_extract(c(t + "r"), _HOST, 1),
-        t + "pp": F.regexp_extract(c(t + "r"), _PATH, 1),
-        t + "q": F.regexp_extract(c(t + "r"), _QUERY, 1),
-        t + "f": F.regexp_extract(c(t + "r"), _FRAGMENT, 1),
-    })
-    df = df.withColumns({
-        t + "par": F.regexp_extract(c(t + "pp"), _PARAMS, 0),
-        t + "p": F.regexp_replace(c(t + "pp"), _PARAMS, ""),
-        # directory of the base: everything up to its last slash
-        t + "dir": F.regexp_extract(F.regexp_replace(c(t + "bp"), _PARAMS, ""), r"^(.*/)[^/]*$", 1),
-    })
-    merged = (
-        F.when(c(t + "p").startswith("/"), c(t + "p"))
+    keep = [c for c in df.columns if c != out]
+    schemes = ", ".join(f"'{s}'" for s in RELATIVE_SCHEMES)
+    staged = _staged(
+        df.select(*keep, F.col(href).alias(_RESERVED + "ref"), F.col(base).alias(_RESERVED + "b")),
+        {
+            "u": _cleaned("@ref"),
+            "bs": f"lower({_rx('@b', _SCHEME)})", "br": _drop("@b", _SCHEME),
+        },
+        {
+            "s": f"lower({_rx('@u', _SCHEME)})", "r": _drop("@u", _SCHEME),
+            "bh": _rx("@br", _HOST), "bp": _rx("@br", _PATH), "bq": _rx("@br", _QUERY),
+        },
+        {
+            "h": _rx("@r", _HOST), "pp": _rx("@r", _PATH), "q": _rx("@r", _QUERY), "f": _rx("@r", _FRAGMENT),
+            "foreign": f"(@s != '' and @s != @bs) or @bs not in ({schemes})",
+        },
+        {
+            "par": _rx("@pp", _PARAMS, 0), "p": _drop("@pp", _PARAMS),
+            # directory of the base: everything up to its last slash
+            "dir": _rx(_drop("@bp", _PARAMS), r"^(.*/)[^/]*$"),
+        },
         # doubled slashes are folded only when base and reference are merged
-        .otherwise(F.regexp_replace(
-            F.concat(F.when(c(t + "dir") == "", "/").otherwise(c(t + "dir")), c(t + "p")), "/{2,}", "/"))
+        {"m": "if(startswith(@p, '/'), @p, regexp_replace(concat(if(@dir = '', '/', @dir), @p), '/{2,}', '/'))"},
+        {
+            "np": f"if(@pp = '', @bp, concat({_FOLDED}, @par))",
+            "nq": "if(@pp = '' and @q = '', @bq, @q)",
+        },
     )
-    df = df.withColumn(t + "m", merged)
-    same_page = c(t + "pp") == ""
-    path = F.when(same_page, c(t + "bp")).otherwise(
-        F.concat(_fold_dots(c(t + "m")), c(t + "par")))
-    query = F.when(same_page & (c(t + "q") == ""), c(t + "bq")).otherwise(c(t + "q"))
-    df = df.withColumns({t + "np": path, t + "nq": query})
-
-    def assemble(scheme: Column, host: Column, p: Column, q: Column) -> Column:
-        rooted = F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
-        return F.concat(
-            scheme, F.lit("://"), host, rooted,
-            F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
-            F.when(c(t + "f") != "", F.concat(F.lit("#"), c(t + "f"))).otherwise(""),
-        )
-
-    foreign = (c(t + "s") != "") & (c(t + "s") != c(t + "bs"))
-    result = (
-        F.when(b == "", raw)
-        .when(raw == "", b)
-        .when(foreign | ~c(t + "bs").isin(*RELATIVE_SCHEMES), raw)
-        .when(c(t + "h") != "", assemble(c(t + "bs"), c(t + "h"), c(t + "pp"), c(t + "q")))
-        .otherwise(assemble(c(t + "bs"), c(t + "bh"), c(t + "np"), c(t + "nq")))
-    )
-    keep = [x for x in df.columns if not x.startswith(t) and x != out]
-    return settle(df, keep, {out: F.when(raw.isNotNull() & b.isNotNull(), result)})
+
+    def assembled(host: str, path: str, query: str) -> str:
+        rooted = f"if({path} != '' and not startswith({path}, '/'), concat('/', {path}), {path})"
+        return f"concat(@bs, '://', {host}, {rooted}, {_part('?', query)}, {_part('#', '@f')})"
+
+    result = f"""
+      case when @ref is null or @b is null then null when @b = '' then @ref when @ref = '' then @b
+        when @foreign then @ref when @h != '' then {assembled('@h', '@pp', '@q')}
+        else {assembled('@bh', '@np', '@nq')} end"""
+    return settle(staged, keep, {out: _sql(result)})
 
 
 def with_clean_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
     """Keyword-scan form: absolute, no fragment, no params; NULL if not a web address."""
-    c = F.col
-    df = with_joined_url(df, href, base, "__k_join")
-    full = (
-        F.when(c(href).rlike("^https?://"), c(href))
-        .when(c(href).startswith("//"), F.concat(F.lit("https:"), c(href)))
-        .otherwise(c("__k_join"))
+    keep = [c for c in df.columns if c != out]
+    joined = with_joined_url(df, href, base, "__joined")
+    staged = _staged(
+        joined.select(*keep, F.col(href).alias(_RESERVED + "ref"), "__joined"),
+        {"full": _cleaned("case when @ref rlike '^https?://' then @ref when startswith(@ref, '//') "
+                          "then concat('https:', @ref) else __joined end")},
+        {"s": f"lower({_rx('@full', _SCHEME)})", "r": _drop("@full", _SCHEME)},
+        {"h": _rx("@r", _HOST), "p": _drop(_rx("@r", _PATH), _PARAMS), "q": _rx("@r", _QUERY)},
     )
-    df = df.withColumn("__k_full", _clean(full))
-    rest = F.regexp_replace(c("__k_full"), _SCHEME, "")
-    df = df.withColumns({
-        "__k_s": F.lower(F.regexp_extract(c("__k_full"), _SCHEME, 1)),
-        "__k_h": F.regexp_extract(rest, _HOST, 1),
-        "__k_p": F.regexp_replace(F.regexp_extract(rest, _PATH, 1), _PARAMS, ""),
-        "__k_q": F.regexp_extract(rest, _QUERY, 1),
-    })
-    clean = F.when(
-        (c("__k_s") != "") & (c("__k_h") != ""),
-        F.concat(
-            c("__k_s"), F.lit("://"), c("__k_h"), c("__k_p"),
-            F.when(c("__k_q") != "", F.concat(F.lit("?"), c("__k_q"))).otherwise(""),
-        ),
-    )
-    keep = [x for x in df.columns if not x.startswith("__k_") and x != out]
-    return settle(df, keep, {out: clean})
+    clean = f"if(@s != '' and @h != '', concat(@s, '://', @h, @p, {_part('?', '@q')}), null)"
+    return settle(staged, keep, {out: _sql(clean)})
 
 
 def with_record_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
     """Site-record form: whatever starts with ``http`` is taken as it is, fragment kept."""
-    c = F.col
-    df = with_joined_url(df, href, base, "__v_join")
-    full = (
-        F.when(c(href) == "", "")
-        .when(c(href).startswith("http"), c(href))
-        .when(c(href).startswith("//"), F.concat(F.lit("https:"), c(href)))
-        .otherwise(c("__v_join"))
-    )
-    keep = [x for x in df.columns if not x.startswith("__v_") and x != out]
-    return settle(df, keep, {out: full})
+    keep = [c for c in df.columns if c != out]
+    joined = with_joined_url(df, href, base, "__joined").select(*keep, F.col(href).alias(_RESERVED + "ref"), "__joined")
+    full = ("case when @ref = '' then '' when startswith(@ref, 'http') then @ref "
+            "when startswith(@ref, '//') then concat('https:', @ref) else __joined end")
+    return settle(joined, keep, {out: _sql(full)})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careerlens.functions.markup import (
-    attribute, joined_text, marked_text, plain_text, visible)
+    attribute, decode_references, joined_text, marked_text, plain_text, visible)
 from careerlens.functions.staging import settle
 from careerlens.functions.text import first_nonblank
 
@@ -36,11 +36,14 @@ def extract_anchors(pages: DataFrame, html: str = "html") -> DataFrame:
         F.regexp_replace(F.regexp_replace("__piece", _ATTRS, ""), _INNER_END, "").alias("__inner"),
     )
     rows = settle(rows, [*rest, "pos"], {
-        "href": attribute(F.col("__attrs"), "href"),
+        "__href": attribute(F.col("__attrs"), "href"),
         "__label": first_nonblank(attribute(F.col("__attrs"), "aria-label"), attribute(F.col("__attrs"), "title")),
         "__marked": marked_text(F.col("__inner")),
-    })
-    return settle(rows.filter(F.col("href") != ""), [*rest, "pos", "href"], {
+    }).filter(F.col("__href") != "")
+    decoded = rows.select(*rest, "pos", *[
+        decode_references(c).alias(c) for c in ("__href", "__label", "__marked")])
+    return settle(decoded, [*rest, "pos"], {
+        "href": F.col("__href"),
         "anchor_text": plain_text(F.col("__marked")),
         "anchor_title": first_nonblank(joined_text(F.col("__marked"), ""), F.col("__label")),
     })

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from careerlens.functions.markup import joined_text, marked_text, visible
+from careerlens.functions.markup import decode_references, joined_text, marked_text, visible
 from careerlens.functions.staging import settle
 from careerlens.operators.dom import parse_page
 
@@ -56,6 +56,8 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "main_text") -> D
     for t in REGIONS:
         nested = nested | ((F.col("__region") == t) & F.col("__body").rlike(rf"(?i)<{t}[\s>/]"))
     df = df.withColumn("__hard", F.when(nested, F.col(html)))
-    native = joined_text(marked_text(F.col("__body")), " ")
+    df = df.withColumn("__marked", marked_text(F.col("__body")))
+    df = df.withColumn("__marked", decode_references("__marked"))
+    native = joined_text(F.col("__marked"), " ")
     text = F.when(F.col("__hard").isNull(), native).otherwise(_parsed_main_text(F.col("__hard")))
     return settle(df.withColumn("__text", text), [c for c in pages.columns if c != out], {out: F.col("__text")})

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerlens.functions.text import hit_list
 from careerlens.operators.dedup import top_per_key
 from careerlens.operators.small_tables import array_literal, skew_safe_lookup
 
@@ -41,10 +42,8 @@ def tokens(text: Column) -> Column:
 
 def taxonomy_terms(df: DataFrame, skills: Sequence[str], text: str = "text") -> DataFrame:
     """Skills mentioned by each posting, in list order."""
-    low = F.lower(F.col(text))
-    hits = F.array_compact(F.array(*[
-        F.when(F.contains(low, F.lit(s.lower())), F.lit(s)) for s in skills]))
-    return df.withColumn("skill_terms", hits)
+    rows = df.withColumn("__low", F.lower(text))
+    return rows.withColumn("skill_terms", hit_list("__low", skills)).drop("__low")
 
 
 def term_frequencies(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -100,16 +99,13 @@ def rank_projects(df: DataFrame, projects: Sequence[Project], key: str, text: st
 def reorder_skills(df: DataFrame, skills: Mapping[str, Sequence[str]], key: str,
                    text: str = "text") -> DataFrame:
     """Skills per posting and category, mentioned ones first, otherwise stable."""
-    low = F.lower(F.col(text))
     rows = []
     for i, (category, names) in enumerate(skills.items()):
-        hit = [F.contains(low, F.lit(n.lower())) for n in names]
-        first = F.array(*[F.when(h, F.lit(n)) for h, n in zip(hit, names)])
-        rest = F.array(*[F.when(~h, F.lit(n)) for h, n in zip(hit, names)])
+        first, every = hit_list("__low", names), array_literal(names)
         rows.append(F.struct(
             F.lit(i).alias("category_no"), F.lit(category).alias("category"),
-            F.array_compact(F.concat(first, rest)).alias("skills")))
-    return df.select(key, F.inline_outer(F.array(*rows)))
+            F.concat(first, F.array_except(every, first)).alias("skills")))
+    return df.withColumn("__low", F.lower(text)).select(key, F.inline_outer(F.array(*rows)))
 
 
 def fill_template(template: str, summary: Column, projects: Column, skills: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from careerlens.functions import urls
 from careerlens.functions.staging import settle
 from careerlens.functions.text import (
-    contains_any, exists_in, hits_of_column, matches_keywords, strip)
+    contains_any, exists_in, hit_list, hits_of_column, matches_keywords, strip)
 from careerlens.lexicon import (
     DEFAULT_LINK_CAP, MIN_DETAIL_TEXT, SNAPSHOT_TTL_SECONDS, TITLE_MAX, TITLE_MIN,
     CandidatePolicy, LinkPolicy, SiteRule)
@@ -31,17 +31,23 @@ def keyword_pairs(df: DataFrame, text: Column, keywords: Sequence[str]) -> DataF
 
     Only hits are generated; no product of rows and keywords is built.
     """
-    lowered = F.lower(text)
-    hits = F.array_compact(F.array(*[
-        F.when(F.contains(lowered, F.lit(k.lower())), F.lit(k)) for k in keywords]))
-    return df.withColumn("keyword", F.explode_outer(hits)).filter(F.col("keyword").isNotNull())
+    lowered = df.withColumn("__low", F.lower(text))
+    pairs = lowered.withColumn("keyword", F.explode_outer(hit_list("__low", keywords)))
+    return pairs.filter(F.col("keyword").isNotNull()).drop("__low")
 
 
 # -------------------------------------------------------------- link checks
 
-def is_posting_link(url: Column, text: Column, policy: LinkPolicy = LinkPolicy()) -> Column:
+def with_link_check(df: DataFrame, policy: LinkPolicy = LinkPolicy(), url: str = "url",
+                    text: str = "anchor_text", out: str = "is_valid") -> DataFrame:
     """Keyword-scan test of a resolved address and its link text."""
-    return ~contains_any(F.lower(url), policy.url_exclusions) & (F.length(text) >= policy.min_text)
+    df = df.withColumn("__u", F.lower(url))
+    test = ~contains_any("__u", policy.url_exclusions) & (F.length(text) >= policy.min_text)
+    return settle(df, [c for c in df.columns if c not in ("__u", out)], {out: test})
+
+
+def posting_links(df: DataFrame, policy: LinkPolicy = LinkPolicy(), **columns) -> DataFrame:
+    return with_link_check(df, policy, out="__ok", **columns).filter("__ok").drop("__ok")
 
 
 def rule_table(spark: SparkSession, rules: Sequence[SiteRule]) -> DataFrame:
@@ -80,34 +86,46 @@ def with_link_cap(df: DataFrame, caps: Mapping[str, int], fallback: int | None =
     return joined.withColumn(out, F.coalesce("__cap", F.lit(base))).drop("__cc", "__cap")
 
 
-def skips_title(text: Column, policy: CandidatePolicy) -> Column:
-    """Clearly not a title. Needs the columns of :func:`with_site_rules`."""
-    title = F.lower(strip(text))
+def _folded(df: DataFrame, url: str, text: str) -> DataFrame:
+    return df.withColumns({"__u": F.lower(url), "__t": F.lower(text), "__label": F.lower(strip(F.col(text)))})
+
+
+def _skips_title(policy: CandidatePolicy) -> Column:
+    allowed = exists_in(F.col("__label"), F.col("allow_text_contains"))
     return (
-        F.when(F.col("bypass_title_skip") | exists_in(title, F.col("allow_text_contains")), F.lit(False))
-        .when(F.length(title) < policy.min_title, F.lit(True))
-        .otherwise(contains_any(title, policy.skip_title_terms))
+        F.when(F.col("bypass_title_skip") | allowed, F.lit(False))
+        .when(F.length("__label") < policy.min_title, F.lit(True))
+        .otherwise(contains_any("__label", policy.skip_title_terms))
     )
 
 
-def candidate_reject_reason(url: Column, text: Column, policy: CandidatePolicy = CandidatePolicy()) -> Column:
+def with_title_skip(df: DataFrame, policy: CandidatePolicy = CandidatePolicy(), text: str = "title",
+                    out: str = "skip") -> DataFrame:
+    """Whether a link text is clearly no title. Needs :func:`with_site_rules`."""
+    keep = [c for c in df.columns if c != out]
+    return settle(df.withColumn("__label", F.lower(strip(F.col(text)))), keep, {out: _skips_title(policy)})
+
+
+def with_candidate_reason(df: DataFrame, policy: CandidatePolicy = CandidatePolicy(), url: str = "url",
+                          text: str = "title", out: str = "reject_reason") -> DataFrame:
     """First failed test of the strict candidate check, NULL for a candidate.
 
     Needs the columns of :func:`with_site_rules`.
     """
-    u, t, label = F.lower(url), F.lower(text), F.lower(strip(text))
-    on_posting_path = contains_any(u, policy.posting_url_terms) | exists_in(u, F.col("extra_url_patterns"))
-    names_role = (contains_any(t, [w.lower() for w in policy.role_terms])
-                  | exists_in(t, F.col("allow_text_contains")))
-    return (
-        F.when(skips_title(text, policy), "title")
-        .when(contains_any(u, policy.url_exclusions), "url_excluded")
-        .when(contains_any(t, policy.text_exclusions), "text_excluded")
-        .when(label.isin(*policy.button_labels), "button")
-        .when(label.isin(*policy.category_labels), "category")
+    on_posting_path = (contains_any("__u", policy.posting_url_terms)
+                       | exists_in(F.col("__u"), F.col("extra_url_patterns")))
+    names_role = (contains_any("__t", [w.lower() for w in policy.role_terms])
+                  | exists_in(F.col("__t"), F.col("allow_text_contains")))
+    reason = (
+        F.when(_skips_title(policy), "title")
+        .when(contains_any("__u", policy.url_exclusions), "url_excluded")
+        .when(contains_any("__t", policy.text_exclusions), "text_excluded")
+        .when(F.col("__label").isin(*policy.button_labels), "button")
+        .when(F.col("__label").isin(*policy.category_labels), "category")
         .when(~on_posting_path, "no_posting_path")
         .when(~names_role, "no_role_word")
     )
+    return settle(_folded(df, url, text), [c for c in df.columns if c != out], {out: reason})
 
 
 # ------------------------------------------------------------ record checks

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerlens.functions.staging import settle
-from careerlens.functions.text import contains_any, hit_count, hit_list
+from careerlens.functions.text import contains_any, first_hit, hit_count, hit_list
 from careerlens.functions.vectors import cosine, norm
 from careerlens.lexicon import (
     ENGINEERING_TITLE_TERMS, SITE_TEXT_THRESHOLD, SITE_TITLE_SCORE, Lexicon)
@@ -28,14 +28,7 @@ def _penalty_order(lexicon: Lexicon) -> list[tuple[str, float]]:
     return ordered
 
 
-def _penalty_at(lowered: Column, lexicon: Lexicon) -> Column:
-    """1-based place of the first penalty term found, NULL when there is none."""
-    places = [F.when(F.contains(lowered, F.lit(term.lower())), F.lit(i))
-              for i, (term, _) in enumerate(_penalty_order(lexicon), 1)]
-    return F.coalesce(*places) if places else F.lit(None).cast("int")
-
-
-def reject_reason(lowered: Column, lexicon: Lexicon) -> Column:
+def reject_reason(lowered: Column | str, lexicon: Lexicon) -> Column:
     """Cheap text tests that make the vector step unnecessary."""
     required = F.lit(False)
     if lexicon.required:
@@ -65,7 +58,7 @@ def with_stages(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFram
     Rejected rows carry zeros; their stages are not evaluated.
     """
     df = df.withColumn("__low", F.lower(F.col(text)))
-    low = F.col("__low")
+    low = "__low"
     df = df.withColumn("reject_reason", reject_reason(low, lexicon))
     live = F.col("reject_reason").isNull()
     degree = (
@@ -77,7 +70,7 @@ def with_stages(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFram
     df = df.withColumns({
         "entry_hits": F.when(live, hit_count(low, lexicon.entry_level)).otherwise(0),
         "domain_hits": F.when(live, hit_count(low, lexicon.domain)).otherwise(0),
-        "__pen": F.when(live, _penalty_at(low, lexicon)),
+        "__pen": F.when(live, first_hit(low, [t for t, _ in _penalty_order(lexicon)])),
         "degree": F.when(live, degree).otherwise(0.0),
         "bachelor": F.when(live, bachelor).otherwise(0.0),
         "entry_terms": F.when(live, F.slice(hit_list(low, lexicon.entry_level), 1, 2)),

@@ -12,7 +12,7 @@ from careerlens.lexicon import LinkPolicy
 from careerlens.operators.anchors import text_anchors
 from careerlens.operators.dedup import first_per_key
 from careerlens.operators.dom import link_groups, scoped_links
-from careerlens.operators.rules import is_posting_link
+from careerlens.operators.rules import posting_links
 
 
 def pages_of_targets(pages: DataFrame, targets: DataFrame, on: str = "site") -> DataFrame:
@@ -31,7 +31,7 @@ def native_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy()) -> DataF
     """Matches of ``pages(page_id, company, page_url, keywords, html)``, link text only."""
     links = text_anchors(pages)
     links = with_clean_url(links, "href", "page_url", "url").filter(F.col("url").isNotNull())
-    links = links.filter(is_posting_link(F.col("url"), F.col("anchor_text"), policy))
+    links = posting_links(links, policy)
     links = settle(links, links.columns, {
         "matched_keywords": hits_of_column(F.lower("anchor_text"), F.col("keywords"))})
     return _first_matches(links).select(
@@ -57,7 +57,7 @@ def context_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy(), **conta
     links = scoped_links(links)
     links = links.filter((F.col("anchor_text") != "") & (F.col("href") != ""))
     links = with_clean_url(links, "href", "page_url", "url").filter(F.col("url").isNotNull())
-    links = links.filter(is_posting_link(F.col("url"), F.col("anchor_text"), policy))
+    links = posting_links(links, policy)
     near = F.lower(F.concat_ws(" ", "anchor_text", "__start"))
     links = links.withColumn("__near", near)
     matched = F.filter("keywords", lambda k: F.array_contains(F.col("__around"), k)

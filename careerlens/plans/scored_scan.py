@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.functions.staging import settle
 from careerlens.functions.urls import with_joined_url
 from careerlens.lexicon import CandidatePolicy, SiteRule, SourcePolicy
 from careerlens.operators.anchors import titled_anchors
@@ -15,7 +14,7 @@ from careerlens.operators.dedup import cap_per_key, drop_seen, first_per_key
 from careerlens.operators.main_text import main_text
 from careerlens.operators.records import snippet
 from careerlens.operators.rules import (
-    candidate_reject_reason, has_enough_text, with_link_cap, with_site_rules)
+    has_enough_text, with_candidate_reason, with_link_cap, with_site_rules)
 from careerlens.operators.score import above_threshold, score
 
 
@@ -27,8 +26,7 @@ def link_candidates(pages: DataFrame, policy: CandidatePolicy = CandidatePolicy(
     """
     links = with_joined_url(titled_anchors(pages), "href", "page_url", "url")
     links = with_site_rules(links, rules)
-    reason = candidate_reject_reason(F.col("url"), F.col("anchor_title"), policy)
-    links = settle(links, links.columns, {"reject_reason": reason}).filter(F.col("reject_reason").isNull())
+    links = with_candidate_reason(links, policy, text="anchor_title").filter(F.col("reject_reason").isNull())
     kept = first_per_key(links, ["company", "url"], ["page_id", "pos"])
     return kept.select("company", "page_id", "pos", F.col("anchor_title").alias("title"), "url")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlens.functions.urls import host_of
+from careerlens.sources.tables import spread
 
 URL_ROOT = "https://jobs.example.com/"
 AS_OF = "2001-08-01"
@@ -21,12 +22,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Landed pages with the host as site."""
-    return table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("site"), "url", "html")
+    return spread(table(spark, sf, "pages"), "page_id").select("page_id", host_of(F.col("url")).alias("site"), "url", "html")
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Scraped records: exact copies of a text share one url."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.col("source").alias("company"),
         F.trim(F.substring("text", 1, 80)).alias("title"),
         F.concat(F.lit(URL_ROOT), F.md5("text")).alias("url"), "text", "lang")

@@ -117,9 +117,22 @@ def calendar(spark: SparkSession, rows=CALENDAR) -> DataFrame:
     return df.withColumn("icon", icon)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has cores.
+
+    A few large row groups would otherwise keep all text work in a few tasks.
+    Scans with enough splits, as on large inputs, are returned untouched.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed pages (url and source) in place of a fetch."""
-    return spark.read.schema(schemas.PAGES).parquet(path)
+    return spread(spark.read.schema(schemas.PAGES).parquet(path), "page_id")
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

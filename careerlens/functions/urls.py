@@ -116,15 +116,16 @@ def with_joined_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
             "foreign": f"(@s != '' and @s != @bs) or @bs not in ({schemes})",
         },
         {
-            "par": _rx("@pp", _PARAMS, 0), "p": _drop("@pp", _PARAMS),
+            # a bare ';' is no parameter
+            "par": f"coalesce(nullif({_rx('@pp', _PARAMS, 0)}, ';'), '')", "p": _drop("@pp", _PARAMS),
             # directory of the base: everything up to its last slash
             "dir": _rx(_drop("@bp", _PARAMS), r"^(.*/)[^/]*$"),
         },
         # doubled slashes are folded only when base and reference are merged
         {"m": "if(startswith(@p, '/'), @p, regexp_replace(concat(if(@dir = '', '/', @dir), @p), '/{2,}', '/'))"},
         {
-            "np": f"if(@pp = '', @bp, concat({_FOLDED}, @par))",
-            "nq": "if(@pp = '' and @q = '', @bq, @q)",
+            "np": f"if(@p = '' and @par = '', @bp, concat({_FOLDED}, @par))",
+            "nq": "if(@p = '' and @par = '' and @q = '', @bq, @q)",
         },
     )
 
@@ -134,7 +135,7 @@ def with_joined_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
 
     result = f"""
       case when @ref is null or @b is null then null when @b = '' then @ref when @ref = '' then @b
-        when @foreign then @ref when @h != '' then {assembled('@h', '@pp', '@q')}
+        when @foreign then @ref when @h != '' then {assembled('@h', 'concat(@p, @par)', '@q')}
         else {assembled('@bh', '@np', '@nq')} end"""
     return settle(staged, keep, {out: _sql(result)})
 

@@ -488,6 +488,21 @@ def snk7(spark, sf):
     return store.alert_messages(new, F.to_timestamp(F.lit("2024-01-31 08:30:00")))
 
 
+@query("snk5_export_view", using="fx_records", sql=f"""
+with firsts as (select url, min(doc_id) as doc_id from fx_records
+  where {sql_any('lower(text)', KEYWORDS, lower=True)} group by url)
+select r.company, r.title, r.url, array_to_string({sql_hits('lower(r.text)', KEYWORDS)}, ', ') as matched_keywords,
+  'Pending' as applied_status, false as resume_generated
+from firsts f join fx_records r on r.doc_id = f.doc_id""")
+def snk5(spark, sf):
+    docs = fx.records(spark, sf).withColumn("keywords", F.array(*[F.lit(k) for k in KEYWORDS]))
+    unique = dedup.dedup_by_url(rules.with_matched_keywords(docs, F.col("text")), ["doc_id"])
+    shaped = store.as_postings(
+        unique, F.to_timestamp(F.lit("2024-01-31 00:00:00")), matched=F.col("matched_keywords"))
+    return store.export_view(shaped).select(
+        "company", "title", "url", "matched_keywords", "applied_status", "resume_generated")
+
+
 @query("ag9_save_summary", using="fx_records fx_history", sql="""
 with t as (select count(*) as matches, count(distinct case when url not in (select url from fx_history)
   then url end) as added from fx_records)

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from careerlens.catalog.extraction import ANCHORS, ORIGIN
 from careerlens.catalog.registry import query, sql_any, sql_hits, sql_list, sql_text
 from careerlens.catalog.rules import LINKS, RULES
+from careerlens.functions import urls
 from careerlens.functions.text import document_key, safe_key
 from careerlens.lexicon import CandidatePolicy, Lexicon, SiteRule, SourcePolicy
 from careerlens.operators import profile_match as pm
 from careerlens.operators import score as sc
-from careerlens.plans import keyword_scan, scored_scan
+from careerlens.operators.anchors import titled_anchors
+from careerlens.plans import keyword_scan, scored_scan, site_records
 from careerlens.sources import standins as fx
 from careerlens.sources import tables as src
 
@@ -276,6 +278,36 @@ def scan_context(spark, sf):
     return rows.withColumn("matched", F.array_join("matched_keywords", "|")).drop("matched_keywords")
 
 
+@query("snk2_run_rows", using="fx_pages", sql=f"""
+with {_MATCH_SQL}, c as (select site, count(*) as n from matches group by site)
+select p.site as company, timestamp '2024-01-31 00:00:00' as ts, 'Success' as status,
+  cast(coalesce(n, 0) as int) as postings_found
+from (select distinct site from fx_pages) p left join c using (site)""")
+def snk2(spark, sf):
+    pages = _scan_pages(spark, sf)
+    found = keyword_scan.native_matches(pages, LINKS)
+    rows = keyword_scan.run_rows(pages, found, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+    return rows.select("company", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "postings_found")
+
+
+@query("ux1_plugin_records", using="fx_pages", sql=f"""
+with {ANCHORS}, r as (
+  select site as company, anchor_text as title, {ORIGIN} || href as url, page_id, pos from anchors
+  where length(anchor_text) between 3 and 300),
+k as (select *, row_number() over (partition by company, url order by page_id, pos) as rn from r)
+select company, title, url, md5(company || '|' || url) as id from k where rn = 1""")
+def ux1(spark, sf):
+    # a site extractor of one's own: every link of every landed page is a record
+    def list_items(pages):
+        links = titled_anchors(pages.withColumnRenamed("url", "page_url"))
+        return urls.with_record_url(links, "href", "page_url", "url").select(
+            F.col("site").alias("company"), F.col("anchor_title").alias("title"), "url",
+            F.col("anchor_title").alias("text"), F.lit("").alias("location"), F.struct("page_id", "pos").alias("ord"))
+
+    return site_records.run_all(fx.pages(spark, sf), {"list_items": list_items}).select(
+        "company", "title", "url", "id")
+
+
 @query("ux2_rule_exceptions", using="fx_pages", sql=f"""
 with {ANCHORS}, l as (select *, {ORIGIN} || href as url, lower(anchor_text) as t from anchors),
 r as (

@@ -59,7 +59,16 @@ def drop_seen(df: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
     return df.join(seen.select("seen_key"), key == F.col("seen_key"), "left_anti")
 
 
-def drop_known_urls(df: DataFrame, history: DataFrame, url: str = "url") -> DataFrame:
-    """As :func:`drop_seen` on the url itself, which reuses a partitioning by url."""
+def drop_known_urls(df: DataFrame, history: DataFrame, url: str = "url",
+                    reduce_history: bool = False) -> DataFrame:
+    """As :func:`drop_seen` on the url itself, which reuses a partitioning by url.
+
+    ``reduce_history`` first cuts the history down to addresses that occur in
+    ``df``. When ``df`` is small, adaptive execution broadcasts it and a large
+    history is scanned but never shuffled; ``df`` is then read twice.
+    """
     known = history.select(F.col(url).alias("__known"))
+    if reduce_history:
+        mine = df.select(F.col(url).alias("__mine"))
+        known = known.join(mine, F.col("__known") == F.col("__mine"), "left_semi")
     return df.join(known, F.col(url) == F.col("__known"), "left_anti")

@@ -1,8 +1,9 @@
-"""Joining with small side tables, by checked size.
+"""Joining with side tables.
 
-A Python literal is bounded by what the caller typed. A DataFrame is broadcast
-only after a bounded count proved it small; otherwise the join is a shuffle join
-and adaptive execution handles size and skew.
+Only two things are ever broadcast by hint: literal tables, whose row count is
+checked when they are made, and the bounded list of heavy keys below. All other
+joins carry no hint: the optimizer and adaptive execution broadcast by measured
+size and otherwise shuffle, splitting skewed partitions.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LITERAL_ROWS = 10_000
-BROADCAST_ROWS = 200_000
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -32,19 +32,6 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", previous)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Bounded check: reads at most ``rows + 1`` rows of ``df``."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def lookup(df: DataFrame, table: DataFrame, on, how: str = "left", small: bool | None = None) -> DataFrame:
-    """Join ``df`` with a side table, broadcast when it is known to be small.
-
-    ``small=None`` leaves the choice to the optimizer's own size estimate.
-    """
-    return df.join(F.broadcast(table) if small else table, on, how)
-
-
 def skew_safe_lookup(
     facts: DataFrame, dim: DataFrame, key: str, weight: str, value: str, hot: int = 2_000,
 ) -> DataFrame:

@@ -14,6 +14,7 @@ version; a version counts once its ``_SUCCESS`` marker is there.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,14 +173,23 @@ def insert_run(spark: SparkSession, root: str, postings: DataFrame, run_id: str)
     :func:`new_rows`).
     """
     history = read_postings(spark, root).filter(F.col("run_id") != run_id).select("url")
-    fresh = drop_known_urls(postings, history)
     target = f"{_version_path(spark, root)}/run_id={run_id}"
     day = F.coalesce(F.to_date("date_found"), F.lit("1970-01-01").cast("date"))
-    (fresh.withColumn("found_day", day)
-     .write.mode("overwrite").partitionBy("found_day").parquet(target))
+    # read twice: to cut the history down and to write. A lost block is recomputed.
+    batch = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fresh = drop_known_urls(batch, history, reduce_history=True).withColumn("found_day", day)
+        _write_partitioned(fresh, target, "found_day")
+    finally:
+        batch.unpersist()
     return inserted_by(spark, root, run_id)
 
 
+def _write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
+    """Few files per partition: small ones are merged, a hot one is split."""
+    (df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path))
+
+
 def inserted_by(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return read_postings(spark, root).filter(F.col("run_id") == run_id)
 
@@ -188,7 +198,7 @@ def rewrite(spark: SparkSession, root: str, changed: DataFrame) -> int:
     """Write ``changed`` (a whole table) as the next version and switch to it."""
     number = current_version(spark, root) + 1
     target = f"{root}/postings/version={number}"
-    changed.write.mode("overwrite").partitionBy("run_id", "found_day").parquet(target)
+    _write_partitioned(changed, target, "run_id", "found_day")
     return number
 
 
@@ -208,10 +218,14 @@ def write_alerts(alerts: DataFrame, root: str, run_id: str) -> None:
     alerts.write.mode("overwrite").parquet(f"{root}/alerts/run_id={run_id}")
 
 
+def export_view(df: DataFrame) -> DataFrame:
+    """Columns as they go into a text file: lists are rendered."""
+    return df.select(*[F.array_join(c, ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header and RFC quoting; lists are rendered as text."""
-    flat = [F.array_join(c, ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    (df.select(*flat).write.mode("overwrite").option("header", True)
+    """CSV with header and RFC quoting."""
+    (export_view(df).write.mode("overwrite").option("header", True)
      .option("quote", '"').option("escape", '"').csv(path))
 
 

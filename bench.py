@@ -1,4 +1,4 @@
-"""Headline timings: one warm-up run, then the median of three, to a no-op sink.
+"""Headline timings in a warm JVM: all queries run once, then the median of three runs, to a no-op sink.
 
 Prints one JSON line. ``BENCH_SF_DIR`` and ``BENCH_CPUS`` choose data and cores,
 ``BENCH_QUERIES`` (comma list) narrows the set.
@@ -30,14 +30,15 @@ def main() -> None:
     from careerlens.session import local_session
 
     spark = local_session(cpus, "bench", partitions=int(cpus))
-    times = {}
+
+    def run(name: str) -> float:
+        start = time.perf_counter()
+        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
     for name in chosen:
-        runs = []
-        for _ in range(4):
-            start = time.perf_counter()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - start)
-        times[name] = round(statistics.median(runs[1:]), 3)
+        run(name)
+    times = {name: round(statistics.median(run(name) for _ in range(3)), 3) for name in chosen}
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"),

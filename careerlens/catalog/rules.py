@@ -420,8 +420,8 @@ select r.doc_id, r.company, r.title, r.url, md5(r.company || '|' || r.url) as id
 from firsts f join fx_records r on r.doc_id = f.doc_id where f.url not in (select url from fx_history)""")
 def snk1(spark, sf):
     rows = store.new_rows(fx.records(spark, sf), fx.history(spark, sf), ["doc_id"])
-    shaped = store.as_postings(rows, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
-    return shaped.join(rows.select("url", "doc_id"), "url").select(
+    shaped = store.as_postings(rows, F.to_timestamp(F.lit("2024-01-31 00:00:00")), carry=["doc_id"])
+    return shaped.select(
         "doc_id", "company", "title", "url", "id", "applied_status")
 
 

@@ -358,7 +358,8 @@ def _details(spark, sf):
 
 @query("scored_scan_matches", using="fx_records fx_history", sql=f"""
 with c as (
-  select doc_id, company, title, url, lower(title) as t from fx_records),
+  select doc_id, company, trim(title, ' ' || chr(10)) as title, url, lower(trim(title, ' ' || chr(10))) as t
+  from fx_records),
 valid as (
   select *, row_number() over (partition by company, url order by doc_id) as rn from c
   where (company = 'src8' or length(t) >= 15 and not {sql_any('t', SCAN_POLICY.skip_title_terms)})

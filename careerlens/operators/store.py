@@ -45,8 +45,11 @@ def tag_new(batch: DataFrame, history: DataFrame, order, url: str = "url") -> Da
 
 
 def as_postings(rows: DataFrame, found: Column, matched: Column | None = None,
-                score: Column | None = None, notes: Column | None = None) -> DataFrame:
-    """Shape inserted rows as postings in their initial state."""
+                score: Column | None = None, notes: Column | None = None, carry=()) -> DataFrame:
+    """Shape inserted rows as postings in their initial state.
+
+    ``carry`` names further columns to keep behind the posting's own.
+    """
     def given(c, kind):
         return (F.lit(None) if c is None else c).cast(kind)
 
@@ -61,6 +64,7 @@ def as_postings(rows: DataFrame, found: Column, matched: Column | None = None,
         given(notes, "string").alias("notes"),
         body.cast("string").alias("description"),
         F.lit(False).alias("resume_generated"),
+        *carry,
     )
 
 

@@ -6,6 +6,8 @@ standard library parser and a few walks over it. Rows leave as Arrow batches.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -81,6 +83,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None, 0)
         self.open = [self.root]
+        self.depth = Counter()  # open elements per tag
         self.count = 0
 
     def handle_starttag(self, tag, attrs):
@@ -92,17 +95,21 @@ class _Builder(HTMLParser):
         parent.children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.open.pop()
+            self.depth[tag] -= 1
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
+        if not self.depth[tag]:
+            return  # closes nothing that is open
+        closed = None
+        while closed != tag:
+            closed = self.open.pop().tag
+            self.depth[closed] -= 1
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -222,6 +229,97 @@ def link_groups(
     return source.mapInPandas(run, f"{own}, {_GROUP_SCHEMA}")
 
 
+def _layout(root: Node) -> tuple[str, dict[int, tuple[int, int]]]:
+    """Lower-case visible text of the page and the span of every element in it.
+
+    The text of an element is one slice of the page text, so surroundings can be
+    searched without copying them once per link.
+    """
+    pieces, at, spans, starts = [], 0, {}, {}
+    stack: list = [(root, False)]
+    while stack:
+        item, closing = stack.pop()
+        if isinstance(item, str):
+            pieces.append(item.lower())
+            at += len(pieces[-1])
+        elif closing:
+            spans[item.order] = (starts[item.order], at)
+        else:
+            starts[item.order] = at
+            stack.append((item, True))
+            if item.tag not in HIDDEN:
+                stack.extend((c, False) for c in reversed(item.children))
+    return "".join(pieces), spans
+
+
+def _places(text: str, term: str) -> list[int]:
+    found, at = [], text.find(term)
+    while at >= 0:
+        found.append(at)
+        at = text.find(term, at + 1)
+    return found
+
+
+_CONTEXT_SCHEMA = ("pos int, href string, anchor_text string, anchor_title string, in_container boolean, "
+                   "has_container boolean, matched_keywords array<string>")
+
+
+def context_links(
+    pages: DataFrame,
+    keywords: str = "keywords",
+    carry: tuple[str, ...] = (),
+    container_terms: tuple[str, ...] = CONTAINER_CLASS_TERMS,
+    container_tags: tuple[str, ...] = CONTAINER_TAGS,
+    html: str = "html",
+) -> DataFrame:
+    """Links with the keywords found in their text or the text of their parent.
+
+    Each keyword is located once per page; a parent holds it if a place lies in
+    the parent's span. Work and output stay proportional to the page even where
+    unclosed elements nest the whole page into one chain of parents.
+    """
+
+    def holds_links(node: Node) -> bool:
+        names = node.attrs.get("class", "").lower()
+        return node.tag in container_tags and any(t in names for t in container_terms)
+
+    kept = ["page_id", *carry]
+
+    def matches(root: Node, words: list[str]):
+        text, spans = _layout(root)
+        terms = [(w, w.lower()) for w in words]
+        places = {low: _places(text, low) for _, low in terms if low}
+        longest = max((len(low) for low in places), default=0)
+
+        def inside(low: str, start: int, end: int) -> bool:
+            at = bisect_left(places[low], start)
+            return at < len(places[low]) and places[low][at] + len(low) <= end
+
+        groups, scoped = _page_links(root, holds_links)
+        for order, (_, links) in groups.items():
+            start, end = spans[order]
+            around = {low for low in places if inside(low, start, end)}
+            head = text[start:min(end, start + longest)]
+            for link in links:
+                # a keyword may straddle the link text and the start of its surroundings
+                near = f"{link['anchor_text'].lower()} {head}"
+                yield link, scoped, [w for w, low in terms if low in around or low in near]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = ("pos", "href", "anchor_text", "anchor_title", "in_container")
+        names = [*kept, *fields, "has_container", "matched_keywords"]
+        for batch in batches:
+            out = []
+            for *values, words, source in zip(*(batch[c] for c in kept), batch[keywords], batch[html]):
+                for link, scoped, found in matches(parse_page(source), [] if words is None else list(words)):
+                    out.append((*values, *(link[f] for f in fields), scoped, found))
+            yield pd.DataFrame(out, columns=names)
+
+    source = pages.filter(F.col(html).rlike(r"(?i)<a\s")).select(*kept, keywords, html)
+    own = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n not in (html, keywords))
+    return source.mapInPandas(run, f"{own}, {_CONTEXT_SCHEMA}")
+
+
 IN_SCOPE = "in_container or not has_container"
 
 

@@ -11,7 +11,7 @@ from careerlens.functions.urls import with_clean_url
 from careerlens.lexicon import LinkPolicy
 from careerlens.operators.anchors import text_anchors
 from careerlens.operators.dedup import first_per_key
-from careerlens.operators.dom import link_groups, scoped_links
+from careerlens.operators.dom import context_links, scoped_links
 from careerlens.operators.rules import posting_links
 
 
@@ -39,31 +39,12 @@ def native_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy()) -> DataF
 
 
 def context_matches(pages: DataFrame, policy: LinkPolicy = LinkPolicy(), **container) -> DataFrame:
-    """Matches with container scope and the text around each link.
-
-    The surrounding text is lowered and searched once per parent element. A
-    keyword may also straddle the link text and the start of that text; the
-    start kept for this test is longer than any keyword can reach.
-    """
-    groups = link_groups(pages, ("company", "page_url", "keywords"), **container)
-    longest = F.array_max(F.transform("keywords", F.length))
-    groups = groups.withColumns({
-        "__around": hits_of_column(F.lower("parent_text"), F.col("keywords")),
-        "__start": F.substring(F.col("parent_text"), F.lit(1), F.coalesce(longest, F.lit(0))),
-    })
-    links = groups.select(
-        "page_id", "company", "page_url", "keywords", "has_container", "__around", "__start",
-        F.inline_outer("links"))
-    links = scoped_links(links)
-    links = links.filter((F.col("anchor_text") != "") & (F.col("href") != ""))
+    """Matches with container scope and the text around each link."""
+    links = context_links(pages, "keywords", ("company", "page_url"), **container)
+    links = scoped_links(links).filter((F.col("anchor_text") != "") & (F.col("href") != ""))
+    links = links.filter(F.size("matched_keywords") > 0)
     links = with_clean_url(links, "href", "page_url", "url").filter(F.col("url").isNotNull())
-    links = posting_links(links, policy)
-    near = F.lower(F.concat_ws(" ", "anchor_text", "__start"))
-    links = links.withColumn("__near", near)
-    matched = F.filter("keywords", lambda k: F.array_contains(F.col("__around"), k)
-                       | F.contains(F.col("__near"), F.lower(k)))
-    links = settle(links, links.columns, {"matched_keywords": matched})
-    return _first_matches(links).select(
+    return _first_matches(posting_links(links, policy)).select(
         "company", "page_id", "pos", F.col("anchor_text").alias("title"), "url", "matched_keywords")
 
 

@@ -49,6 +49,34 @@ def test_keyword_across_link_and_context_start(spark):
     assert [r.matched_keywords for r in hit.collect()] == [["new graduate"]]
 
 
+def test_context_against_plain_search_on_tangled_pages(spark):
+    """Nested unclosed elements: every keyword in link text or parent text, by brute force."""
+    import random
+
+    from careerlens.operators.dom import context_links
+
+    rng = random.Random(9)
+    bits = ["<p>", "<div>", "</div>", "<li>", "</p>", "<b>", "</b>", "<script>alpha</script>", "alpha ", "BETA", "gam", "ma ",
+            "<a href='/1'>alpha</a>", "<a href='/2'>x <i>be</i>ta</a>", "<a href='/3'>gam</a>", "<a href='/4'>open ", "é"]
+    words = ["Alpha", "beta", "gamma", "a b", "x beta", "zz"]
+    pages = _pages(spark, *["".join(rng.choices(bits, k=rng.randint(5, 40))) for _ in range(150)], keywords=words)
+    wide = dom_links(pages).select("page_id", "pos", "anchor_text", "parent_text").collect()
+    want = {(r.page_id, r.pos): [w for w in words if w.lower() in f"{r.anchor_text} {r.parent_text}".lower()] for r in wide}
+    got = {(r.page_id, r.pos): r.matched_keywords for r in context_links(pages).collect()}
+    assert len(got) > 300 and got == want
+
+
+def test_deeply_nested_page_stays_proportional(spark):
+    import time
+
+    n = 20_000
+    page = "".join(f"<p>text {i} <a href='/{i}'>Link number {i}</a>" for i in range(n))
+    start = time.time()
+    rows = keyword_scan.context_matches(_pages(spark, page, keywords=("text 19999", "nothing")))
+    assert rows.count() == n
+    assert time.time() - start < 60
+
+
 def test_invisible_markup_is_ignored(spark):
     page = ("<!-- <a href='/no'>No comment</a> --><script>var x = '<a href=\"/no\">No script</a>'</script>"
             "<A HREF='/yes?a=1&amp;b=2' title='t'>  R&eacute;sum&#233; <i>&#x4E2D;</i> </A><a name='x'>no href</a>"

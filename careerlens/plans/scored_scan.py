@@ -43,7 +43,8 @@ def capped_candidates(candidates: DataFrame, caps: Mapping[str, int] | None = No
 def with_details(candidates: DataFrame, details: DataFrame, **text_args) -> DataFrame:
     """Join surviving links with their detail pages and keep those with enough text.
 
-    The detail text is extracted after the join, only for pages that are needed.
+    ``details`` holds one page per url (the latest snapshot). The detail text is
+    extracted after the join, only for pages that are needed.
     """
     found = candidates.join(details.select("url", F.col("html"), "embedding"), "url")
     found = main_text(found, "html", "text").drop("html")

@@ -62,7 +62,7 @@ BOARDS = (
 CALENDAR = (
     ("Mercari", "Global Hiring", "Open", "Now - May", "High"),
     ("Woven (Toyota)", "New Grad 2026", "Upcoming", "Jan 15 - Jun", "Critical"),
-    ("Rakuten", "India/Global", "Upcoming", "Feb - Mar", "Critical"),
+    ("Rakuten", "Project Crimson (India/Global)", "Upcoming", "Feb - Mar", "Critical"),
     ("Sony Group", "Global Recruitment", "Upcoming", "Mar - Apr", "Critical"),
     ("Preferred Networks", "New Graduate Hiring", "TBD", "Mar - May", "Medium"),
 )

@@ -6,6 +6,7 @@ standard library parser and a few walks over it. Rows leave as Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -13,12 +14,17 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careerlens.functions.text import BLANKS
 from careerlens.lexicon import CONTAINER_CLASS_TERMS, CONTAINER_TAGS
 
+# Functions and classes below travel to the workers with the task, so the package
+# need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))

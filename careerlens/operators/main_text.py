@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,6 +15,10 @@ from careerlens.functions.markup import decode_references, joined_text, marked_t
 from careerlens.functions.staging import settle
 from careerlens.operators.dom import parse_page
 
+# Functions and classes below travel to the workers with the task, so the package
+# need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REGIONS = ("main", "article", "body")
 
 

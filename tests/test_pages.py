@@ -211,3 +211,19 @@ def test_registered_plug_in_goes_through_the_finishing_step(spark):
     finally:
         del site_records.REGISTRY["mine"]
     assert [(r.company, r.title, r.site) for r in rows] == [("Mine", "A title", "mine")]
+
+
+def test_workers_need_no_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from careerlens.operators.dom import parse_page
+    from careerlens.streaming.refetch import _Gate
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((parse_page, site_records.RULES["line"], _Gate(1))))
+    code = ("import pickle; f, rule, gate = pickle.load(open('f.pkl', 'rb')); "
+            "print(f('<p>x <b>y</b></p>').text(), rule.card[0].accepts(f('<p class=course-item>').find('p')))")
+    done = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.split() == ["x", "y", "True"], done.stderr

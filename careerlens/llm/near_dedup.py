@@ -211,7 +211,8 @@ def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         found = found.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
         found = found.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
         alive = written(prune(found, level, miss), "candidates")
-        wanted = alive.select("a").union(alive.select("b")).distinct().toDF("doc_id")
+        # written first, so that the plan of the join knows how small the list is and need not move the texts
+        wanted = written(alive.select("a").union(alive.select("b")).distinct().toDF("doc_id"), "wanted")
         sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width)
         good = confirm(alive, sets.dropDuplicates(["doc_id", "found"]), threshold)
         links = written(good if links is None else links.union(good), "links")

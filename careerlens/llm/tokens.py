@@ -32,6 +32,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
+
+    def word(self, chunk: str) -> bytes:
+        """Ids of a space and ASCII letters, which are one pre-token: straight from the merges."""
+        return array("I", [t.id for t in self.model.tokenize("\u0120" + chunk)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -56,8 +62,18 @@ class ChunkEncoder:
             new = list(set(rest))
             if "" in new or any(c[0].isspace() or c[-1].isspace() for c in new):
                 return self.whole(text)
-        batch = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-        for chunk, found in zip(new, batch):
+        others = []
+        for chunk in new:
+            if not chunk.isascii():
+                others.append(chunk)
+            elif chunk.isalpha():
+                known[chunk] = self.word(chunk)
+            elif chunk[-1] in self.marks and chunk[:-1].isalpha():
+                known[chunk] = (known.get(chunk[:-1]) or self.word(chunk[:-1])) + self.marks[chunk[-1]]
+            else:
+                others.append(chunk)
+        batch = self.tokenizer.encode_batch_fast([" " + c for c in others], add_special_tokens=False)
+        for chunk, found in zip(others, batch):
             known[chunk] = array("I", found.ids).tobytes()
         return self.whole(first) + b"".join([known[c] for c in rest])
 

@@ -50,15 +50,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: of each set of equal texts one row with the largest id."""
+    """The rows that stay, with all their columns: of each set of equal texts one row with the largest id.
+
+    What goes is listed by id and content without texts; rows meet that list by both, so a group of many copies is
+    spread over tasks, and the texts are moved once. Rows that repeat an id with the same text are reduced to one there.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
-                       F.octet_length(text).alias("n_bytes"), F.sha2(text, 256).alias("content"))
-    rows = rows.join(exact_groups(docs, id_col, text_col), ["n_bytes", "content"], "left")
-    single = rows.where("group_size is null").select("row")
-    # rows that repeat the kept id: one of them stays
-    several = rows.where("group_size is not null and id <=> keep_id").dropDuplicates(["n_bytes", "content"]).select("row")
-    return single.unionByName(several).select("row.*")
+                       F.sha2(text, 256).alias("content"))
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("content") == F.col("gone")), "left_anti")
+    return rows.dropDuplicates(["id", "content"]).select("row.*")
 
 
 SQL = """

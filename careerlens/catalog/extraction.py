@@ -315,7 +315,7 @@ _SHAPES_SQL = f"""
 
 def _shapes(spark, sf):
     links = text_anchors(fx.pages(spark, sf).withColumnRenamed("url", "page_url"))
-    word = F.substring("href", 2, 10_000)
+    word = F.expr("substring(href, 2)")
     forms = {
         "root": F.concat(F.lit("/"), word),
         "relative": F.concat(word, F.lit("?x=1#a")),

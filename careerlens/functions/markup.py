@@ -7,10 +7,12 @@ parser would give them: ``MARK`` stands between two neighbouring text nodes.
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careerlens.functions.text import BLANK_CLASS, quoted, strip
+from careerlens.functions.text import BLANK_CLASS, strip
 
 MARK = "\x01"
 
@@ -24,33 +26,50 @@ _QUOTED = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _TAG = r"(?i)</?[a-z]" + _QUOTED + r">"
 _LOOSE_TAG = r"(?i)</?[a-z][^>]*>"
 
-# Named character references that are decoded natively. '&amp;' must be last.
-NAMED_REFERENCES = (
-    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"),
-    ("bull", "•"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"),
-    ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("pound", "£"),
-    ("yen", "¥"), ("deg", "°"), ("times", "×"), ("auml", "ä"),
-    ("ouml", "ö"), ("uuml", "ü"), ("Auml", "Ä"), ("Ouml", "Ö"),
-    ("Uuml", "Ü"), ("szlig", "ß"), ("eacute", "é"), ("egrave", "è"),
-    ("agrave", "à"), ("ccedil", "ç"), ("ntilde", "ñ"), ("amp", "&"),
-)
-_NUMERIC = r"^&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));"
+# The named character references of HTML 4, as the standard library decodes them. Other names are left to the parser.
+NAMED_REFERENCES = {name: html5[name + ";"] for name in name2codepoint} | {"apos": "'"}
+# Fixed values of the HTML standard: what numeric references to 128-159 stand for.
+C1_REFERENCES = {
+    128: "\u20ac", 130: "\u201a", 131: "\u0192", 132: "\u201e", 133: "\u2026", 134: "\u2020", 135: "\u2021",
+    136: "\u02c6", 137: "\u2030", 138: "\u0160", 139: "\u2039", 140: "\u0152", 142: "\u017d", 145: "\u2018",
+    146: "\u2019", 147: "\u201c", 148: "\u201d", 149: "\u2022", 150: "\u2013", 151: "\u2014", 152: "\u02dc",
+    153: "\u2122", 154: "\u0161", 155: "\u203a", 156: "\u0153", 158: "\u017e", 159: "\u0178",
+}
+_REFERENCE = r"^&(?:#(?:[xX]0*([0-9A-Fa-f]+)|0*([0-9]+));?|([A-Za-z][A-Za-z0-9]*);)"
+_TOO_LARGE = 0x110000
 
 
 def decode_references(name: str) -> Column:
-    """Decode the numeric and the ``NAMED_REFERENCES`` references of a column."""
-    code = (f"lpad(if(regexp_extract(p, r'{_NUMERIC}', 1) != '', regexp_extract(p, r'{_NUMERIC}', 1), "
-            f"conv(regexp_extract(p, r'{_NUMERIC}', 2), 10, 16)), 8, '0')")
-    numeric = (
-        f"if(contains(`{name}`, '&#'), array_join(transform(split(`{name}`, '(?=&#)'), p -> "
-        f"if(p rlike r'{_NUMERIC}', concat(decode(unhex({code}), 'UTF-32'), "
-        f"regexp_replace(p, r'{_NUMERIC}', '')), p)), ''), `{name}`)")
-    named = numeric
-    for ref, char in NAMED_REFERENCES:
-        named = f"replace({named}, '&{ref};', {quoted(char)})"
-    return F.expr(f"if(contains(`{name}`, '&'), {named}, `{name}`)")
+    """Decode the numeric and the ``NAMED_REFERENCES`` references of a column, each once.
+
+    The text is split before every ``&``. A code that is zero, a surrogate or beyond U+10FFFF gives U+FFFD, other
+    codes that are no characters give nothing, as in the HTML standard's rules for references.
+    """
+    def piece(p: Column) -> Column:
+        hexa, digits, word = (F.regexp_extract(p, _REFERENCE, g) for g in (1, 2, 3))
+        code = F.when(F.length(hexa) > 6, _TOO_LARGE).when(hexa != "", F.conv(hexa, 16, 10).cast("long")) \
+            .when(F.length(digits) > 7, _TOO_LARGE).when(digits != "", digits.cast("long"))
+        rest = F.regexp_replace(p, _REFERENCE, "")
+        named = F.try_element_at(_literal_map(NAMED_REFERENCES), word)
+        return F.when(code.isNotNull(), F.concat(_character(code), rest)) \
+            .otherwise(F.coalesce(F.when(word != "", F.concat(named, rest)), p))
+
+    text = F.col(f"`{name}`")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")).otherwise(text)
+
+
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def _character(code: Column) -> Column:
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    low = F.pmod(code, F.lit(0x10000))
+    nothing = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) \
+        | (low >= 0xFFFE)
+    return F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code >= _TOO_LARGE), "\ufffd") \
+        .when(code.between(128, 159), F.coalesce(F.try_element_at(_literal_map(C1_REFERENCES), code.cast("int")), plain)) \
+        .when(nothing, "").otherwise(plain)
 
 
 def visible(html: Column) -> Column:

@@ -227,15 +227,21 @@ def export_view(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(c, ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
 
 
+# Blanks stay, and an empty text differs from a null, which is written as NULL_MARK.
+NULL_MARK = "\\N"
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "nullValue": NULL_MARK}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with header and RFC quoting."""
     (export_view(df).write.mode("overwrite").option("header", True)
-     .option("quote", '"').option("escape", '"').csv(path))
+     .options(**CSV_OPTIONS).csv(path))
 
 
 def read_csv_export(spark: SparkSession, path: str, schema) -> DataFrame:
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
+            .options(**CSV_OPTIONS).csv(path))
 
 
 def save_metrics(metrics: DataFrame, path: str) -> None:

@@ -108,7 +108,7 @@ def test_main_text_regions_and_nesting(spark):
 
 
 def test_native_references_decode_like_the_standard_library(spark):
-    texts = [f"x&{n};y" for n, _ in NAMED_REFERENCES] + [
+    texts = [f"x&{n};y" for n in NAMED_REFERENCES] + [
         "&amp;lt;", "&#65;&#x1F600;!", "&#x4e2d;&#25991;", "a & b", "&unknown;", "&#; &#x;", "no"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     wrong = [(r.t, r.d) for r in df.withColumn("d", decode_references("t")).collect()
@@ -227,3 +227,24 @@ def test_workers_need_no_package(tmp_path):
             "print(f('<p>x <b>y</b></p>').text(), rule.card[0].accepts(f('<p class=course-item>').find('p')))")
     done = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.split() == ["x", "y", "True"], done.stderr
+
+
+def test_random_references_equal_the_standard_library(spark):
+    import html
+    import random
+
+    rng = random.Random(5)
+    bodies = ["#0", "#9999999", "#xD800", "#128", "#129", "#159", "#x00000041", "#38", "#x26", "#65x", "#1", "#11", "#xFFFE",
+              "#x10FFFF", "#x110000", "#" + "9" * 40, "#x" + "f" * 40, "#xZ", "#", "amp", "lt", "oacute", "aacute", "nbsp",
+              "nosuchname", "", "#13", "#x1FFFF", "#160"]
+    texts = ["".join(rng.choice(["a", "&", ";", "&" + rng.choice(bodies) + ";", "&#" + str(rng.randrange(1 << 22)) + ";", "lt;"])
+                     for _ in range(rng.randrange(1, 8))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def wanted(text):
+        import re
+
+        return re.sub(r"&#[xX]?[0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;", lambda m: html.unescape(m[0]), text)
+
+    wrong = [(r.t, r.d, wanted(r.t)) for r in df.withColumn("d", decode_references("t")).collect() if r.d != wanted(r.t)]
+    assert not wrong, wrong[:3]

@@ -149,3 +149,9 @@ def test_freshness_boundary(spark):
         "url string, fetched_at timestamp")
     assert [r.url for r in rules.fresh_snapshots(df, F.lit(as_of)).collect()] == ["a"]
     assert [r.url for r in rules.expired_snapshots(df, F.lit(as_of)).collect()] == ["b"]
+
+
+def test_csv_keeps_blanks_empty_texts_and_nulls(spark, tmp_path, rows):
+    data = [(1, "  padded  "), (2, ""), (3, None), (4, "a,\"b\"")]
+    store.export_csv(spark.createDataFrame(data, "id int, title string"), str(tmp_path / "csv"))
+    assert rows(store.read_csv_export(spark, str(tmp_path / "csv"), "id int, title string")) == data

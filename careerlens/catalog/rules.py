@@ -137,8 +137,8 @@ def pr5_default(spark, sf):
 _FAULTY_SQL = """
   faulty as (
     select doc_id, nullif(company, 'src3') as company,
-      case lang when 'es' then substring(title, 1, doc_id % 5) when 'de' then substring(text, 1, 400)
-        else '  ' || title || ' ' end as title,
+      case lang when 'es' then case doc_id % 3 when 0 then '' when 1 then lang else nullif(company, 'src3') end
+        when 'de' then title || ' ' || text else '  ' || nullif(company, 'src3') || ' ' || doc_id || ' ' end as title,
       case lang when 'fr' then 'mailto:' || company else ' ' || url end as bad_url, url, lang from fx_records),
   checked as (
     select doc_id, company, title, case when lang = 'fr' then bad_url else url end as url from faulty)
@@ -147,9 +147,12 @@ _FAULTY_SQL = """
 
 def _faulty(spark, sf):
     lang = F.col("lang")
-    title = (F.when(lang == "es", F.substring(F.col("title"), F.lit(1), (F.col("doc_id") % 5).cast("int")))
-             .when(lang == "de", F.substring("text", 1, 400))
-             .otherwise(F.concat(F.lit("  "), "title", F.lit(" "))))
+    kind = F.col("doc_id") % 3
+    title = (F.when((lang == "es") & (kind == 0), "").when((lang == "es") & (kind == 1), lang)
+             .when(lang == "es", F.nullif(F.col("company"), F.lit("src3")))
+             .when(lang == "de", F.concat("title", F.lit(" "), "text"))
+             .otherwise(F.concat(F.lit("  "), F.nullif(F.col("company"), F.lit("src3")), F.lit(" "), "doc_id",
+                                 F.lit(" "))))
     return fx.records(spark, sf).select(
         "doc_id", F.nullif(F.col("company"), F.lit("src3")).alias("company"), title.alias("title"),
         F.when(lang == "fr", F.concat(F.lit("mailto:"), "company")).otherwise(F.col("url")).alias("url"))

@@ -279,15 +279,24 @@ def scan_context(spark, sf):
 
 
 @query("snk2_run_rows", using="fx_pages", sql=f"""
-with {_MATCH_SQL}, c as (select site, count(*) as n from matches group by site)
-select p.site as company, timestamp '2024-01-31 00:00:00' as ts, 'Success' as status,
-  cast(coalesce(n, 0) as int) as postings_found
-from (select distinct site from fx_pages) p left join c using (site)""")
+with {_MATCH_SQL}, c as (select site, count(*) as n from matches group by site),
+  p as (select distinct site, md5(site) < '6' as failed from fx_pages)
+select 'Company ' || p.site as company, timestamp '2024-01-31 00:00:00' as ts,
+  case when failed then 'Error' else 'Success' end as status,
+  case when failed then 0 else cast(coalesce(n, 0) as int) end as postings_found,
+  case when failed then 'HTTP 503' end as error_message
+from p left join c using (site)""")
 def snk2(spark, sf):
-    pages = _scan_pages(spark, sf)
-    found = keyword_scan.native_matches(pages, LINKS)
-    rows = keyword_scan.run_rows(pages, found, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
-    return rows.select("company", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "postings_found")
+    # companies are named otherwise than their sites, and the fetch of some sites failed
+    landed = fx.pages(spark, sf).select("site", F.when(F.md5("site") < "6", "HTTP 503").alias("fetch_error"))
+    pages = _scan_pages(spark, sf).filter(~(F.md5("company") < "6"))
+    found = keyword_scan.native_matches(
+        pages.withColumn("company", F.concat(F.lit("Company "), "company")), LINKS)
+    targets = landed.select("site").distinct().withColumn("company", F.concat(F.lit("Company "), "site"))
+    rows = keyword_scan.run_rows(
+        targets, keyword_scan.fetch_outcomes(landed), found, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+    return rows.select(
+        "company", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "postings_found", "error_message")
 
 
 @query("ux1_plugin_records", using="fx_pages", sql=f"""

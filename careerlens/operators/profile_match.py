@@ -17,7 +17,6 @@ from careerlens.operators.dedup import top_per_key
 from careerlens.operators.small_tables import array_literal, skew_safe_lookup
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}+#]+"
-PROJECT_LIMIT = 500
 PLACEHOLDERS = ("SUMMARY", "PROJECTS", "SKILLS")
 
 
@@ -79,16 +78,16 @@ def rank_projects(df: DataFrame, projects: Sequence[Project], key: str, text: st
     Ties go to the project listed first. Shared terms are found once per row
     against all project terms, then split by project.
     """
-    if len(projects) > PROJECT_LIMIT:
-        raise ValueError(f"more than {PROJECT_LIMIT} projects in one profile")
     every = array_literal(sorted({t for p in projects for t in p.terms()}))
     shared = df.select(key, F.array_intersect(F.array_distinct(tokens(F.col(text))), every).alias("__hit"))
-    rated = F.array(*[
-        F.struct(
-            (-F.size(F.array_intersect("__hit", array_literal(p.terms())))).alias("neg"),
-            F.lit(i).alias("ord"), F.lit(p.title).alias("project"))
+    # one constant, so the size of the expression does not depend on the number of projects
+    known = F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(p.title).alias("project"), array_literal(p.terms()).alias("terms"))
         for i, p in enumerate(projects)
     ])
+    rated = F.transform(known, lambda p: F.struct(
+        (-F.size(F.array_intersect(F.col("__hit"), p["terms"]))).alias("neg"),
+        p["ord"].alias("ord"), p["project"].alias("project")))
     best = F.slice(F.array_sort(rated), 1, keep)
     rows = shared.select(key, F.posexplode_outer(best).alias("__p", "__b"))
     return rows.select(

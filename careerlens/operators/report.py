@@ -84,7 +84,7 @@ def last_run(run_log: DataFrame) -> DataFrame:
 
 
 def last_run_per_site(run_log: DataFrame) -> DataFrame:
-    latest = F.max_by(F.struct("status", "postings_found"), F.col("ts")).alias("__r")
+    latest = F.max_by(F.struct("status", "postings_found"), F.struct("ts", "postings_found", "status")).alias("__r")
     return run_log.groupBy("company").agg(F.max("ts").alias("ts"), latest).select("company", "ts", "__r.*")
 
 

@@ -63,7 +63,7 @@ def with_site_rules(df: DataFrame, rules: Sequence[SiteRule], company: str = "co
     """Left lookup of the company's rule; companies without one get empty values."""
     if rules:
         table = rule_table(df.sparkSession, rules)
-        df = df.join(F.broadcast(table), F.col(company) == F.col("rule_company"), "left").drop("rule_company")
+        df = df.join(table, F.col(company) == F.col("rule_company"), "left").drop("rule_company")
     else:
         df = df.withColumns({
             "allow_text_contains": array_literal(()), "extra_url_patterns": array_literal(()),
@@ -82,7 +82,7 @@ def with_link_cap(df: DataFrame, caps: Mapping[str, int], fallback: int | None =
     if not caps:
         return df.withColumn(out, F.lit(base))
     table = literal_table(df.sparkSession, list(caps.items()), "__cc string, __cap int")
-    joined = df.join(F.broadcast(table), F.col(company) == F.col("__cc"), "left")
+    joined = df.join(table, F.col(company) == F.col("__cc"), "left")
     return joined.withColumn(out, F.coalesce("__cap", F.lit(base))).drop("__cc", "__cap")
 
 

@@ -1,35 +1,27 @@
 """Joining with side tables.
 
-Only two things are ever broadcast by hint: literal tables, whose row count is
-checked when they are made, and the bounded list of heavy keys below. All other
-joins carry no hint: the optimizer and adaptive execution broadcast by measured
-size and otherwise shuffle, splitting skewed partitions.
+Only the bounded list of heavy keys below is ever broadcast by hint. All other
+joins carry no hint: the optimizer and adaptive execution broadcast by known or
+measured size and otherwise shuffle, splitting skewed partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-LITERAL_ROWS = 10_000
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Typed-in rows as a local relation, so the optimizer knows their exact size."""
-    if len(rows) > LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} literal rows; write them to a table and read it instead")
     struct = T.StructType.fromDDL(schema)
-    frame = pd.DataFrame(list(rows), columns=struct.names, dtype=object)
-    previous = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false")
-    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    try:
-        return spark.createDataFrame(frame, struct)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", previous)
+    fields = to_arrow_schema(struct)
+    columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), struct)
 
 
 def skew_safe_lookup(

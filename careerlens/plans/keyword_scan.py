@@ -52,11 +52,30 @@ def matches_per_site(matches: DataFrame) -> DataFrame:
     return matches.groupBy("company").agg(F.count("*").alias("n"))
 
 
-def run_rows(pages: DataFrame, inserted: DataFrame, at: Column) -> DataFrame:
-    """Run-log rows: every scanned site with its newly stored postings."""
-    counts = inserted.groupBy("company").agg(F.count("*").alias("__n"))
-    scanned = pages.select("company").distinct()
-    return scanned.join(counts, "company", "left").select(
-        at.cast("timestamp").alias("ts"), "company", F.lit("Success").alias("status"),
+def run_rows(targets: DataFrame, outcomes: DataFrame, inserted: DataFrame, at: Column,
+             missing: str | None = None) -> DataFrame:
+    """Run-log rows: one per company of ``targets(site, company)`` with its newly stored postings.
+
+    ``outcomes(site, status, error_message)`` are those of :func:`fetch_outcomes`. A company is successful when one
+    of its sites is. Targets without an outcome get an error row with the text ``missing``, or no row without it.
+    """
+    counts = inserted.groupBy(F.col("company").alias("__c")).agg(F.count("*").alias("__n"))
+    mine = targets.select("site", "company").join(outcomes, "site", "inner" if missing is None else "left")
+    mine = mine.groupBy("company").agg(
+        F.coalesce(F.bool_or(F.col("status") == "Success"), F.lit(False)).alias("__ok"),
+        F.min(F.coalesce("error_message", F.lit(missing))).alias("__message"))
+    return mine.join(counts, F.col("company") == F.col("__c"), "left").select(
+        at.cast("timestamp").alias("ts"), "company",
+        F.when(F.col("__ok"), "Success").otherwise("Error").alias("status"),
         F.coalesce("__n", F.lit(0)).cast("int").alias("postings_found"),
-        F.lit(None).cast("string").alias("error_message"))
+        F.when(~F.col("__ok"), F.col("__message")).alias("error_message"))
+
+
+def fetch_outcomes(pages: DataFrame) -> DataFrame:
+    """Outcome per site of landed pages: a row with a ``fetch_error`` is a failed fetch, every other one a page."""
+    error = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
+    found = pages.groupBy("site").agg(
+        F.bool_or(error.isNull()).alias("__ok"), F.min(error).alias("__message"))
+    return found.select(
+        "site", F.when(F.col("__ok"), "Success").otherwise("Error").alias("status"),
+        F.when(~F.col("__ok"), F.col("__message")).alias("error_message"))

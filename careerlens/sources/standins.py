@@ -29,7 +29,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     """Scraped records: exact copies of a text share one url."""
     return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.col("source").alias("company"),
-        F.trim(F.substring("text", 1, 80)).alias("title"),
+        F.trim("text").alias("title"),
         F.concat(F.lit(URL_ROOT), F.md5("text")).alias("url"), "text", "lang")
 
 
@@ -83,7 +83,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
 SQL = {
     "fx_pages": "select page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as site, url, html from pages",
     "fx_records": (
-        "select doc_id, source as company, trim(substring(text, 1, 80)) as title, "
+        "select doc_id, source as company, trim(text) as title, "
         "'https://jobs.example.com/' || md5(text) as url, text, lang from documents"),
     "fx_history": (
         "select distinct 'https://jobs.example.com/' || md5(d.text) as url from documents d "

@@ -30,11 +30,13 @@ def keyword_scan_of(targets: DataFrame, policy: LinkPolicy = LinkPolicy(), conte
     return run
 
 
-def process_batch(pages: DataFrame, run_id: str, root: str, scan: Scan, found: Column) -> None:
+def process_batch(pages: DataFrame, run_id: str, root: str, scan: Scan, found: Column,
+                  targets: DataFrame | None = None) -> None:
     """Scan one batch, insert what is new, write alerts and run log.
 
     Everything is written under ``run_id``; repeating the call with the same
-    batch and id replaces its own output and nothing else.
+    batch and id replaces its own output and nothing else. ``targets(site, company)``
+    names the companies of the log; without it a site is its own company.
     """
     spark = pages.sparkSession
     matches = scan(pages)
@@ -42,12 +44,15 @@ def process_batch(pages: DataFrame, run_id: str, root: str, scan: Scan, found: C
     rows = store.as_postings(unique, found, matched=F.col("matched_keywords"))
     inserted = store.insert_run(spark, root, rows, run_id)
     store.write_alerts(store.alert_messages(inserted, F.col("date_found")), root, run_id)
-    scanned = pages.select(F.col("site").alias("company"))
-    store.log_runs(keyword_scan.run_rows(scanned, inserted, found), root, run_id)
+    outcomes = keyword_scan.fetch_outcomes(pages)
+    if targets is None:
+        targets = outcomes.select("site", F.col("site").alias("company"))
+    store.log_runs(keyword_scan.run_rows(targets, outcomes, inserted, found), root, run_id)
 
 
 def start_intake(pages: DataFrame, root: str, scan: Scan, name: str = "intake",
-                 found: Column | None = None, checkpoint: str | None = None) -> StreamingQuery:
+                 found: Column | None = None, checkpoint: str | None = None,
+                 targets: DataFrame | None = None) -> StreamingQuery:
     """Process every landed page once and stop (run it from a scheduler).
 
     The checkpoint lies in the folder the cluster names in
@@ -57,7 +62,7 @@ def start_intake(pages: DataFrame, root: str, scan: Scan, name: str = "intake",
     where = checkpoint or f"{checkpoint_root(pages.sparkSession)}/{name}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, f"{name}-{batch_id:08d}", root, scan, stamp)
+        process_batch(batch, f"{name}-{batch_id:08d}", root, scan, stamp, targets)
 
     return (pages.writeStream.queryName(name).foreachBatch(step)
             .option("checkpointLocation", where).trigger(availableNow=True).start())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -38,14 +39,15 @@ class _Gate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         before = last
-        for batch in rows:
-            batch = batch.sort_values("us", kind="stable")
-            passed = []
-            for us in batch["us"]:
-                ok = last is None or us - last > self.ttl_us
-                last = us if ok else last
-                passed.append(ok)
-            yield batch[passed][["url", "us"]]
+        # a key may come in several chunks that are not ordered among each other: 8 bytes are kept of each row
+        times = np.sort(np.concatenate([np.empty(0, np.int64), *[batch["us"].to_numpy(np.int64) for batch in rows]]))
+        passed, at = [], 0 if last is None else int(np.searchsorted(times, last + self.ttl_us, side="right"))
+        while at < len(times):
+            last = int(times[at])
+            passed.append(last)
+            at = int(np.searchsorted(times, last + self.ttl_us, side="right"))
+        if passed:
+            yield pd.DataFrame({"url": key[0], "us": passed})
         if last != before:
             self.last.update((int(last),))
             self.handle.registerTimer((int(last) + self.ttl_us) // 1000 + 1)

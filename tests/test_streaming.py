@@ -71,6 +71,29 @@ def test_repeated_batch_replaces_itself(spark, sf, tmp_path, rows):
     assert store.inserted_by(spark, root, "r-2").count() == 0
 
 
+def test_run_log_names_companies_and_failures(spark, sf, tmp_path):
+    root = str(tmp_path / "root")
+    page = '<a href="/jobs/1">The Graduate Engineer</a>'
+    pages = spark.createDataFrame(
+        [(1, "a.example.com", "https://a.example.com/x", page, None),
+         (2, "b.example.com", "https://b.example.com/x", None, "HTTP 503"),
+         (3, "c.example.com", "https://c.example.com/x", "<p>none</p>", None)],
+        "page_id bigint, site string, url string, html string, fetch_error string")
+    targets = spark.createDataFrame(
+        [("a.example.com", "Company A"), ("b.example.com", "Company B"), ("c.example.com", "Company C"),
+         ("d.example.com", "Company D")], "site string, company string")
+    scan = intake.keyword_scan_of(targets.withColumn("keywords", F.array(F.lit("Graduate"))), LinkPolicy(min_text=3))
+    found = F.to_timestamp(F.lit(AT))
+    intake.process_batch(pages, "r-1", root, scan, found, targets)
+    log = store.read_run_log(spark, root).select("company", "status", "postings_found", "error_message").collect()
+    assert sorted(map(tuple, log)) == [
+        ("Company A", "Success", 1, None), ("Company B", "Error", 0, "HTTP 503"), ("Company C", "Success", 0, None)]
+    whole = keyword_scan.run_rows(targets, keyword_scan.fetch_outcomes(pages), store.read_postings(spark, root),
+                                  found, missing="no page")
+    assert [tuple(r) for r in whole.filter("company = 'Company D'").select("status", "error_message").collect()] == [
+        ("Error", "no page")]
+
+
 def test_native_and_context_scan_agree_on_plain_pages(spark, sf, rows):
     pages = fx.pages(spark, sf)
     mine = keyword_scan.pages_of_targets(pages.withColumnRenamed("url", "page_url"), _targets(pages))
@@ -115,6 +138,22 @@ def test_gate_lets_through_after_life_time(spark, tmp_path):
     assert got == [("a", 0), ("a", 3601), ("a", 7202), ("b", 10)]
 
 
+def test_gate_orders_a_key_over_small_chunks(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", refetch.ROCKSDB)
+    seconds = [9000, 0, 4000, 3601, 7202, 100]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        _, stream = _fetches(spark, tmp_path, "c", [("a", s) for s in seconds])
+        q = (refetch.gate_refetches(stream).writeStream.format("memory").queryName("chunks").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    start = dt.datetime(2024, 1, 1)
+    got = sorted(int((r.fetched_at - start).total_seconds()) for r in spark.table("chunks").collect())
+    assert got == [0, 3601, 7202]
+
+
 def test_first_within_watermark(spark, tmp_path):
     _, stream = _fetches(spark, tmp_path, "g", [("a", 0), ("a", 10), ("b", 5)])
     q = (refetch.first_within_watermark(stream).writeStream.format("memory").queryName("within").outputMode("append")

@@ -83,11 +83,9 @@ def test_spread_leaves_enough_splits_alone(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_literal_tables_are_bounded(spark):
-    import pytest
-
-    with pytest.raises(ValueError):
-        literal_table(spark, [(i,) for i in range(10_001)], "i int")
+def test_literal_tables_take_any_number_of_rows(spark):
+    rows = literal_table(spark, [(i, ["a", None]) for i in range(10_001)], "i int, s array<string>")
+    assert rows.count() == rows.filter("size(s) = 2 and s[1] is null").select("i").distinct().count() == 10_001
 
 
 def test_reordered_skills_are_a_permutation(spark, sf):

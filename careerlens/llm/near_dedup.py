@@ -4,7 +4,10 @@ A document's set holds its distinct shingles of five words. Documents with equal
 compared through one representative. Bands of a MinHash signature deal classes to buckets. A bucket of up to
 ``small_bucket`` classes compares all of them; in a larger one every class is compared with ``pivots`` classes: those
 which share most with the rest, as counted by the sizes of all their buckets. Further rounds take other pivots in
-buckets that still hold several components, until a round adds no link.
+buckets that still hold several components, until a round adds no link. Then one exhaustive round takes what is left:
+in every large bucket that still holds several components, all classes of different components are compared, block
+of ``block`` classes by block, and confirmed in the same task, so only links leave it. A pair is compared where its
+first common band is, and not at all if that was a small bucket.
 
 A candidate's signatures are compared in batches of components. After each batch the number of agreements gives a beta
 posterior (uniform prior) of the similarity; where the chance that it reaches the threshold is below ``miss``, the
@@ -38,6 +41,7 @@ SMALL_BUCKET = 16
 PIVOTS = 4
 MISS = 1e-5
 BATCH = 16
+BLOCK = 256
 
 
 def band_rows(bands: int = BANDS, rows: int = ROWS, count: int = PERMUTATIONS, seed: int = 5) -> np.ndarray:
@@ -146,6 +150,46 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRE
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def cross_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD,
+                miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between classes of different components that share a bucket.
+
+    ``rows`` has key, size, rep and component, ``reps`` rep, sig and bands, ``sets`` doc_id and found. A bucket's
+    classes are dealt to blocks by a hash; every two blocks meet in a group of their own, which is all a task holds.
+    """
+    part, whole = threshold
+    least = least_agreements(part / whole, miss, PERMUTATIONS, BATCH)
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "rep", "component")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rep, of, x = (group[c].to_numpy(np.int64) for c in ("rep", "component", "x"))
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
+        bands = np.stack(group["bands"].to_list())
+        found = [np.frombuffer(f, np.uint64) for f in group["found"]]
+        n = np.array([len(f) for f in found])
+        key, lo, hi = (group[c].iloc[0] for c in ("key", "lo", "hi"))
+        right = np.flatnonzero(x == hi)
+        out = []
+        for i in np.flatnonzero(x == lo):
+            j = right[(of[right] != of[i]) & ((right > i) | (lo != hi))]
+            j = j[whole * np.minimum(n[i], n[j]) >= part * np.maximum(n[i], n[j])]
+            if len(j):
+                first = (bands[j] == bands[i]).argmax(axis=1)
+                j = j[bands[j, first] == key]
+                j = j[survive(np.broadcast_to(sig[i], (len(j), PERMUTATIONS)), sig[j], least)]
+            for k in j:
+                both = len(np.intersect1d(found[i], found[k], assume_unique=True))
+                if whole * both >= part * (n[i] + n[k] - both):
+                    out.append((max(rep[i], rep[k]), min(rep[i], rep[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = rows.join(reps, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def representatives(marks: DataFrame) -> DataFrame:
     """One row per class of equal, non-empty sets: rep (its least id), sig, bands."""
     there = marks.where("n_shingles > 0 and doc_id is not null")
@@ -153,16 +197,13 @@ def representatives(marks: DataFrame) -> DataFrame:
     return least.select(F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"), F.col("r.bands").alias("bands"))
 
 
-def members(marks: DataFrame, label: DataFrame | None) -> DataFrame:
+def members(marks: DataFrame, label: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row, from its class and the class's component."""
     rows = marks.select("doc_id", "n_shingles", "h1", "h2")
     there = rows.where("n_shingles > 0 and doc_id is not null")
     classes = there.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    if label is None:
-        classes = classes.withColumnRenamed("rep", "component_id")
-    else:
-        classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     linked = there.join(classes, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("not (n_shingles > 0 and doc_id is not null)")
     out = linked.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -176,8 +217,8 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, small_bucket: int = SMALL_BUCKET,
-             pivots: int = PIVOTS, miss: float = MISS) -> tuple[DataFrame, DataFrame | None]:
-    """Confirmed links (a, b) of class representatives and their components (None without a link)."""
+             pivots: int = PIVOTS, miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) of class representatives and their components."""
     docs = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     reps = representatives(marks)
     level = threshold[0] / threshold[1]
@@ -191,16 +232,23 @@ def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     sigs = reps.select("rep", "sig")
     links: DataFrame | None = None
     label: DataFrame | None = None
+
+    def sets_of(reps_wanted: DataFrame) -> DataFrame:
+        # written first, so that the plan of the join knows how small the list is and need not move the texts
+        wanted = written(reps_wanted.distinct().toDF("doc_id"), "wanted")
+        sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width)
+        return sets.dropDuplicates(["doc_id", "found"])
+
+    def unresolved() -> DataFrame:
+        at = shared.where(F.col("size") > small_bucket)
+        at = at.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        at = at.withColumn("component", F.coalesce("component", "rep"))
+        several = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        return at.join(several.where("lo < hi").select("key"), "key", "left_semi")
+
     known = taken = 0
     while True:
-        at = shared
-        if label is not None:
-            at = at.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            at = at.withColumn("component", F.coalesce("component", "rep"))
-            several = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            at = at.where(F.col("size") > small_bucket).join(several.where("lo < hi").select("key"), "key", "left_semi")
-        else:
-            at = at.withColumn("component", F.col("rep"))
+        at = shared.withColumn("component", F.col("rep")) if label is None else unresolved()
         order = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
         ahead = at.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(small_bucket, pivots + taken))
         ahead = ahead.where((F.col("size") <= small_bucket) | F.col("place").between(taken + 1, taken + pivots))
@@ -211,25 +259,30 @@ def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         found = found.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
         found = found.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
         alive = written(prune(found, level, miss), "candidates")
-        # written first, so that the plan of the join knows how small the list is and need not move the texts
-        wanted = written(alive.select("a").union(alive.select("b")).distinct().toDF("doc_id"), "wanted")
-        sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width)
-        good = confirm(alive, sets.dropDuplicates(["doc_id", "found"]), threshold)
+        good = confirm(alive, sets_of(alive.select("a").union(alive.select("b"))), threshold)
         links = written(good if links is None else links.union(good), "links")
         count = links.count()
-        if count == known:
+        if label is not None and count == known:
             break
         known, taken = count, taken + pivots
         label = components(links)
-    return links, label
+
+    rest = written(unresolved().select("key", "size", "rep", "component"), "rest")
+    if rest.isEmpty():
+        return links, label
+    more = written(cross_links(rest, reps, sets_of(rest.select("rep")), threshold, miss, block), "links")
+    if more.isEmpty():
+        return links, label
+    links = written(links.union(more).distinct(), "links")
+    return links, components(links)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, small_bucket: int = SMALL_BUCKET,
-                 pivots: int = PIVOTS, miss: float = MISS) -> DataFrame:
+                 pivots: int = PIVOTS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     marks = sketch_table(docs, id_col, text_col, width)
-    _, label = links_of(marks, docs, id_col, text_col, threshold, width, small_bucket, pivots, miss)
+    _, label = links_of(marks, docs, id_col, text_col, threshold, width, small_bucket, pivots, miss, block)
     return members(marks, label)
 
 

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from careerlens.llm import (edit_counts, exact_dedup, fingerprints, html_text, lm_score, mixing, near_dedup, packing,
                             shingles, tokens, toxicity, url_reputation)
@@ -168,6 +170,39 @@ def test_near_dedup_hub_in_large_bucket(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_components(rows)
 
 
+def test_near_dedup_exhaustive_round(spark):
+    """Links between classes of a large bucket that no pivot reaches, over several blocks and rows of one id."""
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(300)]
+    rows = []
+    for group in range(12):
+        own = [f"g{group}_{i}" for i in range(60)]
+        for k in range(3):
+            words = common + own
+            for at in rng.choice(360, 2, replace=False):
+                words[at] = f"x{group}_{k}_{at}"
+            rows.append((group + 12 * k, " ".join(words)))
+    rows.append((5, "another text of the same id as one above"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = near_dedup.sketch_table(docs)
+    reps = near_dedup.representatives(marks)
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keyed.join(sizes, "key").withColumn("component", F.col("rep"))
+    sets = near_dedup.shingle_sets(docs)
+    got = [{tuple(r) for r in near_dedup.cross_links(shared, reps, sets, (85, 100), block=b).collect()} for b in (4, 64)]
+    whole = {}
+    for doc_id, text in rows:
+        words = text.split()
+        whole.setdefault(doc_id, []).append({tuple(words[i:i + 5]) for i in range(len(words) - 4)})
+    want = {(a, b) for a in whole for b in whole if a > b
+            if any(100 * len(s & t) >= 85 * len(s | t) for s in whole[a] for t in whole[b])}
+    assert got[0] == got[1] == want and len(want) > 12
+    small = near_dedup.near_classes(docs, small_bucket=1, pivots=1, block=4).select("doc_id", "component_id").collect()
+    usual = near_dedup.near_classes(docs).select("doc_id", "component_id").collect()
+    assert sorted(small) == sorted(usual)
+
+
 def test_similar_pairs(spark, sf, docs):
     frame = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "A b c d e f g h i j"), (3, "a b c d e f g h i j k"),
                                    (4, "z y x")], "doc_id long, text string")

@@ -7,7 +7,8 @@ notices, comments) count towards tags and give no line. The ratio of a line is i
 a Gaussian window, and lines are clustered by a threshold, the standard deviation of the smoothed ratios: regions of
 neighbouring lines in one container are kept if one of their lines reaches it. The best region is always kept.
 
-Where a page has an ``article`` or ``main`` element with text, regions are looked for inside it alone. Character
+Where a page has an ``article`` or ``main`` element with text, all lines inside such elements are kept and none
+outside; ratios only find the content of pages without one. Character
 references are decoded; white space inside a block becomes one space, ``br`` included; blocks are joined in page order
 by a line feed. Null and empty pages give an empty text, as do pages without text outside such elements. Elements that
 are never closed end with the page or with the element around them. Repeated rows give a row each. An empty table gives an empty result.
@@ -160,7 +161,7 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
 def main_text(html: str | None) -> str:
     lines = page_lines(html or "")
     if any(inside for *_, inside in lines):
-        lines = [x for x in lines if x[3]]
+        return "\n".join(text for text, _, _, inside in lines if inside)
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) / tags for text, tags, _, _ in lines]))

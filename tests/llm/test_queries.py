@@ -242,6 +242,19 @@ def test_html_cases(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("before, after", [(8, 0), (5, 5), (6, 6), (10, 8), (4, 6)])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_list_after_advert(tag, before, after):
+    """Short blocks between adverts stay, however long the paragraphs around them are."""
+    long = [f"<p>{'word ' * 59}{i:05}</p>" for i in range(before + after)]
+    items = "<ul>" + "".join(f"<li>item {i:07}</li>" for i in range(4)) + "</ul>"
+    advert = "<div class='advert'>Buy this</div>"
+    html = f"<body><p>outside</p><{tag}>{''.join(long[:before])}{advert}{items}{advert}{''.join(long[before:])}</{tag}></body>"
+    paragraphs = [f"{'word ' * 59}{i:05}" for i in range(before + after)]
+    want = paragraphs[:before] + [f"item {i:07}" for i in range(4)] + paragraphs[before:]
+    assert html_text.main_text(html) == "\n".join(want)
+
+
 def test_edit_counts(spark, sf, docs):
     from tokenizers import Tokenizer
 

@@ -1,10 +1,12 @@
 """Mixing sources to target weights as a Pfair schedule, in DataFrame functions only.
 
 A source's rows form blocks. Block j of a source with weight w is released at slot floor(j / w) and due by slot
-ceil((j + 1) / w); every slot goes to the released block with the earliest deadline. With weights that are fractions
-of ``period`` the schedule repeats after ``period`` slots, so it is worked out once for one period (its length is a
-parameter, or four slots for each named source if that is more) and joined to the rows by source and block number.
-At every slot each source has got its share of the slots so far to within less than one block.
+ceil((j + 1) / w); every slot goes to the released block with the earliest deadline. Weights are taken as exact
+fractions of their sum, whatever their size, and the schedule is worked out for all slots up to the last deadline of a
+block that has rows. At every slot each source has got its exact share of the slots so far to within less than one
+block. The slots are worked out on the driver, ``CHUNK_SLOTS`` at a time; their number is the largest, over the sources,
+of blocks by weight, and a source of tiny weight and many rows makes it large. They are joined to the rows by source
+and block number.
 
 Every row keeps its place: a source that runs out leaves its slots empty and the others go on in their proportions;
 no row is dropped or repeated. Null sources form a source of their own. Rows of a source without a
@@ -14,17 +16,22 @@ result; ties (equal ids) are ordered arbitrarily among themselves. Helper column
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping
+import functools
+import heapq
+import itertools
+import math
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.llm.common import columns, numbered
+from careerlens.llm.common import columns, numbered, written
 
 PERIOD = 1000
 BLOCK_ROWS = 16
+CHUNK_SLOTS = 1_000_000
 
 
 def quantised(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -42,55 +49,79 @@ def quantised(weights: Mapping[str | None, float], period: int = PERIOD) -> dict
     return shares
 
 
+def exact_shares(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*[x.denominator for x in exact.values()])
+    shares = {s: int(x * whole) for s, x in exact.items()}
+    part = math.gcd(*shares.values())
+    return {s: x // part for s, x in shares.items()}
+
+
+def pfair_slots(shares: Mapping[str | None, int], slots: int) -> Iterator[tuple[str | None, int, int]]:
+    """(source, block, slot) of the first slots: earliest deadline first among released blocks."""
+    total = sum(shares.values())
+    names = sorted(shares, key=lambda s: (-shares[s], s is None, s or ""))
+    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    for slot in range(slots):
+        while waiting and waiting[0][0] <= slot:
+            _, i, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(block + 1) * total // shares[names[i]]), i, block))
+        _, i, block = heapq.heappop(ready)
+        yield names[i], block, slot
+        heapq.heappush(waiting, ((block + 1) * total // shares[names[i]], i, block + 1))
+
+
 def pfair_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one period: earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    done = dict.fromkeys(shares, 0)
-    out = []
-    for slot in range(period):
-        ready = [s for s in shares if done[s] < shares[s] and done[s] * period // shares[s] <= slot]
-        chosen = min(ready, key=lambda s: (-(-(done[s] + 1) * period // shares[s]), -shares[s], s is None, s or ""))
-        out.append((chosen, done[chosen], slot))
-        done[chosen] += 1
-    return out
-
-
-def schedule(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS,
-             period: int = PERIOD) -> DataFrame:
+    """(source, block, slot) of one period."""
+    return list(pfair_slots(shares, sum(shares.values())))
+
+
+def plan_of(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int) -> DataFrame:
+    """s, k, slot of every block that has rows, written in chunks. One row per source comes to the driver."""
+    shares = exact_shares(weights)
+    total = sum(shares.values())
+    counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+    blocks = {s: -(-n // block_rows) for s, n in counts.items() if s in shares}
+    slots = max((-(-n * total // shares[s]) for s, n in blocks.items()), default=0)
+    places = pfair_slots(shares, slots)
+    kind = "s string, k long, slot long"
+    chunks = []
+    for _ in range(0, slots, CHUNK_SLOTS):
+        some = [x for x in itertools.islice(places, CHUNK_SLOTS) if x[1] < blocks.get(x[0], 0)]
+        if some:
+            chunks.append(written(rows.sparkSession.createDataFrame(pd.DataFrame(some, columns=["s", "k", "slot"]), kind), "mixing-plan"))
+    return functools.reduce(DataFrame.union, chunks) if chunks else rows.sparkSession.createDataFrame([], kind)
+
+
+def schedule(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add block, slot and position to rows that have doc_id and source."""
-    period = max(period, 4 * len(weights))
-    shares = quantised(weights, period)
-    table = [{"s": s, "k": k, "at": at, "share": shares[s]} for s, k, at in pfair_period(shares)]
-    kind = "array<struct<s:string,k:int,at:int,share:int>>"
-    plan = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), kind)))
+    plan = plan_of(rows, weights, block_rows)
     rows = numbered(rows.withColumn("_h", F.xxhash64("doc_id")), ["source"], ["_h", "doc_id"],
                     F.xxhash64("doc_id", F.lit(7)), "_rank").drop("_h")
     rows = rows.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
-    # the plan has one row for each slot of a period: its broadcast is bounded by the given weights
-    share = plan.groupBy("s").agg(F.first("share").alias("share"))
-    rows = rows.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = rows.withColumn("k", F.pmod("block", F.col("share")).cast("int"))
-    places = plan.select(F.col("s"), F.col("k").alias("k2"), "at")
-    rows = rows.join(F.broadcast(places), F.col("source").eqNullSafe(F.col("s")) & (F.col("k") == F.col("k2")), "left")
-    slot = (F.floor(F.col("block") / F.col("share")) * period + F.col("at")).cast("long")
-    place = (slot * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long")
-    return rows.withColumn("slot", slot).withColumn("position", place).drop("_rank", "share", "k", "s", "k2", "at")
-
-
-def mix(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS, period: int = PERIOD,
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")), "left")
+    place = (F.col("slot") * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long")
+    return rows.withColumn("position", place).drop("_rank", "k", "s")
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS,
         id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Per row: doc_id, source, block, slot, position. Ordered by position the rows are the mixture."""
     rows = columns(docs, doc_id=id_col, source=source_col)
     rows = rows.select("doc_id", F.col("source").cast("string").alias("source"))
-    return schedule(rows, weights, block_rows, period).select("doc_id", "source", "block", "slot", "position")
+    return schedule(rows, weights, block_rows).select("doc_id", "source", "block", "slot", "position")
 
 
 def mixed_rows(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS,
-               period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+               id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows with all their columns in the order of the mixture, by ranges of positions."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
                        F.col(f"`{source_col}`").cast("string").alias("source"))
-    rows = schedule(rows, weights, block_rows, period).select("row", "position")
+    rows = schedule(rows, weights, block_rows).select("row", "position")
     return rows.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 

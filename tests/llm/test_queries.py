@@ -324,6 +324,25 @@ def test_pfair_deviates_less_than_a_block():
             assert all(abs(done[s] * 100 - shares[s] * (slot + 1)) < 100 for s in shares)
 
 
+def test_mixing_follows_the_given_weights(spark):
+    """Less than a block from the exact weights at every slot, over many periods and with a weight below 1/1000."""
+    weights = {"big": 0.5, "rare": 0.0007, **{f"s{i:02}": (0.5 - 0.0007) / 18 for i in range(18)}}
+    total = sum(weights.values())
+    done = dict.fromkeys(weights, 0)
+    for s, block, slot in mixing.pfair_slots(mixing.exact_shares(weights), 20_000):
+        assert block == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - weights[x] / total * (slot + 1)) < 1 + 1e-6 for x in done)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "big").when(
+        F.col("id") % 1500 == 1, "rare").otherwise(F.format_string("s%02d", F.col("id") % 18)).alias("source"))
+    got = mixing.mix(docs, weights, block_rows=1).toPandas()
+    assert len(got) == 6000 == got["slot"].nunique()
+    for s, rows in got.groupby("source"):
+        slots = rows["slot"].sort_values().to_numpy()
+        share, nth = weights[s] / total, np.arange(1, len(slots) + 1)
+        assert (np.abs(nth - share * (slots + 1)) < 1 + 1e-6).all(), s
+
+
 def brute_lm(rows):
     uni, pair, train = collections.Counter(), collections.Counter(), 0
     words = lambda t: [*(t or "").encode().lower().split(), b" end"]

@@ -10,6 +10,11 @@ As an automaton: every known token is a state, with an arc for each known pair t
 arc weighs log10 BACKOFF and leads to the root, which has an arc for every token. A state that was never a context is
 the root itself. A text is scored in one traversal from the start state, which carries the state and adds up weights.
 
+``score`` is that of the text's classes: every unknown token counts as the one class of unknown tokens, so it tells
+nothing of which token stands there, and scores of texts with different numbers of unknown tokens don't compare.
+``log10_prob`` is the log10 probability of the text itself: each unknown token has 1 / (N + V + 1) of its own in place
+of V / (N + V), as in ``base_score``; that leaves room for V distinct unknown tokens.
+
 The model is never gathered in one place. Texts are dealt to blocks of about ``BLOCK_BYTES``; a block sends the sorted
 64-bit keys of its distinct tokens and pairs with their training counts, split by ranges of keys; each range sums the
 counts over all blocks and answers every block with the totals in the block's own order. A block then builds the part
@@ -180,16 +185,19 @@ def score_block(docs: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, start
     c = counts[1][word]
     ends = np.append(starts[1:], len(tokens))
     words = word.tolist()
+    score = np.array([machine.score(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
+    known = np.add.reduceat((c > 0).astype(np.int64), starts)
+    own = np.log10(max(1, n + v) / max(1, v) / (n + v + 1))  # one unknown word's part of the mass of all of them
     return pd.DataFrame({
         "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": ends - starts,
-        "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": n,
+        "n_known": known, "train_tokens": n,
         "base_score": np.add.reduceat(np.log10((c + 1) / (n + v + 1)), starts),
-        "score": [machine.score(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]})
+        "score": score, "log10_prob": score + (ends - starts - known) * own})
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
               keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_prob."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.count("*")).first()
     count = max(1, -(-(size[0] or 0) // block_bytes))
     # about one distinct pair or token for every seven bytes of a block
@@ -204,6 +212,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return score_block(docs, answers, n, v, start)
 
     kind = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-            "score double")
+            "score double, log10_prob double")
     found = answers.select("block", "kind", "part", "counts")
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, kind)

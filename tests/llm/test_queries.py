@@ -380,6 +380,24 @@ def test_lm(spark, sf, docs):
     assert held["score"].sum() > held["base_score"].sum()
 
 
+def test_lm_unknown_words_have_their_own_share(spark):
+    """Known words and each unknown one are single outcomes: gibberish is not more likely than clean text."""
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, f"the w{i} is a word{i}") for i in train] + [(held[0], "the w0 is a word1"), (held[1], "qx zv kj pf ww")]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    want = dict(brute_lm(rows))
+    uni = collections.Counter(w for i, t in rows if i in train for w in [*t.split(), "end"])
+    n, v = sum(uni.values()), len(uni)
+    for i, _ in rows:
+        tokens_, known, _, _, score = want[i]
+        assert got.loc[i, "log10_prob"] == pytest.approx(score + (tokens_ - known) * (np.log10(1 / (n + v + 1)) - np.log10(v / (n + v))))
+    assert got.loc[held[1], "log10_prob"] == pytest.approx(
+        5 * np.log10(0.75 / (n + v + 1)) - 4 * np.log10(0.75) + np.log10(uni["end"] / (n + v)))
+    assert got.loc[held[0], "log10_prob"] > got.loc[held[1], "log10_prob"]
+    assert 10 ** np.log10(1 / (n + v + 1)) * v + sum(c / (n + v) for c in uni.values()) < 1
+
+
 def test_lm_block_size_plays_no_part(spark, sf):
     a = QUERIES["op10_lm_score"](spark, sf).toPandas().set_index("doc_id").sort_index()
     b = lm_score.lm_scores(read(spark, sf, "documents"), block_bytes=50_000, keys_per_range=5_000).toPandas()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from careerlens.llm import (edit_counts, exact_dedup, fingerprints, html_text, lm_score, mixing, near_dedup, packing,
-                            toxicity, url_reputation)
+                            pieces, toxicity, url_reputation)
 from careerlens.llm.common import read
 
 
@@ -51,6 +51,11 @@ def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.lm_scores(read(spark, sf, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.piece_digests(read(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filter, op4_fingerprints, op5_near_dedup,
-                                   op6_html_text, op7_edit_counts, op8_exact_dedup, op9_mixing, op10_lm_score)}
+                                   op6_html_text, op7_edit_counts, op8_exact_dedup, op9_mixing, op10_lm_score,
+                                   op11_pieces)}
 ORACLES = {"op3_url_filter": url_reputation.SQL, "op8_exact_dedup": exact_dedup.SQL}

@@ -397,7 +397,7 @@ def piece_spans(docs: DataFrame, model: str | None = None, id_col: str = "doc_id
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64").repeat(counts).reset_index(drop=True),
                 "position": np.concatenate([np.empty(0, np.int64)] + [np.arange(n) for n in counts]), "id": ids,
-                "piece": [found.pieces[i].decode() for i in ids], "begin": span[:, 0], "end": span[:, 1]})
+                "piece": pd.Series([found.pieces[i].decode() for i in ids], dtype=object), "begin": span[:, 0], "end": span[:, 1]})
 
     return _rows(docs, id_col, text_col).mapInPandas(
         run, "doc_id long, position long, id int, piece string, begin long, end long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from careerlens.llm import (edit_counts, exact_dedup, fingerprints, html_text, lm_score, mixing, near_dedup, packing,
-                            pieces, toxicity, url_reputation)
+                            pieces, toxicity, url_reputation, whitening)
 from careerlens.llm.common import read
 
 
@@ -55,7 +55,11 @@ def op11_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filter, op4_fingerprints, op5_near_dedup,
                                    op6_html_text, op7_edit_counts, op8_exact_dedup, op9_mixing, op10_lm_score,
-                                   op11_pieces)}
+                                   op11_pieces, op12_whitening)}
 ORACLES = {"op3_url_filter": url_reputation.SQL, "op8_exact_dedup": exact_dedup.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careerlens.llm import (edit_counts, exact_dedup, fingerprints, html_text, lm_score, mixing, near_dedup, packing,
+from careerlens.llm import (edit_counts, exact_dedup, fingerprints, hard_negatives, html_text, lm_score, mixing, near_dedup, packing,
                             pieces, toxicity, url_reputation, whitening)
 from careerlens.llm.common import read
 
@@ -59,7 +59,12 @@ def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whitened(read(spark, sf, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filter, op4_fingerprints, op5_near_dedup,
                                    op6_html_text, op7_edit_counts, op8_exact_dedup, op9_mixing, op10_lm_score,
-                                   op11_pieces, op12_whitening)}
-ORACLES = {"op3_url_filter": url_reputation.SQL, "op8_exact_dedup": exact_dedup.SQL}
+                                   op11_pieces, op12_whitening, op13_hard_negatives)}
+ORACLES = {"op3_url_filter": url_reputation.SQL, "op8_exact_dedup": exact_dedup.SQL,
+           "op13_hard_negatives": hard_negatives.SQL}

@@ -26,7 +26,7 @@ def docs(spark, sf):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()
     bag = lambda f: collections.Counter(map(repr, f[sorted(f)].astype(object).where(f.notna(), None).values.tolist()))

@@ -2,18 +2,16 @@
 
 Tokens are runs of non-blank bytes, with only A-Z lower-cased, then one end token per text. The model is a bigram model
 learned from the training fold. With N training tokens and V distinct ones, a token seen c times has the unigram
-probability c / (N + V) and all others together V / (N + V). After a context h seen in training
+probability p(w) = c / (N + V), and each other token 1 / (N + V + 1) of its own, which leaves room for V of them: over
+any vocabulary of that size the probabilities sum to at most 1. After a context h seen c(h) times in training
 
-    p(w | h) = (1 - BACKOFF) * c(h w) / c(h) + BACKOFF * p(w)
+    p(w | h) = (c(h w) + PRIOR * p(w)) / (c(h) + PRIOR)
 
-As an automaton: every known token is a state, with an arc for each known pair that weighs log10 p(w | h); its failure
-arc weighs log10 BACKOFF and leads to the root, which has an arc for every token. A state that was never a context is
-the root itself. A text is scored in one traversal from the start state, which carries the state and adds up weights.
-
-``score`` is that of the text's classes: every unknown token counts as the one class of unknown tokens, so it tells
-nothing of which token stands there, and scores of texts with different numbers of unknown tokens don't compare.
-``log10_prob`` is the log10 probability of the text itself: each unknown token has 1 / (N + V + 1) of its own in place
-of V / (N + V), as in ``base_score``; that leaves room for V distinct unknown tokens.
+so that a rare context leans on the unigrams and two occurrences count for more than one. As an automaton: every known
+token is a state, with an arc for each known pair that weighs log10 p(w | h); its failure arc weighs
+log10 (PRIOR / (c(h) + PRIOR)) and leads to the root, which has an arc for every token. A state that was never a context
+is the root itself. A text is scored in one traversal from the start state, which carries the state and adds up weights;
+``score`` is the log10 probability of the text.
 
 The model is never gathered in one place. Texts are dealt to blocks of about ``BLOCK_BYTES``; a block sends the sorted
 64-bit keys of its distinct tokens and pairs with their training counts, split by ranges of keys; each range sums the
@@ -21,9 +19,9 @@ counts over all blocks and answers every block with the totals in the block's ow
 of the automaton that its texts can reach. So each task holds one block or one range, and a frequent token is one
 entry per block.
 
-Null texts count as empty and consist of the end token. A row with a null id belongs to the training fold. Repeated
-rows are scored each. Without training rows all probabilities are 1 class (score 0). An empty table gives an empty result. Other
-columns are ignored.
+Null texts count as empty and consist of the end token. Texts of any length are read whole, one block at a time. A row
+with a null id belongs to the training fold. Repeated rows are scored each. Without training rows N and V are 0 and every
+token has probability 1 (score 0). An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +37,8 @@ from careerlens.llm.common import columns, crc_of, written
 from careerlens.llm.shingles import MIX, mixed, word_hashes, words_of
 
 FOLDS, HELD_OUT = 7, 2
-BACKOFF = 0.75
+#: Weight of the unigrams after a context, in occurrences.
+PRIOR = 128.0
 BLOCK_BYTES = 8 << 20
 KEYS_PER_RANGE = 1_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -143,17 +142,16 @@ class Automaton:
     def __init__(self, unigrams: np.ndarray, start: int, n: int, v: int):
         """``unigrams``: training counts of the words; ``start``: count of the start context."""
         self.words = len(unigrams)
-        mass = max(1, n + v)
-        self.unigram = np.where(unigrams > 0, unigrams, max(1, v)) / mass
+        self.unigram = np.where(unigrams > 0, unigrams / max(1, n + v), 1 / (n + v + 1))
         self.root = np.log10(self.unigram).tolist()
         self.seen = np.append(unigrams, start)
         self.state = np.where(self.seen > 0, np.arange(1, self.words + 2), 0).tolist()
-        self.fail = np.log10(BACKOFF)
+        self.fail = [0.0, *np.log10(PRIOR / (self.seen + PRIOR)).tolist()]
         self.arcs: dict[int, float] = {}
 
     def add_pairs(self, before: np.ndarray, word: np.ndarray, count: np.ndarray) -> None:
         """Arcs for known pairs; ``before`` is a word number or, for the start, the number of words."""
-        weight = np.log10((1 - BACKOFF) * count / self.seen[before] + BACKOFF * self.unigram[word])
+        weight = np.log10((count + PRIOR * self.unigram[word]) / (self.seen[before] + PRIOR))
         self.arcs.update(zip(((before + 1) * self.words + word).tolist(), weight.tolist()))
 
     def score(self, text: list[int]) -> float:
@@ -164,7 +162,7 @@ class Automaton:
             if arc is not None:
                 total += arc
             else:
-                total += root[w] + fail if state else root[w]
+                total += root[w] + fail[state]
             state = states[w]
         return total
 
@@ -187,17 +185,16 @@ def score_block(docs: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, start
     words = word.tolist()
     score = np.array([machine.score(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
     known = np.add.reduceat((c > 0).astype(np.int64), starts)
-    own = np.log10(max(1, n + v) / max(1, v) / (n + v + 1))  # one unknown word's part of the mass of all of them
     return pd.DataFrame({
         "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": ends - starts,
         "n_known": known, "train_tokens": n,
         "base_score": np.add.reduceat(np.log10((c + 1) / (n + v + 1)), starts),
-        "score": score, "log10_prob": score + (ends - starts - known) * own})
+        "score": score})
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
               keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_prob."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.count("*")).first()
     count = max(1, -(-(size[0] or 0) // block_bytes))
     # about one distinct pair or token for every seven bytes of a block
@@ -212,6 +209,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return score_block(docs, answers, n, v, start)
 
     kind = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-            "score double, log10_prob double")
+            "score double")
     found = answers.select("block", "kind", "part", "counts")
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, kind)

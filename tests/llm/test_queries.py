@@ -358,11 +358,11 @@ def brute_lm(rows):
         base = score = known = 0
         before = b" start"
         for w in words(text):
-            p1 = (uni[w] if uni[w] else v) / (n + v)
+            p1 = uni[w] / (n + v) if uni[w] else 1 / (n + v + 1)
             base += np.log10((uni[w] + 1) / (n + v + 1))
             known += uni[w] > 0
             h = context.get(before, 0)
-            score += np.log10(0.25 * pair[before, w] / h + 0.75 * p1 if pair[before, w] else 0.75 * p1 if h else p1)
+            score += np.log10((pair[before, w] + lm_score.PRIOR * p1) / (h + lm_score.PRIOR))
             before = w
         yield doc_id, (len(words(text)), known, n, base, score)
 
@@ -387,15 +387,44 @@ def test_lm_unknown_words_have_their_own_share(spark):
     rows = [(i, f"the w{i} is a word{i}") for i in train] + [(held[0], "the w0 is a word1"), (held[1], "qx zv kj pf ww")]
     got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
     want = dict(brute_lm(rows))
+    assert [got.loc[i, "score"] for i, _ in rows] == pytest.approx([want[i][4] for i, _ in rows])
     uni = collections.Counter(w for i, t in rows if i in train for w in [*t.split(), "end"])
-    n, v = sum(uni.values()), len(uni)
-    for i, _ in rows:
-        tokens_, known, _, _, score = want[i]
-        assert got.loc[i, "log10_prob"] == pytest.approx(score + (tokens_ - known) * (np.log10(1 / (n + v + 1)) - np.log10(v / (n + v))))
-    assert got.loc[held[1], "log10_prob"] == pytest.approx(
-        5 * np.log10(0.75 / (n + v + 1)) - 4 * np.log10(0.75) + np.log10(uni["end"] / (n + v)))
-    assert got.loc[held[0], "log10_prob"] > got.loc[held[1], "log10_prob"]
-    assert 10 ** np.log10(1 / (n + v + 1)) * v + sum(c / (n + v) for c in uni.values()) < 1
+    n, v, k = sum(uni.values()), len(uni), lm_score.PRIOR
+    assert got.loc[held[1], "score"] == pytest.approx(
+        5 * np.log10(1 / (n + v + 1)) + np.log10(k / (len(train) + k)) + np.log10(uni["end"] / (n + v)))
+    assert got.loc[held[0], "score"] > got.loc[held[1], "score"]
+
+
+def test_lm_is_a_probability():
+    """After every context the known words and as many unknown ones sum to at most 1."""
+    rng = np.random.default_rng(5)
+    texts = [[int(w) for w in rng.zipf(1.5, 12) % 9] for _ in range(40)]
+    uni = np.bincount([w for t in texts for w in t], minlength=9)
+    uni[8] = 0  # a word out of the training texts stands for each unknown one
+    pairs = collections.Counter((a, b) for t in texts for a, b in zip(t, t[1:]) if a < 8 and b < 8)
+    n, v = int(uni.sum()), int((uni > 0).sum())
+    seen = uni.copy()  # a context's own count: at least that of the pairs that begin with it
+    machine = lm_score.Automaton(seen, len(texts), n, v)
+    some = np.array(sorted(pairs))
+    machine.add_pairs(some[:, 0], some[:, 1], np.array([pairs[tuple(p)] for p in some.tolist()]))
+    for h in range(9):
+        state = machine.state[h]
+        p = [10 ** (machine.arcs[state * 9 + w] if state and state * 9 + w in machine.arcs else machine.root[w] + machine.fail[state])
+             for w in range(9)]
+        assert sum(p[:8]) + v * p[8] <= 1 + 1e-12
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """Of training texts in words of their own, those that occur twice are the likelier ones."""
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rng = np.random.default_rng(6)
+    text = lambda i: " ".join(f"{w}{i}" if k % 3 else f"c{w % 5}" for k, w in enumerate(rng.integers(0, 99, 30)))
+    rows = [(i, text(i)) for i in train]
+    rows[1::10] = [(i, t) for (i, _), (_, t) in zip(rows[1::10], rows[0::10])]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")["score"]
+    twice = [rows[k][0] for k in range(0, len(rows) - 1) if k % 10 < 2]
+    rest = [i for i, _ in rows if i not in twice]
+    assert got[twice].quantile(0.1) > got[rest].quantile(0.9)
 
 
 def test_lm_block_size_plays_no_part(spark, sf):

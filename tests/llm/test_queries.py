@@ -220,12 +220,66 @@ def test_prune_keeps_what_the_threshold_allows():
     assert near_dedup.survive(left, np.where(far, 0, 1).astype(np.uint32), least).mean() < 0.001
 
 
+def regex_text(html):
+    """The article of a generated page by patterns alone: nothing in it is boilerplate."""
+    import html as entities
+    import re
+
+    inner = re.search("(?s)<article>(.*)</article>", html)[1]
+    blocks = re.split("(?i)</?(?:p|h1|ul|li|div)[^>]*>", inner.replace("<br>", " "))
+    texts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
 def test_html_rows(spark, sf):
-    got = QUERIES["op6_html_text"](spark, sf).toPandas()
-    pages = read(spark, sf, "pages").toPandas().set_index("page_id")
+    got = QUERIES["op6_html_text"](spark, sf).toPandas().set_index("page_id")
+    pages = read(spark, sf, "pages").toPandas()
     assert len(got) == len(pages)
-    for r in got.itertuples():
-        assert r.text == html_text.main_text(pages.loc[r.page_id, "html"]) and r.n_chars == len(r.text)
+    for page_id, url, html in zip(pages["page_id"], pages["url"], pages["html"]):
+        want = regex_text(html)
+        assert got.loc[page_id].tolist() == [url, want, len(want)]
+
+
+def test_html_rows_without_article(spark, sf):
+    """The same pages with plain containers in the place of articles: ratios find the same content."""
+    pages = read(spark, sf, "pages")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div class='body'>"), "</article>", "</div>"))
+    box = "<div class='x1'><ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>More</a><li><a href=/d>Four</a></ul></div>"
+    boxed = bare.withColumn("html", F.regexp_replace("html", "<footer>", box + "<footer>"))
+    for frame in (bare, boxed):
+        got = html_text.extract(frame).toPandas().set_index("page_id")["text"]
+        for page_id, html in pages.select("page_id", "html").collect():
+            want = regex_text(html)  # beside a few words no box stands out
+            assert got[page_id] == want or frame is boxed and len(want) < 400 and got[page_id].startswith(want)
+
+
+def test_smoothing_by_hand():
+    ratios = np.array([1.0, 50.0, 3.0, 0.5, 0.0, 9.0])
+    weight = [np.exp(-d * d / 2) for d in range(3)]
+    want = []
+    for i in range(6):
+        near = [j for j in range(6) if abs(i - j) <= 2]
+        want.append(sum(weight[abs(i - j)] * ratios[j] for j in near) / sum(weight[abs(i - j)] for j in near))
+    assert html_text.smoothed(ratios) == pytest.approx(want)
+
+
+def test_kept_lines():
+    """Containers above the deviation, the best one in any case, and what lies between kept ones of a parent."""
+    ratios, parents = np.array([90.0, 80.0, 1.0, 70.0, 1.0, 1.0]), np.array([0, 0, 0, 0, 0])
+    assert html_text.kept_lines(ratios, np.array([1, 1, 2, 3, 4, 4]), parents).tolist() == [True] * 4 + [False] * 2
+    assert html_text.kept_lines(np.array([1.0, 1.0]), np.array([0, 1]), np.array([0, 0])).tolist() == [True, True]
+
+
+@pytest.mark.parametrize("html", ["<b>" * 40_000 + "x" + "</i>" * 210_000, "<td><ul>" + "<b>" * 60_000 + "<td></td>" * 90_000,
+                                  "<p><b>" * 160_000, "</div>" * 170_000, "<li><i>" * 140_000, "<div><p>" * 120_000])
+def test_html_unmatched_tags(html):
+    import time
+
+    assert len(html) > 700_000
+    start = time.perf_counter()
+    html_text.main_text(html)
+    per_mb = (time.perf_counter() - start) / len(html) * 1e6
+    assert per_mb < 6  # proportional to the length; the quadratic form took minutes
 
 
 @pytest.mark.parametrize("html, text", [
@@ -237,6 +291,11 @@ def test_html_rows(spark, sf):
     ("<script>var a='</p>';</script><style>p{}</style><form><p>Name</p></form>plain", "plain"),
     ("<article><p>A&#9999999;B &#x80; &oacute;</p></article>", "A\ufffdB \u20ac \u00f3"),
     ("<article><p><b>open <i>never closed<p>next</article><p>outside", "open never closed\nnext"),
+    ("<main><p>Text</p><article class='comment'><p>me too</p></article></main><article class='related-post'>more</article>", "Text"),
+    ("<article><p>a</p><div class='share-price'>5.20</div><ul class='search-results'><li>b</li></ul><p class='adverb'>c</p></article>", "a\n5.20\nb\nc"),
+    ("<article><p>a</p><div class='ad-1'>x</div><div class='commentList'>y</div><div id='cookie-notice'>z</div><p>b</p></article>", "a\nb"),
+    ("<article><p class='ad'>x" + "<i>" * 9 + "<div>content</div></article>", "content"),
+    ("<article><div class='header'>Title</div><p>a</article>", "Title\na"),
 ])
 def test_html_cases(html, text):
     assert html_text.main_text(html) == text

@@ -17,7 +17,8 @@ without punctuation at the ends. Only features that occur in at least ``MIN_POSI
 The classifiers are fitted on bounded samples (``POSITIVES``, ``UNLABELLED`` rows in expectation), drawn by a hash of
 the id over all rows of the training fold. Every whole text is scored. Null and empty texts get the score of a text without features. Rows
 with a null id are scored and never trained on; rows repeated with one id are scored each, and their label is the
-largest. An empty table gives an empty result; without any positive all scores are 0. Other columns are ignored.
+largest. An empty table gives an empty result; without any positive all scores are 0, and a sample that is empty though
+there are rows is an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,6 +100,20 @@ def design(texts: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk on toxic and on clean texts, and their gradients, of weights ``w`` with the bias last."""
+    def slope(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
+        """Mean sigmoid loss 1 / (1 + exp(sign * g)) and its gradient."""
+        loss = 1 / (1 + np.exp(np.clip(sign * (x @ w[:-1] + w[-1]), -50, 50)))
+        g = -sign * loss * (1 - loss) / len(x)
+        return float(loss.mean()), np.append(x.T @ g, g.sum())
+
+    r_pp, up = slope(positive, +1)
+    r_pn, down_p = slope(positive, -1)
+    r_u, down_u = slope(unlabelled, -1)
+    return prior * r_pp, r_u - prior * r_pn, prior * up, down_u - prior * down_p
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = 30, batch: int = 256,
              rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier by Adam on the non-negative risk estimate.
@@ -111,22 +126,13 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
     m, v, step = np.zeros(d + 1), np.zeros(d + 1), 0
     share = len(positive) / max(1, len(unlabelled))
 
-    def slope(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-        """Mean sigmoid loss 1 / (1 + exp(sign * g)) and its gradient."""
-        loss = 1 / (1 + np.exp(np.clip(sign * (x @ w[:-1] + w[-1]), -50, 50)))
-        g = -sign * loss * (1 - loss) / len(x)
-        return float(loss.mean()), np.append(x.T @ g, g.sum())
-
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
         for at in range(0, len(order), batch):
             u = unlabelled[order[at:at + batch]]
             p = positive[rng.integers(0, len(positive), max(32, min(len(positive), round(len(u) * share))))]
-            _, up = slope(p, +1)
-            r_pn, down_p = slope(p, -1)
-            r_u, down_u = slope(u, -1)
-            clean = r_u - prior * r_pn
-            gradient = prior * up + (down_u - prior * down_p) if clean >= 0 else -(down_u - prior * down_p)
+            _, clean, up, down = risk(w, p, u, prior)
+            gradient = up + down if clean >= 0 else -down
             gradient[:-1] += decay * w[:-1]
             step += 1
             m = 0.9 * m + 0.1 * gradient
@@ -136,9 +142,32 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
     return w[:-1], float(w[-1])
 
 
+def hash_limit(share: float) -> int:
+    """The 64-bit hash below which this share of all hashes lies, to a part in 2^53."""
+    return -2**63 + min(2**64 - 1, int(min(1.0, share) * 2**64))
+
+
 def of_hash(share: float):
     """Condition that holds for this share of all ids, by a hash."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+    return F.lit(True) if share >= 1 else F.xxhash64("doc_id", F.lit(11)) < F.lit(hash_limit(share))
+
+
+def sample_of(texts: DataFrame, known: DataFrame, toxic: int, rows: int, positives: int = POSITIVES,
+              unlabelled: int = UNLABELLED) -> DataFrame:
+    """text, positive of the sampled rows of ``texts``; ``toxic`` and ``rows`` are the numbers that are drawn from.
+
+    ``known`` has doc_id and toxic. A sample without positives or without unlabelled texts is an error: a classifier of
+    nothing would pass every text.
+    """
+    # bounded by the sample's size: cut by the hash before it is sent
+    confirmed = known.where("toxic = 1").where(of_hash(positives / toxic)).select("doc_id")
+    sample = texts.join(F.broadcast(confirmed), "doc_id", "left_semi").withColumn("positive", F.lit(True)).unionByName(
+        texts.where(of_hash(unlabelled / rows)).withColumn("positive", F.lit(False)))
+    sample = written(sample.dropDuplicates(["doc_id", "positive"]).select("text", "positive"), "toxicity-sample")
+    kinds = {r["positive"] for r in sample.select("positive").distinct().collect()}
+    if kinds != {True, False}:
+        raise ValueError(f"no {'positive' if True not in kinds else 'unlabelled'} texts in a sample of {rows} rows, {toxic} of them toxic")
+    return sample
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict[str, float]:
@@ -150,16 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return {}
     prior = counts["toxic"] / counts["n"]
     texts = docs.where(fold)
-    rows = texts.agg(F.count("*")).first()[0]
-    # bounded by the sample's size: cut by the hash before it is sent
-    confirmed = known.where("toxic = 1").where(of_hash(positives / counts["toxic"])).select("doc_id")
-    sample = texts.join(F.broadcast(confirmed), "doc_id", "left_semi").withColumn("positive", F.lit(True)).unionByName(
-        texts.where(of_hash(unlabelled / max(1, rows))).withColumn("positive", F.lit(False)))
-    sample = written(sample.dropDuplicates(["doc_id", "positive"]).select("text", "positive"), "toxicity-sample")
+    # labels of documents that are not there teach nothing, and must not thin out the sample
+    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows, toxic = texts.count(), known.where("toxic = 1").count()
+    if not rows or not toxic:
+        return {}
+    sample = sample_of(texts, known, toxic, rows, positives, unlabelled)
     names = select_features(sample)
     x_p, x_u = sampled_hits(sample, {f: i for i, f in enumerate(names)})
-    if not len(x_p) or not len(x_u):
-        return {}
     fits = [fit_nnpu(x_p, x_u, prior, seed) for seed in SEEDS]
     weights = np.mean([w for w, _ in fits], axis=0)
     return {"": float(np.mean([b for _, b in fits])), **{f: float(x) for f, x in zip(names, weights)}}

@@ -40,6 +40,33 @@ def test_toxicity(spark, sf, docs):
     assert (got["held_out"] == held).all() and ((got["score"] >= 0.7) == (got["predicted"] == 1)).all()
 
 
+def test_risk_and_gradient():
+    """The non-negative risk by its definition, and its gradient by differences."""
+    rng = np.random.default_rng(1)
+    p, u, w, prior = rng.random((7, 4)).round(), rng.random((11, 4)).round(), rng.normal(size=5), 0.2
+    loss = lambda x, sign: np.mean([1 / (1 + np.exp(sign * (sum(a * b for a, b in zip(r, w)) + w[-1]))) for r in x])
+    toxic, clean, up, down = toxicity.risk(w, p, u, prior)
+    assert (toxic, clean) == pytest.approx((prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)))
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        more, less = toxicity.risk(w + step, p, u, prior), toxicity.risk(w - step, p, u, prior)
+        assert [up[i], down[i]] == pytest.approx([(more[k] - less[k]) / 2e-6 for k in (0, 1)], abs=1e-6)
+
+
+def test_sampling_has_no_least_share(spark):
+    """A share far below 1e-6 is drawn as such; a sample that comes out empty is an error and no classifier of nothing."""
+    share = 9000 / 1e11
+    assert toxicity.hash_limit(share) == pytest.approx(-2**63 + share * 2**64, abs=2**12)
+    assert [toxicity.hash_limit(s) for s in (0, 0.5, 1)] == [-2**63, 0, 2**63 - 1]
+    got = spark.range(2_000_000).withColumnRenamed("id", "doc_id").where(toxicity.of_hash(1e-4)).count()
+    assert 120 < got < 290
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i < 20)) for i in range(200)], "doc_id long, toxic int")
+    assert {r["positive"]: r["count"] for r in toxicity.sample_of(texts, known, 20, 200).groupBy("positive").count().collect()} == {True: 20, False: 200}
+    with pytest.raises(ValueError):
+        toxicity.sample_of(texts, known, 20, 10**11)
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(0)
     plain = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "tempor"]

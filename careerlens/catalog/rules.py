@@ -14,6 +14,7 @@ from careerlens.lexicon import CandidatePolicy, LinkPolicy, SiteRule
 from careerlens.operators import dedup, report, rules, store
 from careerlens.operators.anchors import text_anchors, titled_anchors
 from careerlens.operators.score import with_similarity
+from careerlens.session import scratch_folder
 from careerlens.sources import standins as fx
 from careerlens.sources import tables as src
 
@@ -428,6 +429,33 @@ def snk1(spark, sf):
         "doc_id", "company", "title", "url", "id", "applied_status")
 
 
+@query("store_runs_and_edits", using="fx_records fx_history", sql="""
+with firsts as (select url, min(doc_id) as doc_id from fx_records group by url),
+p as (
+  select r.url, r.doc_id, case when h.url is null then 'second' else 'first' end as run_id, l.quality
+  from firsts f join fx_records r on r.doc_id = f.doc_id left join fx_history h on h.url = f.url
+  left join labels l on l.doc_id = r.doc_id)
+select url, run_id, case when quality = 0 then 'Rejected' when quality = 1 then 'Applied' else 'Pending' end as applied_status,
+  case when quality = 1 then 'good' end as notes from p""")
+def store_runs(spark, sf):
+    # the written table: a run of the known addresses, a run of everything twice over, edits, and the second run again
+    at = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    root = scratch_folder(spark, "store")
+    every = dedup.dedup_by_url(fx.records(spark, sf), ["doc_id"])
+    old = every.join(fx.history(spark, sf), "url", "left_semi")
+    store.insert_run(spark, root, store.as_postings(old, at), "first")
+    store.insert_run(spark, root, store.as_postings(every, at), "second")
+    known = fx.table(spark, sf, "labels").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    edits = every.join(known, "doc_id").select(
+        urls.posting_id(F.col("company"), F.col("url")).alias("id"), F.lit(1).alias("edit_no"),
+        F.when(F.col("quality") == 0, "Rejected").otherwise("Applied").alias("applied_status"),
+        F.when(F.col("quality") == 1, "good").alias("notes"), F.lit(False).alias("resume_generated"))
+    store.record_edits(spark, root, edits.withColumn("edit_no", F.lit(0)).withColumn("notes", F.lit("older")), "e1")
+    store.record_edits(spark, root, edits, "e2")
+    store.insert_run(spark, root, store.as_postings(every, at), "second")
+    return store.read_postings(spark, root).select("url", "run_id", "applied_status", "notes")
+
+
 _EDITS_SQL = """
   edits as (
     select l_orderkey as id, l_returnflag as flag, l_linestatus as st, l_discount as disc

@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Above this bound Spark does not limit groups before the shuffle.
-GROUP_LIMIT = 1000
-SPREAD = 256
+PARTS = 256
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -26,9 +24,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int,
                 rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of every key by an explicit order."""
-    if n > GROUP_LIMIT:
-        # exact in two rounds: the top n of a key are among the top n of its parts
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))
+    # Spark limits groups before the shuffle up to a bound of its own; beyond it in two rounds, with the same rows: the
+    # top n of a key are among the top n of its parts
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
         inner = W.partitionBy(*keys, "__part").orderBy(*order)
         df = (df.withColumn("__part", part)
               .withColumn("__pr", F.row_number().over(inner))
@@ -59,16 +58,10 @@ def drop_seen(df: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
     return df.join(seen.select("seen_key"), key == F.col("seen_key"), "left_anti")
 
 
-def drop_known_urls(df: DataFrame, history: DataFrame, url: str = "url",
-                    reduce_history: bool = False) -> DataFrame:
+def drop_known_urls(df: DataFrame, history: DataFrame, url: str = "url") -> DataFrame:
     """As :func:`drop_seen` on the url itself, which reuses a partitioning by url.
 
-    ``reduce_history`` first cuts the history down to addresses that occur in
-    ``df``. When ``df`` is small, adaptive execution broadcasts it and a large
-    history is scanned but never shuffled; ``df`` is then read twice.
+    Both sides meet by url here; ``store.known_urls`` is the form whose history stays where it lies.
     """
     known = history.select(F.col(url).alias("__known"))
-    if reduce_history:
-        mine = df.select(F.col(url).alias("__mine"))
-        known = known.join(mine, F.col("__known") == F.col("__mine"), "left_semi")
     return df.join(known, F.col(url) == F.col("__known"), "left_anti")

@@ -2,18 +2,26 @@
 
 Layout under a shared root::
 
-    <root>/postings/version=<n>/run_id=<id>/found_day=<date>/*.parquet
+    <root>/postings/version=<n>/found_day=<date>/run_id=<id>/*.parquet   bucketed by url
+    <root>/filter/run_id=<id>/*.parquet                                  Bloom filter of the stored urls, by words
+    <root>/edits/edit_run=<id>/*.parquet                                 edit log, bucketed by url
     <root>/run_log/run_id=<id>/*.parquet
     <root>/alerts/run_id=<id>/*.parquet
 
-A run owns its ``run_id`` directory and overwrites it, and the history it is
-compared with leaves that run out. Repeating a run after a lost executor or
-driver therefore gives the same table. Edits and retention write the next
-version; a version counts once its ``_SUCCESS`` marker is there.
+Postings and edits are written in ``BUCKETS`` files by a hash of the url, which Spark knows when it reads them: joins on
+the url move the other side only. A run's urls first meet the filter, a table of at most ``FILTER_WORDS`` rows whatever
+the history; only possible hits meet the history itself.
+
+A run owns its ``run_id`` directories and replaces them, and the history it is compared with leaves that run out.
+Repeating a run after a lost executor or driver therefore gives the same table. An edit writes nothing but its log,
+which is resolved at read, so a repeated run keeps edits. Retention drops whole days. ``rewrite`` writes a next
+version, which counts once its ``_SUCCESS`` marker is there.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +31,12 @@ from careerlens.functions.urls import posting_id
 from careerlens.lexicon import RETENTION_DAYS
 from careerlens.operators.dedup import dedup_by_url, drop_known_urls
 
+BUCKETS = 16
+#: 64-bit words of the Bloom filter: some 6 urls a word give one false hit in 40.
+FILTER_WORDS = 1 << 22
+EDITED = ("applied_status", "notes", "resume_generated")
+NO_DAY = "1970-01-01"
+
 
 # ------------------------------------------------------ DataFrame operators
 
@@ -160,49 +174,236 @@ def _version_path(spark: SparkSession, root: str) -> str:
     return f"{root}/postings/version={current_version(spark, root)}"
 
 
-def read_postings(spark: SparkSession, root: str) -> DataFrame:
-    """All postings with their ``run_id`` and ``found_day``."""
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = _path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _table(spark: SparkSession, path: str, columns: str, partitions: str, key: str = "url") -> str:
+    """A catalog name for a folder of Parquet files bucketed by ``key``; partitions are found by listing."""
+    name = "careerlens_" + hashlib.md5(f"{path}|{BUCKETS}".encode()).hexdigest()
+    if spark.catalog.tableExists(name):
+        spark.catalog.refreshTable(name)
+        return name
+    setting = "spark.sql.hive.manageFilesourcePartitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        by = f"partitioned by ({partitions})" if partitions else ""
+        quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"create table {name} ({columns}) using parquet {by} clustered by ({key}) into {BUCKETS} buckets "
+                  f"location '{quoted}'")
+    finally:
+        spark.conf.set(setting, before)
+    return name
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _write_bucketed(df: DataFrame, path: str, partitions: tuple[str, ...], mode: str = "append", key: str = "url") -> None:
+    """Write into a folder bucketed by ``key``: one file per bucket and partition.
+
+    The shuffle is that of the buckets, so a day that holds most rows is written by as many tasks as there are buckets.
+    """
+    spark = df.sparkSession
+    kinds = {f.name: f for f in df.schema}
+    name = _table(spark, path, _ddl(df.schema), ", ".join(partitions), key)
+    given = [c for c in kinds if c not in partitions]
+    rows = df.select(*given, *partitions).repartition(BUCKETS, key)
+    rows.write.insertInto(name, overwrite=mode == "overwrite")
+    spark.catalog.refreshTable(name)
+
+
+def _postings_table(spark: SparkSession, root: str) -> str:
+    return _table(spark, _version_path(spark, root), f"{_ddl(schemas.POSTINGS)}, found_day date, run_id string",
+                  "found_day, run_id")
+
+
+def stored_postings(spark: SparkSession, root: str) -> DataFrame:
+    """Postings as they were inserted, with ``run_id`` and ``found_day``; edits are not in them."""
     path = _version_path(spark, root)
-    runs = [n for n in _children(spark, path) if n.startswith("run_id=")]
     schema = schemas.POSTINGS.add("run_id", "string").add("found_day", "date")
-    if not runs:
+    if not any(n.startswith("found_day=") for n in _children(spark, path)):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return spark.read.table(_postings_table(spark, root)).select(*schema.names)
+
+
+_EDIT_KIND = "url string, id string, edit_no bigint, applied_status string, notes string, resume_generated boolean"
+
+
+def _edit_log(spark: SparkSession, root: str) -> DataFrame | None:
+    path = f"{root}/edits"
+    if not any(n.startswith("edit_run=") for n in _children(spark, path)):
+        return None
+    return spark.read.table(_table(spark, path, f"{_EDIT_KIND}, edit_run string", "edit_run"))
+
+
+def latest_edits(spark: SparkSession, root: str) -> DataFrame | None:
+    """The last edit of each url, or None without any. The log's buckets are those of the groups."""
+    log = _edit_log(spark, root)
+    if log is None:
+        return None
+    last = F.max_by(F.struct("id", *EDITED), F.struct("edit_no", "edit_run"))
+    return log.groupBy("url").agg(last.alias("__edit"))
+
+
+def read_postings(spark: SparkSession, root: str) -> DataFrame:
+    """All postings with their last edits, ``run_id`` and ``found_day``.
+
+    Postings and edits lie in the same buckets of the url: neither side moves.
+    """
+    base = stored_postings(spark, root)
+    edits = latest_edits(spark, root)
+    if edits is None:
+        return base
+    joined = base.join(edits, "url", "left")
+    hit = F.col("__edit.id") == F.col("id")
+    return joined.withColumns({
+        c: F.when(hit, F.col("__edit").getField(c)).otherwise(F.col(c)) for c in EDITED}).select(*base.columns)
+
+
+def record_edits(spark: SparkSession, root: str, edits: DataFrame, edit_run: str) -> None:
+    """Append keyed edits to the log: (id, [edit_no,] applied_status, notes, resume_generated), NULLs included.
+
+    Of several edits of an id the largest ``edit_no`` wins, over all logs; without it the time of the call counts.
+    Ids that are not stored are ignored. Repeating a call with the same ``edit_run`` replaces its rows.
+    """
+    if "edit_no" not in edits.columns:
+        edits = edits.withColumn("edit_no", F.unix_micros(F.current_timestamp()))
+    given = edits.select("id", F.col("edit_no").cast("bigint").alias("edit_no"), *EDITED)
+    rows = stored_postings(spark, root).select("url", "id").join(given, "id")
+    _delete(spark, f"{root}/edits/edit_run={edit_run}")
+    _write_bucketed(rows.select("url", "id", "edit_no", *EDITED, F.lit(edit_run).alias("edit_run")),
+                    f"{root}/edits", ("edit_run",))
+
+
+def compact_edits(spark: SparkSession, root: str, edit_run: str) -> None:
+    """Fold the log into one entry per url, under ``edit_run``; postings are not touched."""
+    log = _edit_log(spark, root)
+    if log is None:
+        return
+    old = [n for n in _children(spark, f"{root}/edits") if n.startswith("edit_run=") and n != f"edit_run={edit_run}"]
+    last = log.groupBy("url").agg(F.max_by(F.struct("id", "edit_no", *EDITED), F.struct("edit_no", "edit_run")).alias("e"))
+    _write_bucketed(last.select("url", "e.*", F.lit(edit_run).alias("edit_run")), f"{root}/edits", ("edit_run",))
+    for name in old:  # entries that are still there beside their fold change nothing
+        _delete(spark, f"{root}/edits/{name}")
+
+
+# ------------------------------------------------------------ the url filter
+
+def _filter_bits(url: Column | str, words: int) -> tuple[Column, Column]:
+    """Word and mask of a url: four bits of one 64-bit word."""
+    h = F.xxhash64(url, F.lit(1))
+    mask = F.lit(0).cast("bigint")
+    for i in range(4):
+        place = F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+    return F.pmod(F.xxhash64(url), F.lit(words)), mask
+
+
+def filter_rows(urls: DataFrame, url: str = "url", words: int = FILTER_WORDS) -> DataFrame:
+    """(word, bits) of the urls' Bloom filter; at most ``words`` rows."""
+    word, mask = _filter_bits(url, words)
+    return urls.select(word.alias("word"), mask.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def possible_hits(urls: DataFrame, filters: DataFrame, url: str = "url", words: int = FILTER_WORDS) -> DataFrame:
+    """Rows of ``urls`` whose url may be in the filter: all stored ones, and few others."""
+    word, mask = _filter_bits(url, words)
+    every = filters.groupBy("word").agg(F.bit_or("bits").alias("__bits")).withColumnRenamed("word", "__word")
+    marked = urls.withColumn("__w", word).withColumn("__m", mask)
+    hit = (F.col("__w") == F.col("__word")) & (F.col("__bits").bitwiseAND(F.col("__m")) == F.col("__m"))
+    return marked.join(every, hit, "left_semi").drop("__w", "__m")
+
+
+def _filters(spark: SparkSession, root: str, run_id: str) -> DataFrame | None:
+    """Filter words of all runs but ``run_id``."""
+    path = f"{root}/filter"
+    names = [n for n in _children(spark, path) if n.startswith("run_id=") and n != f"run_id={run_id}"]
+    if not names:
+        return None
+    return spark.read.schema("word bigint, bits bigint").parquet(*[f"{path}/{n}" for n in names])
+
+
+def known_urls(spark: SparkSession, root: str, batch: DataFrame, run_id: str) -> DataFrame | None:
+    """Urls of ``batch`` that other runs stored; None if there is none.
+
+    What passes the filter is written apart, so its size is known when it meets the history. The history is read by
+    buckets of the url or against a broadcast list; it is never shuffled.
+    """
+    filters = _filters(spark, root, run_id)
+    if filters is None:
+        return None
+    path = f"{root}/possible/run_id={run_id}"
+    possible_hits(batch.select("url"), filters).write.mode("overwrite").parquet(path)
+    possible = spark.read.schema("url string").parquet(path)
+    if possible.isEmpty():
+        return None
+    history = stored_postings(spark, root).where(F.col("run_id") != run_id).select("url")
+    return history.join(possible, "url", "left_semi")
 
 
 def insert_run(spark: SparkSession, root: str, postings: DataFrame, run_id: str) -> DataFrame:
     """Insert-if-absent a run's postings; returns the rows this run inserted.
 
-    ``postings`` must have the postings columns and hold each url once (see
-    :func:`new_rows`).
+    ``postings`` must have the postings columns and hold each url once (see :func:`new_rows`).
     """
-    history = read_postings(spark, root).filter(F.col("run_id") != run_id).select("url")
-    target = f"{_version_path(spark, root)}/run_id={run_id}"
-    day = F.coalesce(F.to_date("date_found"), F.lit("1970-01-01").cast("date"))
-    # read twice: to cut the history down and to write. A lost block is recomputed.
+    day = F.coalesce(F.to_date("date_found"), F.lit(NO_DAY).cast("date"))
+    # read twice: for the filter and to write. A lost block is recomputed.
     batch = postings.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fresh = drop_known_urls(batch, history, reduce_history=True).withColumn("found_day", day)
-        _write_partitioned(fresh, target, "found_day")
+        known = known_urls(spark, root, batch, run_id)
+        fresh = batch if known is None else batch.join(known, "url", "left_anti")
+        fresh = fresh.select(*schemas.POSTINGS.names, day.alias("found_day"), F.lit(run_id).alias("run_id"))
+        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            # the filter first: a url that is stored is always in it
+            filter_rows(fresh).write.mode("overwrite").parquet(f"{root}/filter/run_id={run_id}")
+            path = _version_path(spark, root)
+            for name in _children(spark, path):
+                if name.startswith("found_day="):
+                    _delete(spark, f"{path}/{name}/run_id={run_id}")
+            _write_bucketed(fresh, path, ("found_day", "run_id"))
+        finally:
+            fresh.unpersist()
     finally:
         batch.unpersist()
+        _delete(spark, f"{root}/possible/run_id={run_id}")
     return inserted_by(spark, root, run_id)
 
 
-def _write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
-    """Few files per partition: small ones are merged, a hot one is split."""
-    (df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path))
-
-
 def inserted_by(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return read_postings(spark, root).filter(F.col("run_id") == run_id)
 
 
+def drop_expired(spark: SparkSession, root: str, as_of: Column, days: int = RETENTION_DAYS) -> int:
+    """Delete the days before the cutoff and return how many postings they held.
+
+    The count comes from the files' footers and the rest from names: no data is read or copied. Postings without a date
+    stay. Urls of dropped days may come back; the filter still takes them for possible hits, which the history denies.
+    """
+    path = _version_path(spark, root)
+    cutoff = spark.range(1).select(retention_cutoff(as_of, days).cast("string")).first()[0]
+    old = [n for n in _children(spark, path) if n.startswith("found_day=") and NO_DAY != n.split("=")[1] < cutoff]
+    if not old:
+        return 0
+    count = spark.read.schema(schemas.POSTINGS).parquet(*[f"{path}/{n}" for n in old]).count()
+    for name in old:
+        _delete(spark, f"{path}/{name}")
+    return count
+
+
 def rewrite(spark: SparkSession, root: str, changed: DataFrame) -> int:
     """Write ``changed`` (a whole table) as the next version and switch to it."""
     number = current_version(spark, root) + 1
     target = f"{root}/postings/version={number}"
-    _write_partitioned(changed, target, "run_id", "found_day")
+    day = F.coalesce("found_day", F.lit(NO_DAY).cast("date"))
+    _write_bucketed(changed.select(*schemas.POSTINGS.names, day.alias("found_day"), "run_id"), target, ("found_day", "run_id"))
+    filter_rows(changed).write.mode("overwrite").parquet(f"{root}/filter/run_id=version-{number}")
+    marker = _path(spark, f"{target}/_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
     return number
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 RUNTIME = {
@@ -44,3 +47,12 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is not set and no folder was given")
     return fallback
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run: in the shared checkpoint folder, or a temporary one on a local master without it."""
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not local:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='careerlens-')}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from careerlens.functions.text import bounded, first_line_title, first_nonblank
 from careerlens.lexicon import GRADUATE_TERMS, SectionPolicy
 from careerlens.operators.anchors import text_anchors, titled_anchors
 from careerlens.operators.dom import Pick, RecordRule, dom_links, extract_records, scoped_links
+from careerlens.operators.keywords import keyword_hits
 from careerlens.operators.main_text import main_text
 from careerlens.operators.records import section_records, with_fallback_rows, with_section_title
 from careerlens.sources import standins as fx
@@ -73,32 +74,33 @@ _SITE_ROWS = ", ".join(
     f"({sql_text(k)}, {sql_text(n)}, {sql_list(u)}, {w})" for k, n, u, _, w in src.SITES)
 
 
-# The given pages lie on none of the configured hosts: each is dealt to an entry of the configuration by its id.
-_SITE_KEYS = sorted(r[0] for r in src.SITES)
-_SOURCE_NAMES = sorted([r[0] for r in src.TARGETS] + [r[0] for r in src.BOARDS])
-_CALENDAR_NAMES = sorted(r[0] for r in src.CALENDAR)
+# The given pages lie on none of the configured hosts: beside the configured entries each landed host is one.
+_HOST = "regexp_extract({}, '^[a-z]+://([^/?#]+)', 1)"
 
 
-def _dealt(names) -> str:
-    """The entry of a page, in SQL."""
-    return f"list_extract({sql_list(names)}, page_id % {len(names)} + 1)"
+def _landed(spark, sf):
+    return fx.pages(spark, sf).select("site").distinct()
 
 
-def _pages_per_entry(spark, sf, names, out):
-    entry = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names) + 1).cast("int"))
-    return fx.table(spark, sf, "pages").groupBy(entry.alias("__entry")).agg(F.count("*").alias(out))
+def _pages_by_host(spark, sf, entries):
+    """Entries with the number of pages on the host of their ``url``."""
+    counts = fx.pages(spark, sf).groupBy(F.col("site").alias("__host")).agg(F.count("*").alias("pages"))
+    rows = entries.join(counts, urls.host_of(F.col("url")) == F.col("__host"), "left")
+    return rows.drop("__host").fillna(0, ["pages"])
 
 
 @query("src2_site_registry", using="fx_pages", sql=f"""
-with s as (select * from (values {_SITE_ROWS}) t(site_key, name, urls, wait_time))
-select s.site_key, s.name, s.urls[1] as url, cast(s.wait_time as int) as wait_time,
-  count(p.page_id) as pages
-from s left join fx_pages p on s.site_key = {_dealt(_SITE_KEYS)}
-group by all""")
+with s as (
+  select site_key, name, urls[1] as url, cast(wait_time as int) as wait_time
+  from (values {_SITE_ROWS}) t(site_key, name, urls, wait_time)
+  union all select distinct site, upper(site), 'https://' || site || '/', 1000 from fx_pages)
+select s.*, count(p.page_id) as pages from s left join fx_pages p on p.site = {_HOST.format('s.url')} group by all""")
 def src2(spark, sf):
-    counts = _pages_per_entry(spark, sf, _SITE_KEYS, "pages")
-    return src.sites(spark).join(counts, F.col("site_key") == F.col("__entry"), "left").select(
-        "site_key", "name", "url", "wait_time", F.coalesce("pages", F.lit(0)).alias("pages"))
+    landed = _landed(spark, sf).select(
+        F.col("site").alias("site_key"), F.upper("site").alias("name"),
+        F.concat(F.lit("https://"), "site", F.lit("/")).alias("url"), F.lit(1000).alias("wait_time"))
+    entries = src.sites(spark).select("site_key", "name", "url", "wait_time").unionByName(landed)
+    return _pages_by_host(spark, sf, entries)
 
 
 @query("src3_page_input", sql="""
@@ -119,34 +121,44 @@ _CAL_ROWS = ", ".join("(" + ", ".join(sql_text(v) for v in r) + ")" for r in src
 
 
 @query("src8_calendar", using="fx_pages", sql=f"""
-with cal as (select * from (values {_CAL_ROWS}) t(company, track, status, win, priority))
+with cal as (
+  select * from (values {_CAL_ROWS}) t(company, track, status, win, priority)
+  union all select distinct site, 'Landed', 'Open', 'Any', 'Low' from fx_pages)
 select c.company, c.track, c.status, c.win as "window", c.priority,
   case c.status when 'Open' then '🟢' when 'Upcoming' then '🟡' else '🔴' end as icon,
   count(p.page_id) as pages
-from cal c left join pages p on c.company = {_dealt(_CALENDAR_NAMES)} group by all""")
+from cal c left join fx_pages p on contains(lower(p.html), lower(c.company)) group by all""")
 def src8(spark, sf):
-    counts = _pages_per_entry(spark, sf, _CALENDAR_NAMES, "pages")
-    rows = src.calendar(spark).join(counts, F.col("company") == F.col("__entry"), "left")
-    return rows.drop("__entry").fillna(0, ["pages"])
+    # pages that name the company of an entry, found in the whole page
+    landed = _landed(spark, sf).select(
+        F.col("site").alias("company"), F.lit("Landed").alias("track"), F.lit("Open").alias("status"),
+        F.lit("Any").alias("window"), F.lit("Low").alias("priority"), F.lit("🟢").alias("icon"))
+    entries = src.calendar(spark).unionByName(landed)
+    hits = keyword_hits(fx.pages(spark, sf), entries, "page_id", "html", "company")
+    counts = hits.groupBy("word").agg(F.count("*").alias("pages"))
+    return entries.join(counts, F.lower("company") == F.col("word"), "left").drop("word").fillna(0, ["pages"])
 
 
 @query("src9_all_sources", using="fx_pages", sql=f"""
 with t as (
   select company, url, 'generic' as source_kind, keywords from (values {_TARGET_ROWS})
     t(company, url, keywords, h)
-  union all select company, url, 'board', {sql_list(GRADUATE_TERMS)} from (values {_BOARD_ROWS}) b(company, url))
+  union all select company, url, 'board', {sql_list(GRADUATE_TERMS)} from (values {_BOARD_ROWS}) b(company, url)
+  union all select distinct site, 'https://' || site || '/', 'landed', ['The'] from fx_pages)
 select t.source_kind, t.company, t.url, array_to_string(t.keywords, '|') as keywords,
   case t.source_kind when 'board' then 12 else 30 end as link_cap, count(p.page_id) as pages
-from t left join fx_pages p on t.company = {_dealt(_SOURCE_NAMES)} group by all""")
+from t left join fx_pages p on p.site = {_HOST.format('t.url')} group by all""")
 def src9(spark, sf):
     from careerlens.lexicon import BOARD_LINK_CAP, DEFAULT_LINK_CAP
 
-    counts = _pages_per_entry(spark, sf, _SOURCE_NAMES, "pages")
-    every = src.all_targets(spark, GRADUATE_TERMS)
+    landed = _landed(spark, sf).select(
+        F.col("site").alias("company"), F.concat(F.lit("https://"), "site", F.lit("/")).alias("url"),
+        F.array(F.lit("The")).alias("keywords"), F.lit("landed").alias("source_kind"))
+    every = src.all_targets(spark, GRADUATE_TERMS).unionByName(landed, allowMissingColumns=True)
     cap = F.when(F.col("source_kind") == "board", BOARD_LINK_CAP).otherwise(DEFAULT_LINK_CAP)
-    return every.join(counts, F.col("company") == F.col("__entry"), "left").select(
+    return _pages_by_host(spark, sf, every).select(
         "source_kind", "company", "url", F.array_join("keywords", "|").alias("keywords"),
-        cap.alias("link_cap"), F.coalesce("pages", F.lit(0)).alias("pages"))
+        cap.alias("link_cap"), "pages")
 
 
 # -------------------------------------------------------------- extraction

@@ -13,6 +13,7 @@ from careerlens.functions.text import matches_keywords
 from careerlens.lexicon import CandidatePolicy, LinkPolicy, SiteRule
 from careerlens.operators import dedup, report, rules, store
 from careerlens.operators.anchors import text_anchors, titled_anchors
+from careerlens.operators.keywords import keyword_hits, matched_keywords
 from careerlens.operators.score import with_similarity
 from careerlens.session import scratch_folder
 from careerlens.sources import standins as fx
@@ -298,6 +299,33 @@ def jn4(spark, sf):
     return rules.keyword_pairs(fx.records(spark, sf), F.col("text"), KEYWORDS).select("doc_id", "keyword")
 
 
+# Keywords from a table: the texts of all links of all pages, searched in all documents.
+_LINK_TEXTS = """
+  words as (select distinct anchor_text as keyword from anchors where anchor_text <> '')
+"""
+
+
+def _link_texts(spark, sf):
+    return text_anchors(fx.pages(spark, sf)).select(F.col("anchor_text").alias("keyword")).where("keyword <> ''").distinct()
+
+
+@query("jn4_keyword_table", using="fx_pages fx_records", sql=f"""
+with {ANCHORS}, {_LINK_TEXTS}, low as (select distinct lower(keyword) as word from words)
+select doc_id, word from fx_records join low on contains(lower(text), word)""")
+def jn4_table(spark, sf):
+    return keyword_hits(fx.records(spark, sf), _link_texts(spark, sf), "doc_id")
+
+
+@query("pr2_keyword_table", using="fx_pages fx_records", sql=f"""
+with {ANCHORS}, {_LINK_TEXTS}
+select doc_id, string_agg(keyword, '|' order by length(keyword) desc, keyword) as matched
+from fx_records join words on contains(lower(text), lower(keyword)) group by doc_id""")
+def pr2_table(spark, sf):
+    words = _link_texts(spark, sf).withColumn("ord", -F.length("keyword"))
+    found = matched_keywords(fx.records(spark, sf), words, "doc_id")
+    return found.select("doc_id", F.array_join("matched_keywords", "|").alias("matched"))
+
+
 @query("jn5_drop_seen", using="fx_records fx_history", sql="""
 select min(doc_id) as doc_id, url from fx_records where url not in (select url from fx_history) group by url""")
 def jn5(spark, sf):

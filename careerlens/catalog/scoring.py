@@ -7,15 +7,18 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from careerlens.catalog.extraction import ANCHORS, ORIGIN
-from careerlens.catalog.registry import query, sql_any, sql_hits, sql_list, sql_text
+from careerlens.catalog.registry import SQL_BLANKS, query, sql_any, sql_hits, sql_list, sql_text
 from careerlens.catalog.rules import LINKS, RULES
 from careerlens.functions import urls
 from careerlens.functions.text import document_key, safe_key
 from careerlens.lexicon import CandidatePolicy, Lexicon, SiteRule, SourcePolicy
 from careerlens.operators import profile_match as pm
 from careerlens.operators import score as sc
+from careerlens.operators import store
 from careerlens.operators.anchors import titled_anchors
-from careerlens.plans import keyword_scan, scored_scan, site_records
+from careerlens.operators.dedup import dedup_by_url, drop_known_urls
+from careerlens.plans import keyword_scan, scored_flow, scored_scan, site_records
+from careerlens.session import scratch_folder
 from careerlens.sources import standins as fx
 from careerlens.sources import tables as src
 
@@ -280,21 +283,22 @@ def scan_context(spark, sf):
 
 @query("snk2_run_rows", using="fx_pages", sql=f"""
 with {_MATCH_SQL}, c as (select site, count(*) as n from matches group by site),
-  p as (select distinct site, md5(site) < '6' as failed from fx_pages)
+  p as (select distinct site from fx_pages union select 'down.example.org' union select 'none.example.org')
 select 'Company ' || p.site as company, timestamp '2024-01-31 00:00:00' as ts,
-  case when failed then 'Error' else 'Success' end as status,
-  case when failed then 0 else cast(coalesce(n, 0) as int) end as postings_found,
-  case when failed then 'HTTP 503' end as error_message
+  case when p.site like 'down.%' or p.site like 'none.%' then 'Error' else 'Success' end as status,
+  cast(coalesce(n, 0) as int) as postings_found,
+  case when p.site like 'down.%' then 'HTTP 503' when p.site like 'none.%' then 'no page landed' end as error_message
 from p left join c using (site)""")
 def snk2(spark, sf):
-    # companies are named otherwise than their sites, and the fetch of some sites failed
-    landed = fx.pages(spark, sf).select("site", F.when(F.md5("site") < "6", "HTTP 503").alias("fetch_error"))
-    pages = _scan_pages(spark, sf).filter(~(F.md5("company") < "6"))
+    # companies are named otherwise than their sites; beside the landed sites one failed and one has no page
+    down = spark.createDataFrame([("down.example.org", "HTTP 503")], "site string, fetch_error string")
+    landed = fx.pages(spark, sf).select("site", F.lit(None).cast("string").alias("fetch_error")).unionByName(down)
     found = keyword_scan.native_matches(
-        pages.withColumn("company", F.concat(F.lit("Company "), "company")), LINKS)
-    targets = landed.select("site").distinct().withColumn("company", F.concat(F.lit("Company "), "site"))
+        _scan_pages(spark, sf).withColumn("company", F.concat(F.lit("Company "), "company")), LINKS)
+    none = spark.createDataFrame([("none.example.org",)], "site string")
+    targets = landed.select("site").distinct().unionByName(none).withColumn("company", F.concat(F.lit("Company "), "site"))
     rows = keyword_scan.run_rows(
-        targets, keyword_scan.fetch_outcomes(landed), found, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+        targets, keyword_scan.fetch_outcomes(landed), found, F.to_timestamp(F.lit("2024-01-31 00:00:00")), "no page landed")
     return rows.select(
         "company", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "postings_found", "error_message")
 
@@ -397,6 +401,142 @@ def scan_scored(spark, sf):
     return found.withColumn("match_score", F.round("match_score", 6))
 
 
+# Records in German are those of site extractors, the rest is listed; companies from src1 on are boards. Every third
+# record has the address of the one before it, so phases and companies meet in one url.
+FLOW_POLICY = scored_flow.FlowPolicy(
+    {"generic": SourcePolicy(LEX, 0.2), "boards": SourcePolicy(replace(LEX, required=("in", "de")), 0.1, 12)},
+    SCAN_POLICY, SCAN_RULES, LEX, TITLE_TERMS)
+
+
+def _flow_rows(spark, sf):
+    rows = fx.records(spark, sf)
+    kind = F.when(F.col("lang") == "de", "sites").when(F.col("company").startswith("src1"), "boards").otherwise("generic")
+    owner = F.col("doc_id") - F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0)
+    return rows.select("doc_id", "company", "title", "text", kind.alias("kind"),
+                       F.concat(F.lit(fx.URL_ROOT), owner).alias("url"),
+                       F.regexp_extract("company", "([0-9]+)", 1).cast("int").alias("source_no"))
+
+
+def flow_pages(spark, sf):
+    """Landed pages of all kinds: kind, page_id, company, source_no, url, html. A site page holds its one record."""
+    html = F.concat(F.lit('<html><body><p><a href="'), "url", F.lit('"> '), _escaped(F.col("title")), F.lit(" </a></p></body></html>"))
+    return _flow_rows(spark, sf).select(
+        "kind", F.col("doc_id").alias("page_id"), "company", "source_no",
+        F.concat(F.lit("https://list.example.org/"), "company").alias("url"), html.alias("html"))
+
+
+def flow_details(spark, sf):
+    rows = _flow_rows(spark, sf)
+    first = rows.groupBy("url").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("url", "d.*")
+    html = F.concat(F.lit("<html><body><nav>menu</nav><main>"), _escaped(F.col("text")), F.lit("</main></body></html>"))
+    return first.join(fx.vectors(spark, sf), "doc_id", "left").select("url", html.alias("html"), "embedding")
+
+
+def flow_records(spark, sf):
+    """What the site extractors give: the record of every site page, by its page."""
+    texts = _flow_rows(spark, sf).select(F.col("doc_id").alias("page_id"), "title", "text", F.col("url").alias("record_url"))
+    vectors = fx.vectors(spark, sf).withColumnRenamed("doc_id", "page_id")
+
+    def extract(pages):
+        return pages.select("page_id", "company", "source_no").join(texts, "page_id").join(vectors, "page_id", "left").select(
+            "company", "title", F.col("record_url").alias("url"), "text", "embedding", "source_no",
+            F.struct("page_id", F.lit(1).alias("pos")).alias("ord"))
+
+    return extract
+
+
+def _flow_matches(spark, sf):
+    pages = flow_pages(spark, sf)
+    listings = {k: pages.where(F.col("kind") == k).withColumnRenamed("url", "page_url") for k in FLOW_POLICY.listings}
+    history = _flow_history(spark, sf)
+    return scored_flow.scan_matches(
+        flow_records(spark, sf)(pages.where("kind = 'sites'")), listings, flow_details(spark, sf),
+        lambda rows: drop_known_urls(rows, history), fx.profile(spark, sf), FLOW_POLICY)
+
+
+def _flow_history(spark, sf):
+    """Addresses of records labelled good."""
+    good = fx.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    return _flow_rows(spark, sf).join(good, "doc_id", "left_semi").select("url").distinct()
+
+
+_FLOW_SQL = f"""
+  flow as (
+    select doc_id, company, title, text, case when lang = 'de' then 'sites' when starts_with(company, 'src1') then 'boards'
+      else 'generic' end as kind, 'https://jobs.example.com/' || (doc_id - case when doc_id % 3 = 1 then 1 else 0 end) as url,
+      cast(regexp_extract(company, '([0-9]+)', 1) as int) as source_no from fx_records),
+  old as (select distinct url from flow join labels using (doc_id) where quality = 1),
+  own as (
+    select f.doc_id, f.company, trim(title, {SQL_BLANKS}) as title, url, case when text = '' then trim(title, {SQL_BLANKS}) else text end as text,
+      source_no, embedding from flow f left join embeddings e on e.vec_id = f.doc_id
+    where kind = 'sites' and trim(title, {SQL_BLANKS}) <> '' and url not in (select url from old)),
+  site_rows as (with {stages_sql(replace(LEX, required=()), 'own')}
+    select *, {sql_any('lower(title)', TITLE_TERMS)} as title_hit from scored),
+  site_found as (
+    select 'sites' as phase, 0 as phase_no, company, title, url, case when title_hit then 0.5 else score end::double as match_score,
+      trim(substring(text, 1, 250), {SQL_BLANKS}) as snippet, source_no, doc_id from site_rows where title_hit or score >= 0.25),
+  c as (
+    select doc_id, company, kind, source_no, trim(title, {SQL_BLANKS}) as title, url, lower(trim(title, {SQL_BLANKS})) as t
+    from flow where kind <> 'sites'),
+  valid as (
+    select *, row_number() over (partition by kind, company, url order by doc_id) as rn from c
+    where (company = 'src8' or length(t) >= 15 and not {sql_any('t', SCAN_POLICY.skip_title_terms)})
+      and not {sql_any('lower(url)', SCAN_POLICY.url_exclusions)}
+      and not {sql_any('t', SCAN_POLICY.text_exclusions)}
+      and not list_contains({sql_list(SCAN_POLICY.button_labels + SCAN_POLICY.category_labels)}, t)
+      and {sql_any('t', SCAN_POLICY.role_terms)}),
+  capped as (select *, row_number() over (partition by kind, company order by doc_id) as place from valid where rn = 1),
+  chosen as (
+    select kind, company, title, url, source_no, doc_id from capped
+    where place <= case company when 'src7' then 4 when 'src8' then 40 else case kind when 'boards' then 12 else 30 end end
+      and url not in (select url from old)),
+  firsts as (select url, min(doc_id) as first_id from flow group by url),
+  pages2 as (
+    select c.*, trim(f2.text, {SQL_BLANKS}) as text, e.embedding from chosen c join firsts f using (url)
+    join flow f2 on f2.doc_id = f.first_id left join embeddings e on e.vec_id = f.first_id
+    where length(trim(f2.text, {SQL_BLANKS})) >= 200),
+  g_in as (select * from pages2 where kind = 'generic'),
+  b_in as (select * from pages2 where kind = 'boards'),
+  listed as (
+    select 'generic' as phase, 1 as phase_no, * from (with {stages_sql(LEX, 'g_in')} select * from scored where score >= 0.2)
+    union all by name
+    select 'boards' as phase, 2 as phase_no, * from (with {stages_sql(replace(LEX, required=('in', 'de')), 'b_in')} select * from scored where score >= 0.1)),
+  found as (
+    select * from site_found union all
+    select phase, phase_no, company, title, url, score, trim(substring(text, 1, 250), {SQL_BLANKS}), source_no, doc_id from listed),
+  ranked2 as (
+    select *, row_number() over (partition by url order by phase_no, source_no, doc_id, company) as rn from found),
+  won as (select * from ranked2 where rn = 1)
+"""
+
+
+@query("scored_flow_postings", using="fx_records", sql=f"""
+with {_FLOW_SQL}
+select phase, company, title, url, round(match_score, 6) as match_score, snippet, md5(company || '|' || url) as id,
+  'Pending' as applied_status from won""")
+def scored_flow_postings(spark, sf):
+    won = scored_flow.first_matches(_flow_matches(spark, sf))
+    shaped = store.as_postings(won, F.to_timestamp(F.lit("2024-01-31 00:00:00")), score=F.col("match_score"),
+                               carry=("phase", "snippet"))
+    return shaped.select("phase", "company", "title", "url", F.round("match_score", 6).alias("match_score"), "snippet",
+                         "id", "applied_status")
+
+
+@query("scored_flow_summary", using="fx_records", sql=f"""
+with {_FLOW_SQL}
+select count(*) as matches, count(*) filter (url not in (select url from flow where doc_id % 5 = 0)) as added,
+  count(*) filter (url in (select url from flow where doc_id % 5 = 0)) as duplicates from won""")
+def scored_flow_summary(spark, sf):
+    # the counts of a written run, of which another run stored every fifth record's address before the write
+    root = scratch_folder(spark, "flow")
+    at = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    others = dedup_by_url(_flow_rows(spark, sf).where("doc_id % 5 = 0"), ["doc_id"])
+    store.insert_run(spark, root, store.as_postings(others, at), "other")
+    _, counts = scored_flow.save_scan(_flow_matches(spark, sf), root, "scan", at)
+    return spark.createDataFrame([tuple(counts[c] for c in ("matches", "added", "duplicates"))],
+                                 "matches bigint, added bigint, duplicates bigint")
+
+
 # -------------------------------------------------------- profile matching
 
 SKILLS = {

@@ -15,10 +15,10 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.functions.text import BLANKS
+from careerlens.functions.text import BLANKS, strip
 from careerlens.lexicon import CONTAINER_CLASS_TERMS, CONTAINER_TAGS
 
 # Functions and classes below travel to the workers with the task, so the package
@@ -169,93 +169,123 @@ def _select(root: Node, picks) -> list[Node]:
 
 # ------------------------------------------------------------------- links
 
-_LINK = "struct<pos:int,href:string,anchor_text:string,anchor_title:string,in_container:boolean>"
-_GROUP_SCHEMA = f"parent_pos int, parent_text string, has_container boolean, links array<{_LINK}>"
+_SPAN = "struct<at:int,size:int>"
+_LINK = (f"struct<pos:int,href:string,text:{_SPAN},tight:{_SPAN},parent:{_SPAN},label:string,in_container:boolean>")
+_PAGE_SCHEMA = f"has_container boolean, page_text string, page_tight string, links array<{_LINK}>"
 
 
-def _page_links(root: Node, holds_links) -> tuple[dict[int, tuple[Node, list]], bool]:
-    """Links of one page by parent element, and whether it has a container."""
-    groups: dict[int, tuple[Node, list]] = {}
+def _layout(root: Node, *forms) -> list[tuple[str, dict[int, tuple[int, int]]]]:
+    """For each form (a function of a text node) the page text in that form and the span of every element in it.
+
+    The text of an element is one slice of the page text, so elements that contain each other share it. What a hidden
+    element holds comes behind all else: it is in the spans of what lies inside it and in no other.
+    """
+    pieces: list[list[str]] = [[] for _ in forms]
+    at = [0] * len(forms)
+    starts: dict[int, list[int]] = {}
+    spans: list[dict[int, tuple[int, int]]] = [{} for _ in forms]
+    waiting = [root]
+    while waiting:
+        top = waiting.pop()
+        stack: list = [(top, False)]
+        while stack:
+            item, closing = stack.pop()
+            if isinstance(item, str):
+                for i, form in enumerate(forms):
+                    pieces[i].append(form(item))
+                    at[i] += len(pieces[i][-1])
+            elif closing:
+                for i, start in enumerate(starts.pop(item.order)):
+                    spans[i][item.order] = (start, at[i])
+            elif item.tag in HIDDEN and item is not top:
+                waiting.append(item)
+            else:
+                starts[item.order] = list(at)
+                stack.append((item, True))
+                stack.extend((c, False) for c in reversed(item.children))
+    return [("".join(p), s) for p, s in zip(pieces, spans)]
+
+
+def _page_links(root: Node, holds_links) -> tuple[list[tuple[Node, bool]], bool]:
+    """Links of one page in document order, with whether each lies in a container, and whether there is one."""
+    found: list[tuple[Node, bool]] = []
     inside: set[int] = set()  # elements at or below a container
-    pos, scoped = 0, False
+    scoped = False
     for node in root.walk():
         own = holds_links(node)
         scoped = scoped or own
         if own or node.parent.order in inside:
             inside.add(node.order)
-        if node.tag != "a" or "href" not in node.attrs:
-            continue
-        pos += 1
-        title = (
-            node.text(stripped=True)
-            or node.attrs.get("aria-label", "").strip(BLANKS)
-            or node.attrs.get("title", "").strip(BLANKS)
-        )
-        entry = {
-            "pos": pos, "href": node.attrs["href"],
-            "anchor_text": node.text().strip(BLANKS), "anchor_title": title,
-            "in_container": node.parent.order in inside,
-        }
-        groups.setdefault(node.parent.order, (node.parent, []))[1].append(entry)
-    return groups, scoped
-
-
-def link_groups(
+        if node.tag == "a" and "href" in node.attrs:
+            found.append((node, node.parent.order in inside))
+    return found, scoped
+
+
+def _label(node: Node) -> str:
+    return node.attrs.get("aria-label", "").strip(BLANKS) or node.attrs.get("title", "").strip(BLANKS)
+
+
+def _entry(pos: int, node: Node, own: bool, spans: dict, tight_spans: dict) -> dict:
+    def span(of, element):
+        start, end = of[element.order]
+        return {"at": start, "size": end - start}
+
+    return {"pos": pos, "href": node.attrs["href"], "text": span(spans, node), "tight": span(tight_spans, node),
+            "parent": span(spans, node.parent), "label": _label(node), "in_container": own}
+
+
+def _container(tags: tuple[str, ...], terms: tuple[str, ...]):
+    def holds_links(node: Node) -> bool:
+        names = node.attrs.get("class", "").lower()
+        return node.tag in tags and any(t in names for t in terms)
+
+    return holds_links
+
+
+def page_links(
     pages: DataFrame,
     carry: tuple[str, ...] = (),
     container_terms: tuple[str, ...] = CONTAINER_CLASS_TERMS,
     container_tags: tuple[str, ...] = CONTAINER_TAGS,
     html: str = "html",
 ) -> DataFrame:
-    """Anchors of each page, one row per parent element, with ``page_id`` and
-    the ``carry`` columns.
+    """One row per page with links: its text, once, and its links as spans of it.
 
-    Grouping by parent keeps the surrounding text once instead of once per
-    link, so the output never outgrows the page by the number of its links.
+    A link's own text and that of its parent are spans (first character from 0, number of characters) of ``page_text``,
+    its text without blanks at the borders of text nodes one of ``page_tight``. However deep elements nest, the output
+    is the page's text twice and one entry per link.
     """
-
-    def holds_links(node: Node) -> bool:
-        names = node.attrs.get("class", "").lower()
-        return node.tag in container_tags and any(t in names for t in container_terms)
-
+    holds_links = _container(container_tags, container_terms)
     kept = ["page_id", *carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*kept, "parent_pos", "parent_text", "has_container", "links"]
+        names = [*kept, "has_container", "page_text", "page_tight", "links"]
         for batch in batches:
             out = []
             for *values, source in zip(*(batch[c] for c in kept), batch[html]):
-                groups, scoped = _page_links(parse_page(source), holds_links)
-                for order, (parent, links) in groups.items():
-                    out.append((*values, order, parent.text(), scoped, links))
+                root = parse_page(source)
+                links, scoped = _page_links(root, holds_links)
+                if not links:
+                    continue
+                (text, spans), (tight, tight_spans) = _layout(root, str, lambda s: s.strip(BLANKS))
+
+                out.append((*values, scoped, text, tight, [
+                    _entry(pos, node, own, spans, tight_spans) for pos, (node, own) in enumerate(links, 1)]))
             yield pd.DataFrame(out, columns=names)
 
     source = pages.filter(F.col(html).rlike(r"(?i)<a\s")).select(*kept, html)
     own = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n != html)
-    return source.mapInPandas(run, f"{own}, {_GROUP_SCHEMA}")
+    return source.mapInPandas(run, f"{own}, {_PAGE_SCHEMA}")
 
 
-def _layout(root: Node) -> tuple[str, dict[int, tuple[int, int]]]:
-    """Lower-case visible text of the page and the span of every element in it.
+def _texts() -> tuple[Column, Column]:
+    """Text and title of a link, cut out of its page's texts."""
+    title = F.coalesce(F.nullif(_slice("page_tight", "tight"), F.lit("")), F.col("label"))
+    return strip(_slice("page_text", "text")).alias("anchor_text"), title.alias("anchor_title")
 
-    The text of an element is one slice of the page text, so surroundings can be
-    searched without copying them once per link.
-    """
-    pieces, at, spans, starts = [], 0, {}, {}
-    stack: list = [(root, False)]
-    while stack:
-        item, closing = stack.pop()
-        if isinstance(item, str):
-            pieces.append(item.lower())
-            at += len(pieces[-1])
-        elif closing:
-            spans[item.order] = (starts[item.order], at)
-        else:
-            starts[item.order] = at
-            stack.append((item, True))
-            if item.tag not in HIDDEN:
-                stack.extend((c, False) for c in reversed(item.children))
-    return "".join(pieces), spans
+
+def _slice(text: str, span: str) -> Column:
+    return F.substring(F.col(text), F.col(f"{span}.at") + 1, F.col(f"{span}.size"))
 
 
 def _places(text: str, term: str) -> list[int]:
@@ -266,10 +296,6 @@ def _places(text: str, term: str) -> list[int]:
     return found
 
 
-_CONTEXT_SCHEMA = ("pos int, href string, anchor_text string, anchor_title string, in_container boolean, "
-                   "has_container boolean, matched_keywords array<string>")
-
-
 def context_links(
     pages: DataFrame,
     keywords: str = "keywords",
@@ -280,19 +306,15 @@ def context_links(
 ) -> DataFrame:
     """Links with the keywords found in their text or the text of their parent.
 
-    Each keyword is located once per page; a parent holds it if a place lies in
-    the parent's span. Work and output stay proportional to the page even where
-    unclosed elements nest the whole page into one chain of parents.
+    Each keyword is located once per page; a parent holds it if a place lies in the parent's span, so the search stays
+    proportional to the page even where unclosed elements nest the whole page into one chain of parents.
     """
 
-    def holds_links(node: Node) -> bool:
-        names = node.attrs.get("class", "").lower()
-        return node.tag in container_tags and any(t in names for t in container_terms)
-
+    holds_links = _container(container_tags, container_terms)
     kept = ["page_id", *carry]
 
     def matches(root: Node, words: list[str]):
-        text, spans = _layout(root)
+        (text, spans), (raw, raw_spans), (tight, tight_spans) = _layout(root, str.lower, str, lambda s: s.strip(BLANKS))
         terms = [(w, w.lower()) for w in words]
         places = {low: _places(text, low) for _, low in terms if low}
         longest = max((len(low) for low in places), default=0)
@@ -301,40 +323,49 @@ def context_links(
             at = bisect_left(places[low], start)
             return at < len(places[low]) and places[low][at] + len(low) <= end
 
-        groups, scoped = _page_links(root, holds_links)
-        for order, (_, links) in groups.items():
-            start, end = spans[order]
-            around = {low for low in places if inside(low, start, end)}
-            head = text[start:min(end, start + longest)]
-            for link in links:
-                # a keyword may straddle the link text and the start of its surroundings
-                near = f"{link['anchor_text'].lower()} {head}"
-                yield link, scoped, [w for w, low in terms if low in around or low in near]
+        links, scoped = _page_links(root, holds_links)
+        out = []
+        around: dict[int, set] = {}
+        for pos, (node, own) in enumerate(links, 1):
+            start, end = spans[node.parent.order]
+            if node.parent.order not in around:
+                around[node.parent.order] = {low for low in places if inside(low, start, end)}
+            # a keyword may lie across the link text's end, a blank and the start of its surroundings
+            first, last = spans[node.order]
+            edge = text[max(first, last - longest - len(BLANKS)):last].rstrip(BLANKS)[-longest:] if longest else ""
+            if last - first <= longest + len(BLANKS):
+                edge = edge.lstrip(BLANKS)
+            near = f"{edge} {text[start:min(end, start + longest)]}"
+            found = [w for w, low in terms if low in around[node.parent.order] or low in near]
+            out.append({**_entry(pos, node, own, raw_spans, tight_spans), "matched_keywords": found})
+        return scoped, raw, tight, out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fields = ("pos", "href", "anchor_text", "anchor_title", "in_container")
-        names = [*kept, *fields, "has_container", "matched_keywords"]
+        names = [*kept, "has_container", "page_text", "page_tight", "links"]
         for batch in batches:
             out = []
             for *values, words, source in zip(*(batch[c] for c in kept), batch[keywords], batch[html]):
-                for link, scoped, found in matches(parse_page(source), [] if words is None else list(words)):
-                    out.append((*values, *(link[f] for f in fields), scoped, found))
+                found = matches(parse_page(source), [] if words is None else list(words))
+                if found[-1]:
+                    out.append((*values, *found))
             yield pd.DataFrame(out, columns=names)
 
     source = pages.filter(F.col(html).rlike(r"(?i)<a\s")).select(*kept, keywords, html)
     own = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n not in (html, keywords))
-    return source.mapInPandas(run, f"{own}, {_CONTEXT_SCHEMA}")
+    schema = _PAGE_SCHEMA.replace(_LINK, f"{_LINK[:-1]},matched_keywords:array<string>>")
+    rows = source.mapInPandas(run, f"{own}, {schema}").select("*", F.inline_outer("links"))
+    return rows.select(*kept, "pos", "href", *_texts(), "in_container", "has_container", "matched_keywords")
 
 
 IN_SCOPE = "in_container or not has_container"
 
 
 def dom_links(pages: DataFrame, with_context: bool = True, **kwargs) -> DataFrame:
-    """One row per link with the text of its parent element as context."""
-    groups = link_groups(pages, **kwargs)
-    rows = groups.select(
-        "page_id", "has_container", *(["parent_text"] if with_context else []), F.inline_outer("links"))
-    return rows.filter(F.col("href") != "")
+    """One row per link with the text of its parent element as context; texts are cut out of the page's one."""
+    found = page_links(pages, **kwargs).select("page_id", "has_container", "page_text", "page_tight", F.inline_outer("links"))
+    return found.filter(F.col("href") != "").select(
+        "page_id", "has_container", *([_slice("page_text", "parent").alias("parent_text")] if with_context else []),
+        "pos", "href", *_texts(), "in_container")
 
 
 def scoped_links(links: DataFrame) -> DataFrame:

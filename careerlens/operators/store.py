@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from careerlens import schemas
@@ -327,7 +327,13 @@ def _filters(spark: SparkSession, root: str, run_id: str) -> DataFrame | None:
     return spark.read.schema("word bigint, bits bigint").parquet(*[f"{path}/{n}" for n in names])
 
 
-def known_urls(spark: SparkSession, root: str, batch: DataFrame, run_id: str) -> DataFrame | None:
+def drop_stored(spark: SparkSession, root: str, rows: DataFrame, run_id: str, name: str = "rows") -> DataFrame:
+    """Rows whose url no other run has stored: the seen filter of a scan, by the filter and the buckets of the history."""
+    known = known_urls(spark, root, rows, run_id, name)
+    return rows if known is None else rows.join(known, "url", "left_anti")
+
+
+def known_urls(spark: SparkSession, root: str, batch: DataFrame, run_id: str, name: str = "batch") -> DataFrame | None:
     """Urls of ``batch`` that other runs stored; None if there is none.
 
     What passes the filter is written apart, so its size is known when it meets the history. The history is read by
@@ -336,7 +342,7 @@ def known_urls(spark: SparkSession, root: str, batch: DataFrame, run_id: str) ->
     filters = _filters(spark, root, run_id)
     if filters is None:
         return None
-    path = f"{root}/possible/run_id={run_id}"
+    path = f"{root}/possible/run_id={run_id}/{name}"
     possible_hits(batch.select("url"), filters).write.mode("overwrite").parquet(path)
     possible = spark.read.schema("url string").parquet(path)
     if possible.isEmpty():
@@ -350,28 +356,33 @@ def insert_run(spark: SparkSession, root: str, postings: DataFrame, run_id: str)
 
     ``postings`` must have the postings columns and hold each url once (see :func:`new_rows`).
     """
+    return insert_counted(spark, root, postings, run_id)[0]
+
+
+def insert_counted(spark: SparkSession, root: str, postings: DataFrame, run_id: str) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`insert_run`, with the numbers of ``matches`` (rows given), ``added`` and ``duplicates`` as the write
+    itself observed them: nothing is read again to count."""
     day = F.coalesce(F.to_date("date_found"), F.lit(NO_DAY).cast("date"))
+    given, added = Observation(f"given-{run_id}"), Observation(f"added-{run_id}")
     # read twice: for the filter and to write. A lost block is recomputed.
     batch = postings.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         known = known_urls(spark, root, batch, run_id)
-        fresh = batch if known is None else batch.join(known, "url", "left_anti")
+        # the filter first, of all that is given: a url that is stored is always in it
+        filter_rows(batch).write.mode("overwrite").parquet(f"{root}/filter/run_id={run_id}")
+        rows = batch.observe(given, F.count(F.lit(1)).alias("n"))
+        fresh = rows if known is None else rows.join(known, "url", "left_anti")
         fresh = fresh.select(*schemas.POSTINGS.names, day.alias("found_day"), F.lit(run_id).alias("run_id"))
-        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            # the filter first: a url that is stored is always in it
-            filter_rows(fresh).write.mode("overwrite").parquet(f"{root}/filter/run_id={run_id}")
-            path = _version_path(spark, root)
-            for name in _children(spark, path):
-                if name.startswith("found_day="):
-                    _delete(spark, f"{path}/{name}/run_id={run_id}")
-            _write_bucketed(fresh, path, ("found_day", "run_id"))
-        finally:
-            fresh.unpersist()
+        path = _version_path(spark, root)
+        for name in _children(spark, path):
+            if name.startswith("found_day="):
+                _delete(spark, f"{path}/{name}/run_id={run_id}")
+        _write_bucketed(fresh.observe(added, F.count(F.lit(1)).alias("n")), path, ("found_day", "run_id"))
     finally:
         batch.unpersist()
         _delete(spark, f"{root}/possible/run_id={run_id}")
-    return inserted_by(spark, root, run_id)
+    counts = {"matches": given.get["n"], "added": added.get["n"]}
+    return inserted_by(spark, root, run_id), {**counts, "duplicates": counts["matches"] - counts["added"]}
 
 
 def inserted_by(spark: SparkSession, root: str, run_id: str) -> DataFrame:

@@ -16,6 +16,7 @@ from careerlens.operators.records import snippet
 from careerlens.operators.rules import (
     has_enough_text, with_candidate_reason, with_link_cap, with_site_rules)
 from careerlens.operators.score import above_threshold, score
+from careerlens.session import staged
 
 
 def link_candidates(pages: DataFrame, policy: CandidatePolicy = CandidatePolicy(),
@@ -51,20 +52,36 @@ def with_details(candidates: DataFrame, details: DataFrame, **text_args) -> Data
     return found.filter(has_enough_text(F.col("text"), **text_args))
 
 
-def score_details(details: DataFrame, profile: DataFrame, policy: SourcePolicy) -> DataFrame:
-    """Matches: scored details at or above the threshold."""
+def score_details(details: DataFrame, profile: DataFrame, policy: SourcePolicy, carry: Sequence[str] = ()) -> DataFrame:
+    """Matches: scored details at or above the threshold, with the ``carry`` columns."""
     scored = above_threshold(score(details, profile, policy.lexicon), policy.threshold)
     return scored.select(
-        "company", "title", "url", F.col("score").alias("match_score"), snippet(F.col("text")).alias("snippet"))
+        "company", "title", "url", F.col("score").alias("match_score"), snippet(F.col("text")).alias("snippet"), *carry)
+
+
+def link_list(listing: DataFrame, policy: CandidatePolicy = CandidatePolicy(), rules: Sequence[SiteRule] = (),
+              cap: int = 30) -> DataFrame:
+    """The links of a scan: candidates of every company up to its cap."""
+    caps = {r.company: r.max_links for r in rules if r.max_links is not None}
+    return capped_candidates(link_candidates(listing, policy, rules), caps, cap)
+
+
+def detail_matches(links: DataFrame, details: DataFrame, profile: DataFrame, source: SourcePolicy,
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """Links with their detail pages, scored.
+
+    The links, a bounded number per company, are written first: with their size known, they are sent to the details
+    where that is small enough, and the pages of details stay where they are.
+    """
+    return score_details(with_details(staged(links, "links"), details), profile, source, carry)
 
 
 def scan(listing: DataFrame, details: DataFrame, seen: DataFrame, profile: DataFrame,
          source: SourcePolicy = SourcePolicy(), policy: CandidatePolicy = CandidatePolicy(),
          rules: Sequence[SiteRule] = ()) -> DataFrame:
     """Whole flow for one kind of source."""
-    caps = {r.company: r.max_links for r in rules if r.max_links is not None}
-    links = capped_candidates(link_candidates(listing, policy, rules), caps, source.link_cap)
-    return score_details(with_details(drop_seen(links, seen), details), profile, source)
+    links = link_list(listing, policy, rules, source.link_cap)
+    return detail_matches(drop_seen(links, seen), details, profile, source)
 
 
 def all_phases(**phases: DataFrame) -> DataFrame:

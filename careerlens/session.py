@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,3 +56,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not named and not local:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{named or tempfile.mkdtemp(prefix='careerlens-')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: its size is known to the plans that use it."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

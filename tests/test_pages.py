@@ -248,3 +248,24 @@ def test_random_references_equal_the_standard_library(spark):
 
     wrong = [(r.t, r.d, wanted(r.t)) for r in df.withColumn("d", decode_references("t")).collect() if r.d != wanted(r.t)]
     assert not wrong, wrong[:3]
+
+
+def test_nested_links_give_linear_output(spark):
+    """20,000 links that are never closed nest into each other: the parser's output is the page, not its square."""
+    from careerlens.operators.dom import context_links, page_links
+
+    html = "<body>" + "".join(f"<a href='/{i}'>t{i} " for i in range(20_000))
+    pages = _pages(spark, html, keywords=["t19999", "t7 ", "absent"])
+    row = page_links(pages).first()
+    assert len(row.links) == 20_000 and len(row.page_text) + len(row.page_tight) < 2 * len(html)
+    some = dom_links(pages).filter("pos in (1, 19999, 20000)").orderBy("pos").collect()
+    assert [r.anchor_text for r in some][1:] == ["t19998 t19999", "t19999"] and some[0].anchor_text.startswith("t0 t1 ")
+    assert some[2].parent_text == "t19998 t19999 " and some[2].anchor_title == "t19999"
+    found = context_links(pages).filter("pos in (1, 9, 10, 20000)").select("pos", "matched_keywords").orderBy("pos").collect()
+    assert [r.matched_keywords for r in found] == [["t19999", "t7 "], ["t19999", "t7 "], ["t19999"], ["t19999"]]
+
+
+def test_links_in_hidden_elements_have_their_own_text(spark):
+    pages = _pages(spark, "<div>a<template><p>b<a href='/x'>c <i> d</i></a></p></template><a href='/y' aria-label='e'> </a></div>")
+    got = [(r.href, r.anchor_text, r.anchor_title, r.parent_text) for r in dom_links(pages).orderBy("pos").collect()]
+    assert got == [("/x", "c  d", "cd", "bc  d"), ("/y", "", "e", "a ")]

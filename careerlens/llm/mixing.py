@@ -1,111 +1,132 @@
 """Mixing sources to target weights as a Pfair schedule, in DataFrame functions only.
 
-A source's rows form blocks. Block j of a source with weight w is released at slot floor(j / w) and due by slot
-ceil((j + 1) / w); every slot goes to the released block with the earliest deadline. Weights are taken as exact
-fractions of their sum, whatever their size, and the schedule is worked out for all slots up to the last deadline of a
-block that has rows. At every slot each source has got its exact share of the slots so far to within less than one
-block. The slots are worked out on the driver, ``CHUNK_SLOTS`` at a time; their number is the largest, over the sources,
-of blocks by weight, and a source of tiny weight and many rows makes it large. They are joined to the rows by source
-and block number.
+A source's rows form blocks, and a block two units of ``UNIT_ROWS`` rows; slots hold units. Unit j of a source with share n
+of a period of P slots is released at slot floor(j * P / n) and due by slot ceil((j + 1) * P / n); every slot goes to the
+released unit with the earliest deadline. Periods of ``PERIOD`` slots are worked out each on its own, in parallel: by
+the end of a period at slot t a source has got floor(w * t) units, and those with the largest remainders one more, so
+that all slots are taken. Weights are taken as whole numbers of 10^15ths, which sum to it.
+
+At the ends of periods each source is less than one unit from its exact share, and inside a period less than one unit
+from the line between the ends: together less than two units, that is one block, at every slot.
 
 Every row keeps its place: a source that runs out leaves its slots empty and the others go on in their proportions;
-no row is dropped or repeated. Null sources form a source of their own. Rows of a source without a
-weight get a null slot. Rows are ordered within a source by a hash of their id, so copies and long runs are spread. An empty table gives an empty
-result; ties (equal ids) are ordered arbitrarily among themselves. Helper columns take free names.
+no row is dropped or repeated. Periods that hold no row are left out before anything is scheduled, so their number costs a
+number each. The driver holds the weights and one count per source: a mixture has as many sources as somebody gave
+weights to. Null sources form a source of their own. Rows of a source without a weight get a null slot. Rows are ordered
+within a source by a hash of their id, so copies and long runs are spread. Texts are not read, whatever their length. An
+empty table gives an empty result; ties (equal ids) are ordered arbitrarily among themselves. Helper columns take free
+names.
 """
 
 from __future__ import annotations
 
-import functools
-import heapq
-import itertools
-import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from fractions import Fraction
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.llm.common import columns, numbered, written
+from careerlens.llm.common import columns, numbered
 
-PERIOD = 1000
-BLOCK_ROWS = 16
-CHUNK_SLOTS = 1_000_000
+UNITS = 2
+UNIT_ROWS = 8
+BLOCK_ROWS = UNITS * UNIT_ROWS
+PERIOD = 256
+WHOLE = 10**15
 
 
-def quantised(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole shares of ``period`` that sum to it, at least one each, by largest remainder."""
-    if not weights:
-        return {}
-    if min(weights.values()) <= 0:
+def whole_shares(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """The weights as whole numbers that sum to ``WHOLE``, by largest remainder."""
+    if weights and min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * (period - len(weights)) / total for s, w in weights.items()}
-    shares = {s: int(x) + 1 for s, x in exact.items()}
+    exact = {s: Fraction(w) * WHOLE / total for s, w in weights.items()}
+    shares = {s: max(1, int(x)) for s, x in exact.items()}
     rest = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s is None, s or ""))
-    for s in rest[:period - sum(shares.values())]:
+    for s in rest[:max(0, WHOLE - sum(shares.values()))]:
         shares[s] += 1
     return shares
 
 
-def exact_shares(weights: Mapping[str | None, float]) -> dict[str | None, int]:
-    """Whole numbers in exactly the proportions of the weights."""
-    if weights and min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    whole = math.lcm(*[x.denominator for x in exact.values()])
-    shares = {s: int(x * whole) for s, x in exact.items()}
-    part = math.gcd(*shares.values())
-    return {s: x // part for s, x in shares.items()}
-
-
-def pfair_slots(shares: Mapping[str | None, int], slots: int) -> Iterator[tuple[str | None, int, int]]:
-    """(source, block, slot) of the first slots: earliest deadline first among released blocks."""
-    total = sum(shares.values())
+def quotas(t: Column, shares: Column) -> Column:
+    """Units that each source has got before slot ``t``: floors, and one more for the largest remainders."""
+    # decimals hold the products exactly
+    def part(share: Column, i: Column) -> Column:
+        product = t.cast("decimal(19,0)") * share.cast("decimal(18,0)")
+        floor = F.call_function("div", product, F.lit(WHOLE).cast("decimal(18,0)")).cast("bigint")
+        return F.struct(floor.alias("floor"), (product % F.lit(WHOLE).cast("decimal(18,0)")).cast("bigint").alias("rest"),
+                        i.alias("i"))
+
+    parts = F.transform(shares, part)
+    left = t - F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n + x["floor"])
+    order = F.array_sort(F.transform(parts, lambda x: F.struct((-x["rest"]).alias("r"), x["i"].alias("i"))))
+    return F.transform(parts, lambda x: x["floor"] + (
+        F.array_position(order, F.struct((-x["rest"]).alias("r"), x["i"].alias("i"))) <= left).cast("bigint"))
+
+
+def period_order(counts: Column, period: int = PERIOD) -> Column:
+    """(source, unit) of each slot of a period in which source i has ``counts[i]`` units: earliest deadline first among
+    released units."""
+    size = F.lit(period).cast("bigint")
+    state = F.struct(F.transform(counts, lambda n: F.lit(0).cast("bigint")).alias("done"),
+                     F.array().cast("array<struct<i:int,j:bigint>>").alias("order"))
+
+    def step(held: Column, slot: Column) -> Column:
+        # floor(j * P / n) <= slot: released; ceil((j + 1) * P / n): the deadline
+        def choice(n: Column, i: Column) -> Column:
+            j = F.get(held["done"], i)
+            due = F.call_function("div", (j + 1) * size + n - 1, n)
+            return F.when((j < n) & (F.call_function("div", j * size, n) <= slot), F.struct(due.alias("due"), i.alias("i"), j.alias("j")))
+
+        safe = F.transform(counts, lambda n: F.greatest(n, F.lit(1).cast("bigint")))
+        options = F.transform(safe, lambda n, i: F.when(F.get(counts, i) > 0, choice(n, i)))
+        chosen = F.array_min(F.filter(options, lambda o: o.isNotNull()))
+        done = F.transform(held["done"], lambda j, i: j + (i == chosen["i"]).cast("bigint"))
+        return F.struct(done.alias("done"), F.concat(
+            held["order"], F.array(F.struct(chosen["i"].cast("int").alias("i"), chosen["j"].alias("j")))).alias("order"))
+
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), size - 1), state, step, lambda held: held["order"])
+
+
+def plan_of(rows: DataFrame, weights: Mapping[str | None, float], unit_rows: int, period: int = PERIOD) -> DataFrame:
+    """s, k, slot of every unit that has rows."""
+    spark = rows.sparkSession
+    kind = "s string, k bigint, slot bigint"
+    shares = whole_shares(weights)
     names = sorted(shares, key=lambda s: (-shares[s], s is None, s or ""))
-    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    for slot in range(slots):
-        while waiting and waiting[0][0] <= slot:
-            _, i, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(block + 1) * total // shares[names[i]]), i, block))
-        _, i, block = heapq.heappop(ready)
-        yield names[i], block, slot
-        heapq.heappush(waiting, ((block + 1) * total // shares[names[i]], i, block + 1))
-
-
-def pfair_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one period."""
-    return list(pfair_slots(shares, sum(shares.values())))
-
-
-def plan_of(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int) -> DataFrame:
-    """s, k, slot of every block that has rows, written in chunks. One row per source comes to the driver."""
-    shares = exact_shares(weights)
-    total = sum(shares.values())
-    counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
-    blocks = {s: -(-n // block_rows) for s, n in counts.items() if s in shares}
-    slots = max((-(-n * total // shares[s]) for s, n in blocks.items()), default=0)
-    places = pfair_slots(shares, slots)
-    kind = "s string, k long, slot long"
-    chunks = []
-    for _ in range(0, slots, CHUNK_SLOTS):
-        some = [x for x in itertools.islice(places, CHUNK_SLOTS) if x[1] < blocks.get(x[0], 0)]
-        if some:
-            chunks.append(written(rows.sparkSession.createDataFrame(pd.DataFrame(some, columns=["s", "k", "slot"]), kind), "mixing-plan"))
-    return functools.reduce(DataFrame.union, chunks) if chunks else rows.sparkSession.createDataFrame([], kind)
+    counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect() if r["source"] in shares}
+    if not counts:
+        return spark.createDataFrame([], kind)
+    units = {s: -(-n // unit_rows) for s, n in counts.items()}
+    # a unit k of share w is over by slot (k + 1) / w and one more period
+    periods = max(-(-(n + 1) * WHOLE // (shares[s] * period)) for s, n in units.items()) + 1
+    of_names = F.array(*[F.lit(s).cast("string") for s in names])
+    of_shares = F.array(*[F.lit(shares[s]).cast("bigint") for s in names])
+    of_units = F.array(*[F.lit(units.get(s, 0)).cast("bigint") for s in names])
+    start = F.col("id") * period
+    found = spark.range(periods).select(start.alias("start"), quotas(start, of_shares).alias("had"),
+                                        quotas(start + period, of_shares).alias("has"))
+    found = found.select("start", "had", F.zip_with("has", "had", lambda b, a: b - a).alias("n"))
+    used = F.exists(F.arrays_zip(F.col("n"), F.col("had"), of_units.alias("u")), lambda x: (x["n"] > 0) & (x["had"] < x["u"]))
+    found = found.where(used)
+    found = found.select("start", "had", F.posexplode(period_order(F.col("n"), period)).alias("at", "x"))
+    k = F.get("had", F.col("x.i")) + F.col("x.j")
+    found = found.select(F.get(of_names, F.col("x.i")).alias("s"), k.alias("k"), (F.col("start") + F.col("at")).alias("slot"),
+                         F.get(of_units, F.col("x.i")).alias("u"))
+    return found.where("k < u").drop("u")
 
 
 def schedule(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add block, slot and position to rows that have doc_id and source."""
-    plan = plan_of(rows, weights, block_rows)
+    unit_rows = max(1, block_rows // UNITS)
+    plan = plan_of(rows, weights, unit_rows)
     rows = numbered(rows.withColumn("_h", F.xxhash64("doc_id")), ["source"], ["_h", "doc_id"],
                     F.xxhash64("doc_id", F.lit(7)), "_rank").drop("_h")
-    rows = rows.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")), "left")
-    place = (F.col("slot") * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long")
-    return rows.withColumn("position", place).drop("_rank", "k", "s")
+    rows = rows.withColumn("_unit", F.floor(F.col("_rank") / unit_rows).cast("long"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("_unit") == F.col("k")), "left")
+    place = (F.col("slot") * unit_rows + F.pmod("_rank", F.lit(unit_rows))).cast("long")
+    block = F.floor(F.col("_unit") / UNITS).cast("long")
+    return rows.withColumn("block", block).withColumn("position", place).drop("_rank", "_unit", "k", "s")
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS,

@@ -391,42 +391,65 @@ def test_mixing(spark, sf, docs):
     counts = docs["source"].value_counts()
     weights = mixing.tempered_weights(read(spark, sf, "documents"))
     assert weights == {s: pytest.approx(n ** 0.5) for s, n in counts.items()}
-    shares = mixing.quantised(weights)
-    plan = {(s, k): at for s, k, at in mixing.pfair_period(shares)}
-    for r in got.itertuples():
-        cycle, k = divmod(r.block, shares[r.source])
-        assert r.slot == cycle * mixing.PERIOD + plan[r.source, k]
-        assert r.position // mixing.BLOCK_ROWS == r.slot
-
-
-def test_pfair_deviates_less_than_a_block():
-    for weights in ({"a": 5, "b": 3, "c": 2}, {"a": 0.61, "b": 0.17, "c": 0.2, None: 0.02}, {str(i): 1 for i in range(37)}):
-        shares = mixing.quantised(weights, 100)
-        assert sum(shares.values()) == 100
-        done = dict.fromkeys(shares, 0)
-        for slot, (source, block, at) in enumerate(mixing.pfair_period(shares)):
-            assert at == slot and block == done[source]
-            done[source] += 1
-            assert all(abs(done[s] * 100 - shares[s] * (slot + 1)) < 100 for s in shares)
-
-
-def test_mixing_follows_the_given_weights(spark):
-    """Less than a block from the exact weights at every slot, over many periods and with a weight below 1/1000."""
-    weights = {"big": 0.5, "rare": 0.0007, **{f"s{i:02}": (0.5 - 0.0007) / 18 for i in range(18)}}
+    assert ((got["position"] // mixing.UNIT_ROWS) == got["slot"]).all()
+    rows_of = got.groupby(["source", "block"]).size()
+    for source, n in counts.items():  # whole blocks but for the last one
+        assert sorted(rows_of[source]) == sorted([mixing.BLOCK_ROWS] * (n // mixing.BLOCK_ROWS) + [n % mixing.BLOCK_ROWS] * (n % mixing.BLOCK_ROWS > 0))
+    # no slot is left empty while every source has rows, and blocks come in their order
+    used = got.groupby("slot")["source"].nunique()
+    first_out = min(got[got["source"] == s]["slot"].max() for s in counts.index)
+    assert (used == 1).all() and set(range(int(first_out))) <= set(used.index)
+    for _, mine in got.sort_values("position").groupby("source"):
+        assert mine["block"].is_monotonic_increasing
+
+
+def brute_edf(counts, period):
+    """Earliest deadline first over one period, slot by slot; every deadline must hold."""
+    done, out = [0] * len(counts), []
+    for slot in range(period):
+        ready = [(-(-(done[i] + 1) * period // n), i) for i, n in enumerate(counts) if done[i] < n and done[i] * period // n <= slot]
+        due, i = min(ready)
+        assert due >= slot + 1
+        out.append((i, done[i]))
+        done[i] += 1
+    return out
+
+
+def test_period_order(spark):
+    cases = [[128, 77, 51], [1, 255], [256], [0, 200, 56], [25] * 9 + [31], [3] * 85 + [1]]
+    for counts in cases:
+        got = spark.range(1).select(mixing.period_order(F.array(*[F.lit(n).cast("bigint") for n in counts]))).first()[0]
+        assert [tuple(x) for x in got] == brute_edf(counts, 256)
+
+
+@pytest.mark.parametrize("weights", [
+    {"big": 0.5, "rare": 0.0007, **{f"s{i:02}": (0.5 - 0.0007) / 18 for i in range(18)}}, {"a": 5, "b": 3, "c": 2},
+    {"a": 0.61, "b": 0.17, "c": 0.2, None: 0.02}, {str(i): 1 for i in range(37)}, {"a": 2 ** 0.5, "b": 3 ** 0.5}, {"only": 1}])
+def test_mixing_deviates_less_than_a_block(spark, weights):
+    """At every slot each source is less than one block (two units) from its exact share, over many periods."""
     total = sum(weights.values())
-    done = dict.fromkeys(weights, 0)
-    for s, block, slot in mixing.pfair_slots(mixing.exact_shares(weights), 20_000):
-        assert block == done[s]
-        done[s] += 1
-        assert all(abs(done[x] - weights[x] / total * (slot + 1)) < 1 + 1e-6 for x in done)
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "big").when(
-        F.col("id") % 1500 == 1, "rare").otherwise(F.format_string("s%02d", F.col("id") % 18)).alias("source"))
-    got = mixing.mix(docs, weights, block_rows=1).toPandas()
-    assert len(got) == 6000 == got["slot"].nunique()
-    for s, rows in got.groupby("source"):
-        slots = rows["slot"].sort_values().to_numpy()
-        share, nth = weights[s] / total, np.arange(1, len(slots) + 1)
-        assert (np.abs(nth - share * (slots + 1)) < 1 + 1e-6).all(), s
+    slots = 6000
+    kind = "source string, n long"
+    rows = spark.createDataFrame([(s, int(slots * w / total) + 2) for s, w in weights.items()], kind)
+    rows = rows.select("source", F.explode(F.sequence(F.lit(1), "n")))
+    plan = mixing.plan_of(rows, weights, 1).toPandas()
+    assert plan["slot"].is_unique and set(range(slots)) <= set(plan["slot"])
+    plan = plan[plan["slot"] < slots].sort_values("slot")
+    names = plan["s"].astype(object).where(plan["s"].notna(), None).to_numpy()
+    for s, w in weights.items():
+        mine = np.array([n == s for n in names])
+        off = np.cumsum(mine) - (np.arange(slots) + 1) * (w / total)
+        assert np.abs(off).max() < 2 - 1e-9, s
+        assert (plan["k"].to_numpy()[mine] == np.arange(mine.sum())).all()
+
+
+def test_mixing_of_a_tiny_weight_costs_no_slots_between(spark):
+    """400 rows with weights 1 and 1e-6: the plan has the units that there are and nothing for the empty slots."""
+    docs = spark.range(400).selectExpr("id as doc_id", "case when id < 200 then 'a' else 'b' end as source")
+    got = mixing.mix(docs, {"a": 1.0, "b": 1e-6}).toPandas()
+    assert got["position"].notna().all() and got["position"].nunique() == 400
+    slots = got[got["source"] == "b"]["slot"]
+    assert slots.max() > 20_000_000 and got[got["source"] == "a"]["slot"].max() < 30
 
 
 def brute_lm(rows):

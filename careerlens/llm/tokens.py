@@ -13,7 +13,17 @@ from array import array
 from careerlens.llm.common import worker_cache
 
 #: Chunks kept per worker; the cache starts anew beyond it. It bounds memory, not results.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
+
+
+def byte_signs() -> dict[int, int]:
+    """The characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_SIGNS = byte_signs()
 
 
 def default_vocabulary() -> str:
@@ -36,8 +46,9 @@ class ChunkEncoder:
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
 
     def word(self, chunk: str) -> bytes:
-        """Ids of a space and ASCII letters, which are one pre-token: straight from the merges."""
-        return array("I", [t.id for t in self.model.tokenize("\u0120" + chunk)]).tobytes()
+        """Ids of a space and letters, which are one pre-token: straight from the merges, byte by byte as they know them."""
+        shown = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize("\u0120" + shown)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -64,9 +75,7 @@ class ChunkEncoder:
                 return self.whole(text)
         others = []
         for chunk in new:
-            if not chunk.isascii():
-                others.append(chunk)
-            elif chunk.isalpha():
+            if chunk.isalpha():
                 known[chunk] = self.word(chunk)
             elif chunk[-1] in self.marks and chunk[:-1].isalpha():
                 known[chunk] = (known.get(chunk[:-1]) or self.word(chunk[:-1])) + self.marks[chunk[-1]]

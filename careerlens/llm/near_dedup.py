@@ -14,8 +14,9 @@ posterior (uniform prior) of the similarity; where the chance that it reaches th
 pair is given up. Survivors are confirmed on their full sets of shingles. The chance that bands and pruning lose a
 link at similarity 0.85 is below 1e-4 for a pair of documents, and a component is lost only with all its links.
 
-Null and empty texts have empty sets and are linked with nothing. Rows that repeat an id count as one document that
-carries the links of all of them. A row with a null id is linked with nothing and kept. Equal texts are linked; the
+Null and empty texts have empty sets and are linked with nothing. Very long texts are shingled whole. Rows that repeat an
+id with several texts are judged each by its text; where that id is the least of two groups of copies, these count as
+linked. A row with a null id is linked with nothing and kept. Equal texts are linked; the
 least id of a component stays. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -84,7 +85,7 @@ def survive(left: np.ndarray, right: np.ndarray, least: np.ndarray, batch: int =
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit hashes of the whole set, signature, band keys."""
+    """doc_id, content (a hash of the text), n_shingles, two 64-bit hashes of the whole set, signature, band keys."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
@@ -92,21 +93,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         bands = band_rows()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, content, text in zip(batch["doc_id"], batch["content"], batch["text"]):
                 found = shingles_of(word_hashes(words_of(text or "")), width)
                 raw = found.tobytes()
                 sig = signature(found, a, b)
                 keys = [xxh64_intdigest(sig[r].tobytes(), i) for i, r in enumerate(bands)] if len(found) else []
-                out.append((doc_id, len(found), xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2), sig.tobytes(),
+                out.append((doc_id, content, len(found), xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2), sig.tobytes(),
                             np.array(keys, np.uint64).astype(np.int64)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "sig", "bands"])
+            frame = pd.DataFrame(out, columns=["doc_id", "content", "n_shingles", "h1", "h2", "sig", "bands"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             for c in ("h1", "h2"):
                 frame[c] = frame[c].astype("uint64").astype("int64")
             yield frame
 
-    rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
+    rows = columns(docs, doc_id=id_col, text=text_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    return rows.mapInPandas(run, "doc_id long, content long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 def prune(pairs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
@@ -198,15 +200,15 @@ def representatives(marks: DataFrame) -> DataFrame:
 
 
 def members(marks: DataFrame, label: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row, from its class and the class's component."""
-    rows = marks.select("doc_id", "n_shingles", "h1", "h2")
+    """doc_id, content, n_shingles, component_id, kept of every row, from its class and the class's component."""
+    rows = marks.select("doc_id", "content", "n_shingles", "h1", "h2")
     there = rows.where("n_shingles > 0 and doc_id is not null")
     classes = there.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    linked = there.join(classes, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
+    linked = there.join(classes, ["h1", "h2"]).select("doc_id", "content", "n_shingles", "component_id")
     alone = rows.where("not (n_shingles > 0 and doc_id is not null)")
-    out = linked.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = linked.unionByName(alone.select("doc_id", "content", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -277,16 +279,25 @@ def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     return links, components(links)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, small_bucket: int = SMALL_BUCKET,
-                 pivots: int = PIVOTS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, small_bucket: int = SMALL_BUCKET,
+              pivots: int = PIVOTS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, content, n_shingles, component_id, kept."""
     marks = sketch_table(docs, id_col, text_col, width)
     _, label = links_of(marks, docs, id_col, text_col, threshold, width, small_bucket, pivots, miss, block)
     return members(marks, label)
 
 
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. ``options`` are those of :func:`near_rows`."""
+    return near_rows(docs, id_col, text_col, **options).drop("content")
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = near_classes(docs, id_col, text_col).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["doc_id"], "left_anti")
+    """The rows that stay, with all their columns. A row goes by its id and text: another text of the same id stays."""
+    gone = near_rows(docs, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("gone_id"), F.col("content").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("content"))
+    gone = written(gone, "gone")
+    return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("content") == F.col("gone")), "left_anti").select("row.*")

@@ -571,5 +571,30 @@ def test_url_rules():
 
 def test_exact_groups_only_hold_copies(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "")], "doc_id long, text string")
-    got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(frame).collect()}
+    got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(exact_dedup.digests(frame)).collect()}
     assert got == {(2, 2), (5, 2)}
+
+
+def test_no_text_is_moved_by_exact_dedup(spark, sf):
+    """The shuffles of the query carry digests and ids."""
+    plan = QUERIES["op8_exact_dedup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "text#" not in plan.replace("text_sha256#", "")
+
+
+def test_exact_copies_with_a_hot_length(spark):
+    """Texts of one length, a third of them equal, and rows that repeat an id with its text."""
+    rows = [(i, f"{i % 3000 if i % 3 else 0:06}") for i in range(9000)] + [(5, f"{5:06}"), (9001, "000000")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(frame).collect()}
+    assert all(got[i] == (max(want[t]), len(want[t])) for i, t in rows)
+    stay = sorted(tuple(r) for r in exact_dedup.drop_copies(frame).collect())
+    assert stay == sorted((max(ids), t) for t, ids in want.items())
+
+
+def test_drop_near_goes_by_id_and_text(spark):
+    a, b = "one two three four five six seven", "other words that stand alone in here"
+    frame = spark.createDataFrame([(3, a), (7, a), (7, b), (None, a), (9, None)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.drop_near(frame).collect()), key=str) == sorted([(3, a), (7, b), (None, a), (9, None)], key=str)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from careerlens.catalog.registry import SQL_BLANKS, query, sql_any, sql_list, sql_text
 from careerlens.functions import urls
+from careerlens.functions.markup import decode_references
 from careerlens.functions.text import bounded, first_line_title, first_nonblank
 from careerlens.lexicon import GRADUATE_TERMS, SectionPolicy
 from careerlens.operators.anchors import text_anchors, titled_anchors
@@ -169,6 +172,27 @@ def ex1(spark, sf):
     return text_anchors(fx.pages(spark, sf)).select("page_id", "pos", "href", "anchor_text")
 
 
+# Every name of the standard, with and without its semicolon where that counts, dealt to the rows of a table.
+_NAMES = sorted(html5)
+_NAME_ROWS = ", ".join(f"({i}, {sql_text(n)}, {sql_text(html5[n])})" for i, n in enumerate(_NAMES))
+
+
+@query("ex1_references", sql=f"""
+with n as (select * from (values {_NAME_ROWS}) t(i, name, shown))
+select l_orderkey, l_linenumber, l_linestatus || ' ' || shown || l_partkey || ' &' || l_returnflag || 'zz; A' || l_linenumber || '&' as text
+from (select *, (l_orderkey * 8 + l_linenumber) % {len(_NAMES)} as i from lineitem) join n using (i)""")
+def ex1_references(spark, sf):
+    rows = fx.table(spark, sf, "lineitem")
+    names = F.array(*[F.lit(n) for n in _NAMES])
+    name = F.get(names, ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) % len(_NAMES)).cast("int"))
+    rows = rows.withColumn("__n", name)
+    raw = F.concat(
+        F.col("l_linestatus"), F.lit(" &"), F.col("__n"), F.col("l_partkey"), F.lit(" &"), F.col("l_returnflag"),
+        F.lit("zz; &#x41;"), F.col("l_linenumber"), F.lit("&amp;"))
+    rows = rows.select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", decode_references("raw").alias("text"))
+
+
 @query("ex2_container_anchors", using="fx_pages", sql=f"""
 with {ANCHORS}, boxes as (
   select page_id, len(regexp_extract_all(lower(html),

@@ -7,7 +7,7 @@ parser would give them: ``MARK`` stands between two neighbouring text nodes.
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +26,9 @@ _QUOTED = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _TAG = r"(?i)</?[a-z]" + _QUOTED + r">"
 _LOOSE_TAG = r"(?i)</?[a-z][^>]*>"
 
-# The named character references of HTML 4, as the standard library decodes them. Other names are left to the parser.
-NAMED_REFERENCES = {name: html5[name + ";"] for name in name2codepoint} | {"apos": "'"}
+# The named character references of the HTML standard; some 100 old ones also count without a semicolon.
+NAMED_REFERENCES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+OPEN_REFERENCES = {name: text for name, text in html5.items() if not name.endswith(";")}
 # Fixed values of the HTML standard: what numeric references to 128-159 stand for.
 C1_REFERENCES = {
     128: "\u20ac", 130: "\u201a", 131: "\u0192", 132: "\u201e", 133: "\u2026", 134: "\u2020", 135: "\u2021",
@@ -35,29 +36,45 @@ C1_REFERENCES = {
     146: "\u2019", 147: "\u201c", 148: "\u201d", 149: "\u2022", 150: "\u2013", 151: "\u2014", 152: "\u02dc",
     153: "\u2122", 154: "\u0161", 155: "\u203a", 156: "\u0153", 158: "\u017e", 159: "\u0178",
 }
-_REFERENCE = r"^&(?:#(?:[xX]0*([0-9A-Fa-f]+)|0*([0-9]+));?|([A-Za-z][A-Za-z0-9]*);)"
+_NUMBER = r"^&#(?:[xX]0*([0-9A-Fa-f]+)|0*([0-9]+));?"
+_NAME = r"^&([A-Za-z][A-Za-z0-9]{0,30});"
+# longest first: the longest prefix that is a name counts
+_OPEN = "^&(" + "|".join(sorted(OPEN_REFERENCES, key=lambda n: (-len(n), n))) + ")"
 _TOO_LARGE = 0x110000
 
 
 def decode_references(name: str) -> Column:
-    """Decode the numeric and the ``NAMED_REFERENCES`` references of a column, each once.
+    """Decode the character references of a column, each once, as the standard library's ``unescape`` does.
 
-    The text is split before every ``&``. A code that is zero, a surrogate or beyond U+10FFFF gives U+FFFD, other
-    codes that are no characters give nothing, as in the HTML standard's rules for references.
+    The text is split before every ``&``. A name with a semicolon counts if it is in the whole list; otherwise the longest
+    prefix that may stand without one does. A code that is zero, a surrogate or beyond U+10FFFF gives U+FFFD, other
+    codes that are no characters give nothing.
     """
     def piece(p: Column) -> Column:
-        hexa, digits, word = (F.regexp_extract(p, _REFERENCE, g) for g in (1, 2, 3))
+        hexa, digits = (F.regexp_extract(p, _NUMBER, g) for g in (1, 2))
         code = F.when(F.length(hexa) > 6, _TOO_LARGE).when(hexa != "", F.conv(hexa, 16, 10).cast("long")) \
             .when(F.length(digits) > 7, _TOO_LARGE).when(digits != "", digits.cast("long"))
-        rest = F.regexp_replace(p, _REFERENCE, "")
-        named = F.try_element_at(_literal_map(NAMED_REFERENCES), word)
-        return F.when(code.isNotNull(), F.concat(_character(code), rest)) \
-            .otherwise(F.coalesce(F.when(word != "", F.concat(named, rest)), p))
+        number = F.when(code.isNotNull(), F.concat(_character(code), F.regexp_replace(p, _NUMBER, "")))
+        word = F.regexp_extract(p, _NAME, 1)
+        # by first letter: a map is searched from its start
+        letter = F.try_element_at(_by_letter(NAMED_REFERENCES), F.substring(word, 1, 1))
+        named = F.concat(F.try_element_at(letter, word), F.substring(p, F.length(word) + 3, F.length(p)))
+        old = F.regexp_extract(p, _OPEN, 1)
+        opened = F.concat(F.try_element_at(_literal_map(OPEN_REFERENCES), old), F.substring(p, F.length(old) + 2, F.length(p)))
+        return F.when(~F.startswith(p, F.lit("&")), p).when(F.startswith(p, F.lit("&#")), F.coalesce(number, p)) \
+            .otherwise(F.coalesce(F.when(word != "", named), F.when(old != "", opened), p))
 
     text = F.col(f"`{name}`")
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")).otherwise(text)
 
 
+def _by_letter(names: dict[str, str]) -> Column:
+    groups: dict[str, dict] = {}
+    for key, text in names.items():
+        groups.setdefault(key[0], {})[key] = text
+    return F.create_map(*[x for letter, group in groups.items() for x in (F.lit(letter), _literal_map(group))])
+
+
 def _literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

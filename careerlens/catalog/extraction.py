@@ -336,6 +336,24 @@ def ex9b(spark, sf):
     return titled_anchors(fx.pages(spark, sf)).select("page_id", "pos", "href", "anchor_title")
 
 
+@query("ex9_labelled_anchors", using="fx_pages", sql=r"""
+with items as (
+  select page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1)) as href,
+    unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) as word from fx_pages)
+select page_id, href, 'label ' || word as anchor_title from items
+union all select page_id, href || '?t', 'title ' || word from items
+union all select page_id, href || '?x', word from items""")
+def ex9c(spark, sf):
+    # every listed link three times: with a label only, with a blank label and a title, with a text that wins over both
+    forms = ('<li><a aria-label="label $2" title="title" href="$1"> &nbsp; </a></li>'
+             '<li><a title="title $2" href="$1?t" aria-label=" "><b></b></a></li>'
+             '<li><a href="$1?x" title="title" aria-label="label">$2</a></li>')
+    html = F.regexp_replace("html", '<li><a href="([^"]*)">([^<]*)</a></li>', F.lit(forms))
+    pages = fx.pages(spark, sf).withColumn("html", html)
+    links = titled_anchors(pages).select("page_id", "href", "anchor_title")
+    return links.where("href like '%?t' or href like '%?x' or anchor_title like 'label %'")
+
+
 @query("ex10_bounded_text", sql=r"""
 select doc_id, trim(substring(text, 1, 100), e' \t\n\r') as title,
   trim(substring(text, 1, 300), e' \t\n\r') as body, trim(substring(text, 1, 250), e' \t\n\r') as snippet

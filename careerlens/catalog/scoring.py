@@ -321,6 +321,46 @@ def ux1(spark, sf):
         "company", "title", "url", "id")
 
 
+# Every page once for each built-in extractor, its list items rewritten to that site's cards.
+_CARD_FORMS = {
+    "line": ('<div class="course-item">', "", "</a></div>", "/"), "mercari": ('<div class="opening">', " engineer", '</a><span class="location">Tokyo</span></div>', "/"),
+    "woven": ('<div class="opening">', " Intern", "</a></div>", "/"), "sony": ('<li class="css-9">', "", "</a></li>", "/"),
+    "bytedance": ('<div class="jobCard-1">', " Research", "</a></div>", "https://jobs.example.com/"),
+    "toshiba": ("<li>", " and more than twenty", "</a></li>", "/toshiba/jobs/"), "preferred": ("<li>", " graduate place", "</a></li>", "/recruit/")}
+_LINK_ATTRIBUTES = {"sony": ' data-automation-id="jobTitle"', "bytedance": ' class="jobTitle"'}
+
+
+def _site_pages(spark, sf):
+    pages = fx.pages(spark, sf)
+    out = None
+    for key, (start, tail, end, root) in _CARD_FORMS.items():
+        html = F.replace(F.col("html"), F.lit('<li><a href="/'), F.lit(f'{start}<a{_LINK_ATTRIBUTES.get(key, "")} href="{root}'))
+        html = F.replace(html, F.lit("</a></li>"), F.lit(tail + end))
+        rows = pages.select("page_id", F.lit(key).alias("site"), "url", html.alias("html"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _site_rows_sql(key):
+    start, tail, end, root = _CARD_FORMS[key]
+    name = site_records.NAMES[key]
+    word = f"anchor_text || {sql_text(tail)}"
+    keep = {"line": f"length(anchor_text) > 5 and not {sql_any('upper(anchor_text)', site_records.COURSE_SKIP)}",
+            "toshiba": f"length({word}) >= 20", "preferred": f"not {sql_any(f'lower({word})', site_records.CAREER_SKIP)}"}.get(key, "true")
+    url = f"{sql_text(root)} || substr(href, 2)" if root.startswith("http") else f"{ORIGIN} || {sql_text(root)} || substr(href, 2)"
+    return (f"select {sql_text(key)} as site, {sql_text(name)} as company, {word} as title, {url} as url, "
+            f"{sql_text('Tokyo') if key == 'mercari' else sql_text('')} as location, page_id, pos from anchors where {keep}")
+
+
+@query("ux1_built_in_extractors", using="fx_pages", sql=f"""
+with {ANCHORS}, r as ({" union all ".join(_site_rows_sql(k) for k in _CARD_FORMS)}),
+k as (select *, row_number() over (partition by site, url order by page_id, pos) as rn from r where length(title) between 3 and 300)
+select site, company, title, url, location, md5(company || '|' || url) as id from k where rn = 1""")
+def ux1_built_in(spark, sf):
+    chosen = {k: site_records.BUILT_IN[k] for k in _CARD_FORMS}
+    return site_records.run_all(_site_pages(spark, sf), chosen).select("site", "company", "title", "url", "location", "id")
+
+
 @query("ux2_rule_exceptions", using="fx_pages", sql=f"""
 with {ANCHORS}, l as (select *, {ORIGIN} || href as url, lower(anchor_text) as t from anchors),
 r as (
@@ -568,9 +608,9 @@ with w as (select doc_id, unnest({_WORDS}) as term from fx_records),
 tf as (select doc_id, term, count(*) as tf from w where term <> '' group by all),
 df as (select term, count(*) as df from tf group by term),
 n as (select count(*) as n from fx_records),
-rated as (select doc_id, term, tf, round(tf * ln(n / df::double), 6) as tfidf from tf join df using (term), n),
+rated as (select doc_id, term, tf, tf * ln(n / df::double) as tfidf from tf join df using (term), n),
 ranked as (select *, row_number() over (partition by doc_id order by tfidf desc, term) as rank from rated)
-select doc_id, term, tf, tfidf, cast(rank as int) as rank from ranked where rank <= 5""")
+select doc_id, term, tf, round(tfidf, 6) as tfidf, cast(rank as int) as rank from ranked where rank <= 5""")
 def tl1b(spark, sf):
     return pm.top_terms(fx.records(spark, sf), "doc_id", 5)
 

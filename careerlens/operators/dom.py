@@ -7,7 +7,7 @@ standard library parser and a few walks over it. Rows leave as Arrow batches.
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.functions.text import BLANKS, strip
+from careerlens.functions.text import BLANK_CLASS, BLANKS, strip
 from careerlens.lexicon import CONTAINER_CLASS_TERMS, CONTAINER_TAGS
 
 # Functions and classes below travel to the workers with the task, so the package
@@ -141,7 +141,8 @@ class Pick:
     text: str | None = None
     within: "Pick | None" = None
 
-    def accepts(self, node: Node) -> bool:
+    def accepts(self, node: Node, text_of=Node.text) -> bool:
+        """``text_of`` gives a node's text."""
         if self.tag is not None and node.tag != self.tag:
             return False
         own = node.attrs.get("class", "").split()
@@ -151,36 +152,38 @@ class Pick:
             return False
         if any(node.attrs.get(k) != v for k, v in self.equals):
             return False
-        if self.text is not None and self.text not in node.text():
+        if self.text is not None and self.text not in text_of(node):
             return False
         if self.within is None:
             return True
         up = node.parent
         while up is not None:
-            if self.within.accepts(up):
+            if self.within.accepts(up, text_of):
                 return True
             up = up.parent
         return False
 
 
-def _select(root: Node, picks) -> list[Node]:
-    return [n for n in root.walk() if any(p.accepts(n) for p in picks)]
-
-
 # ------------------------------------------------------------------- links
 
 _SPAN = "struct<at:int,size:int>"
 _LINK = (f"struct<pos:int,href:string,text:{_SPAN},tight:{_SPAN},parent:{_SPAN},label:string,in_container:boolean>")
-_PAGE_SCHEMA = f"has_container boolean, page_text string, page_tight string, links array<{_LINK}>"
+_PAGE_SCHEMA = f"has_container boolean, page_text binary, page_tight binary, links array<{_LINK}>"
+
+
+def _tight(text: str) -> bytes:
+    return text.strip(BLANKS).encode()
 
 
-def _layout(root: Node, *forms) -> list[tuple[str, dict[int, tuple[int, int]]]]:
-    """For each form (a function of a text node) the page text in that form and the span of every element in it.
+def _layout(root: Node, *forms, edge: str | bytes = "") -> list[tuple]:
+    """For each form (from a text node to a string or bytes) the page text in that form and the span of every element.
+
+    ``edge`` stands at both borders of every block, in the last form only.
 
     The text of an element is one slice of the page text, so elements that contain each other share it. What a hidden
     element holds comes behind all else: it is in the spans of what lies inside it and in no other.
     """
-    pieces: list[list[str]] = [[] for _ in forms]
+    pieces: list[list] = [[] for _ in forms]
     at = [0] * len(forms)
     starts: dict[int, list[int]] = {}
     spans: list[dict[int, tuple[int, int]]] = [{} for _ in forms]
@@ -197,13 +200,19 @@ def _layout(root: Node, *forms) -> list[tuple[str, dict[int, tuple[int, int]]]]:
             elif closing:
                 for i, start in enumerate(starts.pop(item.order)):
                     spans[i][item.order] = (start, at[i])
+                if edge and item.tag in BLOCK:
+                    pieces[-1].append(edge)
+                    at[-1] += len(edge)
             elif item.tag in HIDDEN and item is not top:
                 waiting.append(item)
             else:
+                if edge and item.tag in BLOCK:
+                    pieces[-1].append(edge)
+                    at[-1] += len(edge)
                 starts[item.order] = list(at)
                 stack.append((item, True))
                 stack.extend((c, False) for c in reversed(item.children))
-    return [("".join(p), s) for p, s in zip(pieces, spans)]
+    return [(form("").join(p), s) for form, p, s in zip(forms, pieces, spans)]
 
 
 def _page_links(root: Node, holds_links) -> tuple[list[tuple[Node, bool]], bool]:
@@ -251,7 +260,7 @@ def page_links(
 ) -> DataFrame:
     """One row per page with links: its text, once, and its links as spans of it.
 
-    A link's own text and that of its parent are spans (first character from 0, number of characters) of ``page_text``,
+    A link's own text and that of its parent are spans (first byte from 0, number of bytes in UTF-8) of ``page_text``,
     its text without blanks at the borders of text nodes one of ``page_tight``. However deep elements nest, the output
     is the page's text twice and one entry per link.
     """
@@ -267,7 +276,7 @@ def page_links(
                 links, scoped = _page_links(root, holds_links)
                 if not links:
                     continue
-                (text, spans), (tight, tight_spans) = _layout(root, str, lambda s: s.strip(BLANKS))
+                (text, spans), (tight, tight_spans) = _layout(root, str.encode, _tight)
 
                 out.append((*values, scoped, text, tight, [
                     _entry(pos, node, own, spans, tight_spans) for pos, (node, own) in enumerate(links, 1)]))
@@ -285,7 +294,8 @@ def _texts() -> tuple[Column, Column]:
 
 
 def _slice(text: str, span: str) -> Column:
-    return F.substring(F.col(text), F.col(f"{span}.at") + 1, F.col(f"{span}.size"))
+    # bytes, so that a slice does not count its way through the page's characters
+    return F.substring(F.col(text), F.col(f"{span}.at") + 1, F.col(f"{span}.size")).cast("string")
 
 
 def _places(text: str, term: str) -> list[int]:
@@ -314,7 +324,7 @@ def context_links(
     kept = ["page_id", *carry]
 
     def matches(root: Node, words: list[str]):
-        (text, spans), (raw, raw_spans), (tight, tight_spans) = _layout(root, str.lower, str, lambda s: s.strip(BLANKS))
+        (text, spans), (raw, raw_spans), (tight, tight_spans) = _layout(root, str.lower, str.encode, _tight)
         terms = [(w, w.lower()) for w in words]
         places = {low: _places(text, low) for _, low in terms if low}
         longest = max((len(low) for low in places), default=0)
@@ -389,38 +399,83 @@ class RecordRule:
     location: tuple[Pick, ...] = ()
 
 
-_RECORD_SCHEMA = (
-    "page_id bigint, site string, url string, card_pos int, card_text string, "
-    "title_text string, href string, location string"
-)
+_CARD = (f"struct<card_pos:int,card:{_SPAN},title:{_SPAN},href:string,place:{_SPAN}>")
+_RECORD_SCHEMA = f"page_id bigint, site string, url string, page_text binary, cards array<{_CARD}>"
+
+
+def _flat(text: str) -> bytes:
+    """A text node in which no character ends a line."""
+    return text.replace("\n", " ").encode()
+
+
+def _page_cards(root: Node, rule: RecordRule) -> tuple[bytes, list[dict]]:
+    """Text of a page, a line feed at every border of a block, and its cards as spans of it.
+
+    Every element is tried once for each part of the rule; a card's title is the first one among the elements that lie
+    between its start and its end.
+    """
+    (plain, spans), (text, edges) = _layout(root, str, _flat, edge=b"\n")
+    nodes = list(root.walk())
+    last = {}  # the last element inside each element
+    for node in reversed(nodes):
+        last.setdefault(node.order, node.order)
+        up = node.parent.order
+        last[up] = max(last.get(up, up), last[node.order])
+
+    def text_of(node: Node) -> str:
+        start, end = spans[node.order]
+        return plain[start:end]
+
+    def chosen(picks) -> list[Node]:
+        return [n for n in nodes if any(p.accepts(n, text_of) for p in picks)]
+
+    def first_in(card: Node, found: list[Node], orders: list[int]) -> Node | None:
+        at = bisect_right(orders, card.order)
+        return found[at] if at < len(found) and orders[at] <= last[card.order] else None
+
+    def span(node: Node | None):
+        if node is None:
+            return None
+        start, end = edges[node.order]
+        return {"at": start, "size": end - start}
+
+    cards, titles, places = chosen(rule.card), chosen(rule.title), chosen(rule.location)
+    title_orders, place_orders = [n.order for n in titles], [n.order for n in places]
+    out = []
+    for pos, card in enumerate(cards, 1):
+        head = first_in(card, titles, title_orders) if rule.title else card
+        out.append({"card_pos": pos, "card": span(card), "title": span(head), "href": head.attrs.get("href") if head else None,
+                    "place": span(first_in(card, places, place_orders))})
+    return text, out
+
+
+def _lines(span: str) -> Column:
+    """Rendered form of a part of ``page_text``: one line per block, blanks squeezed inside it."""
+    rows = F.transform(F.split(_slice("page_text", span), "\n"),
+                       lambda line: strip(F.regexp_replace(line, f"[{BLANK_CLASS}]+", " ")))
+    return F.array_join(F.filter(rows, lambda line: line != ""), "\n")
 
 
 def extract_records(pages: DataFrame, rules: Mapping[str, RecordRule]) -> DataFrame:
     """Cards of every page that has a rule for its ``site``, raw and in order.
 
-    Cards without a link give ``href`` NULL. Qualification, title and body
-    shaping are left to DataFrame operators.
+    One pass over the pages for all sites. The parser gives a page's text once and cards as spans of it, so nested
+    cards do not multiply text; card, title and location texts are cut out where they are used. Cards without a link
+    give ``href`` NULL. Qualification, title and body shaping are left to DataFrame operators.
     """
     chosen = dict(rules)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "site", "url", "card_pos", "card_text", "title_text", "href", "location"]
         for batch in batches:
             out = []
-            for page_id, site, url, html in zip(
-                    batch["page_id"], batch["site"], batch["url"], batch["html"]):
-                rule = chosen[site]
-                for pos, card in enumerate(_select(parse_page(html), rule.card), 1):
-                    titles = _select(card, rule.title) if rule.title else [card]
-                    head = titles[0] if titles else None
-                    place = _select(card, rule.location) if rule.location else []
-                    out.append((
-                        page_id, site, url, pos, card.lines(),
-                        head.lines() if head else None,
-                        head.attrs.get("href") if head else None,
-                        place[0].lines() if place else "",
-                    ))
-            yield pd.DataFrame(out, columns=names)
+            for page_id, site, url, html in zip(batch["page_id"], batch["site"], batch["url"], batch["html"]):
+                text, cards = _page_cards(parse_page(html), chosen[site])
+                if cards:
+                    out.append((page_id, site, url, text, cards))
+            yield pd.DataFrame(out, columns=["page_id", "site", "url", "page_text", "cards"])
 
     known = pages.filter(F.col("site").isin(*chosen)).select("page_id", "site", "url", "html")
-    return known.mapInPandas(run, _RECORD_SCHEMA)
+    rows = known.mapInPandas(run, _RECORD_SCHEMA).select("page_id", "site", "url", "page_text", F.inline("cards"))
+    return rows.select(
+        "page_id", "site", "url", "card_pos", _lines("card").alias("card_text"), _lines("title").alias("title_text"), "href",
+        F.coalesce(_lines("place"), F.lit("")).alias("location"))

@@ -67,8 +67,10 @@ def top_terms(df: DataFrame, key: str, k: int = 5, text: str = "text") -> DataFr
     size = df.agg(F.count("*").alias("n")).select("n").scalar()
     doc_freq = doc_freq.select("term", "df", F.ln(size / F.col("df")).alias("idf"))
     rated = skew_safe_lookup(tf, doc_freq, "term", "df", "idf")
-    rated = rated.select(key, "term", "tf", F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
-    return top_per_key(rated, [key], [F.desc("tfidf"), "term"], k, rank="rank")
+    # ranked by the values themselves, rounded only for show
+    rated = rated.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    best = top_per_key(rated, [key], [F.desc("tfidf"), "term"], k, rank="rank")
+    return best.withColumn("tfidf", F.round("tfidf", 6))
 
 
 def rank_projects(df: DataFrame, projects: Sequence[Project], key: str, text: str = "text",

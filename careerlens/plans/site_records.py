@@ -1,12 +1,13 @@
 """Site extractors as plug-ins around one shared finishing step.
 
-Each extractor filters pages by a literal ``site``: with pages landed in one
-partition per site, every extractor reads its own partition only.
+The built-in extractors shape the cards of one parser pass over all their sites; an extractor of one's own is a
+function of pages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,12 @@ from careerlens.operators.dedup import first_per_key
 from careerlens.operators.dom import Pick, RecordRule, extract_records
 from careerlens.operators.records import section_records, with_fallback_rows
 from careerlens.operators.rules import normalize_records, site_terms, tag_records
+from careerlens.session import staged
 from careerlens.sources.tables import SITES
 
 Extractor = Callable[[DataFrame], DataFrame]
+#: From the cards of one site, and all pages, to records.
+CardShape = Callable[[DataFrame, DataFrame], DataFrame]
 NAMES = {key: name for key, name, *_ in SITES}
 RECORD_COLUMNS = ("company", "title", "url", "text", "location", "ord")
 
@@ -75,10 +79,6 @@ RULES = {
 }
 
 
-def _cards(pages: DataFrame, key: str) -> DataFrame:
-    return extract_records(pages.filter(F.col("site") == key), {key: RULES[key]})
-
-
 def _shape(cards: DataFrame, key: str, title, text, location=None, resolve: bool = True) -> DataFrame:
     linked = cards.withColumnRenamed("url", "page_url")
     linked = (with_record_url(linked, "href", "page_url", "url") if resolve
@@ -89,15 +89,14 @@ def _shape(cards: DataFrame, key: str, title, text, location=None, resolve: bool
         F.struct("page_id", F.col("card_pos")).alias("ord"))
 
 
-def course_site(pages: DataFrame) -> DataFrame:
-    cards = _cards(pages, "line").filter(F.col("href").isNotNull())
+def _course(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    cards = cards.filter(F.col("href").isNotNull())
     cards = cards.filter(~contains_any(F.upper("card_text"), COURSE_SKIP))
     title = strip(F.split_part("card_text", F.lit("\n"), F.lit(1)))
     return _shape(cards, "line", title, F.col("card_text")).filter(F.length("title") > 5)
 
 
-def section_site(pages: DataFrame) -> DataFrame:
-    cards = _cards(pages, "rakuten")
+def _section(cards: DataFrame, pages: DataFrame) -> DataFrame:
     linked = with_record_url(
         cards.withColumn("href", F.coalesce("href", F.lit(""))), "href", "url", "entry_url")
     rows = section_records(linked, text="card_text", entry_url="entry_url").select(
@@ -112,9 +111,9 @@ def section_site(pages: DataFrame) -> DataFrame:
         F.struct(F.lit(0).cast("bigint").alias("page_id"), F.lit(0).alias("card_pos")).alias("ord")))
 
 
-def opening_site(key: str) -> Extractor:
-    def run(pages: DataFrame) -> DataFrame:
-        cards = _cards(pages, key).filter(F.col("href").isNotNull())
+def _opening(key: str) -> CardShape:
+    def run(cards: DataFrame, pages: DataFrame) -> DataFrame:
+        cards = cards.filter(F.col("href").isNotNull())
         cards = cards.filter(site_terms(F.col("title_text"), keep_terms=OPENING_KEEP))
         body = F.concat_ws(" - ", "title_text", "location")
         return _shape(cards, key, F.col("title_text"), body, F.col("location"))
@@ -122,43 +121,57 @@ def opening_site(key: str) -> Extractor:
     return run
 
 
-def feed_site(pages: DataFrame) -> DataFrame:
-    cards = _cards(pages, "sony").filter((F.col("title_text") != "") & (F.col("href") != ""))
+def _feed(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    cards = cards.filter((F.col("title_text") != "") & (F.col("href") != ""))
     return _shape(cards, "sony", strip(F.col("title_text")), F.substring("card_text", 1, 300))
 
 
-def card_site(pages: DataFrame) -> DataFrame:
-    cards = _cards(pages, "bytedance").filter(
+def _card(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    cards = cards.filter(
         site_terms(F.col("title_text"), keep_terms=CARD_KEEP, fold="exact"))
     # links of this site are absolute; a relative one fails validation
     return _shape(cards, "bytedance", F.col("title_text"), F.col("card_text"), resolve=False)
 
 
-def list_site(pages: DataFrame) -> DataFrame:
-    cards = _cards(pages, "toshiba").filter(F.length("card_text") >= 20)
+def _list(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    cards = cards.filter(F.length("card_text") >= 20)
     cards = cards.filter(~F.contains("card_text", F.lit(LIST_SKIP_TEXT))
                          & ~F.contains("href", F.lit(LIST_SKIP_HREF)))
     return _shape(cards, "toshiba", first_line_title(F.col("card_text")), F.substring("card_text", 1, 300))
 
 
-def career_site(pages: DataFrame) -> DataFrame:
-    cards = _cards(pages, "preferred").filter(F.col("href") != "")
+def _career(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    cards = cards.filter(F.col("href") != "")
     cards = cards.filter(site_terms(F.col("title_text"), CAREER_SKIP, CAREER_KEEP, longer_than=10))
     return _shape(cards, "preferred", strip(F.col("title_text")), F.col("title_text"))
 
 
-REGISTRY: dict[str, Extractor] = {
-    "line": course_site,
-    "rakuten": section_site,
-    "bytedance": card_site,
-    "sony": feed_site,
-    "mercari": opening_site("mercari"),
-    "woven": opening_site("woven"),
-    "preferred": career_site,
-    "toshiba": list_site,
+SHAPES: dict[str, CardShape] = {
+    "line": _course,
+    "rakuten": _section,
+    "bytedance": _card,
+    "sony": _feed,
+    "mercari": _opening("mercari"),
+    "woven": _opening("woven"),
+    "preferred": _career,
+    "toshiba": _list,
 }
 
 
+def _alone(key: str, pages: DataFrame) -> DataFrame:
+    return SHAPES[key](extract_records(pages, {key: RULES[key]}), pages)
+
+
+REGISTRY: dict[str, Extractor] = {key: partial(_alone, key) for key in SHAPES}
+BUILT_IN = dict(REGISTRY)
+course_site, section_site, feed_site, card_site, list_site, career_site = (
+    BUILT_IN[k] for k in ("line", "rakuten", "sony", "bytedance", "toshiba", "preferred"))
+
+
+def opening_site(key: str) -> Extractor:
+    return BUILT_IN[key]
+
+
 def register(key: str, extractor: Extractor, name: str | None = None) -> None:
     """Add or replace a site extractor: pages(page_id, site, url, html) to
     ``RECORD_COLUMNS``; ``ord`` is any orderable position."""
@@ -173,11 +186,17 @@ def finish(raw: DataFrame, order=("ord",)) -> DataFrame:
 
 
 def run_all(pages: DataFrame, extractors: Mapping[str, Extractor] | None = None) -> DataFrame:
-    """Union of all finished site outputs, with the site key and its place."""
+    """Union of all finished site outputs, with the site key and its place.
+
+    Built-in extractors share one scan of the pages and one parser stage, whose cards are written once.
+    """
     chosen = REGISTRY if extractors is None else extractors
+    shared = [key for key, extractor in chosen.items() if BUILT_IN.get(key) is extractor]
+    cards = staged(extract_records(pages, {key: RULES[key] for key in shared}), "cards") if len(shared) > 1 else None
     out = None
     for number, (key, extractor) in enumerate(chosen.items()):
-        rows = finish(extractor(pages)).select(
+        raw = SHAPES[key](cards.filter(F.col("site") == key), pages) if cards is not None and key in shared else extractor(pages)
+        rows = finish(raw).select(
             "company", "title", "url", "text", "location", "id", F.lit(key).alias("site"),
             F.lit(number).alias("site_no"), F.col("ord"))
         out = rows if out is None else out.unionByName(rows)

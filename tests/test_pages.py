@@ -269,3 +269,20 @@ def test_links_in_hidden_elements_have_their_own_text(spark):
     pages = _pages(spark, "<div>a<template><p>b<a href='/x'>c <i> d</i></a></p></template><a href='/y' aria-label='e'> </a></div>")
     got = [(r.href, r.anchor_text, r.anchor_title, r.parent_text) for r in dom_links(pages).orderBy("pos").collect()]
     assert got == [("/x", "c  d", "cd", "bc  d"), ("/y", "", "e", "a ")]
+
+
+def test_nested_cards_give_linear_output(spark):
+    from careerlens.operators.dom import Pick, RecordRule, extract_records
+
+    html = "".join(f"<div class='c'><a href='/{i}'>t{i}</a>" for i in range(5_000))
+    rows = extract_records(_pages(spark, html), {"s": RecordRule("s", (Pick(classes=("c",)),), (Pick(tag="a"),))})
+    got = rows.select("card_pos", "title_text", "href", "card_text").filter("card_pos in (1, 4999, 5000)").orderBy("card_pos").collect()
+    assert [(r.title_text, r.href) for r in got] == [("t0", "/0"), ("t4998", "/4998"), ("t4999", "/4999")]
+    assert got[1].card_text == "t4998\nt4999" and got[0].card_text.startswith("t0\nt1\n")
+
+
+def test_built_in_extractors_share_one_parser_stage(spark, sf):
+    from careerlens.catalog import QUERIES
+
+    text = QUERIES["ux1_built_in_extractors"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in text and "pages.parquet" not in text  # the cards are written, once

@@ -6,8 +6,11 @@ at the leaf that holds the character ``CONTEXT`` before the range and goes on un
 an old leaf behind the range. From there on all is as before, since a split depends only on what follows. Only the
 leaves in between are encoded and their sums updated.
 
+Leaves that an edit made much too full are split, and emptied ones joined, so that a later edit touches some ``LEAF``
+pre-tokens again; the tree above is summed anew from the leaves, which encodes nothing.
+
 Splits look at most ``CONTEXT`` - 1 characters past a pre-token's end. A text that holds a special token's string is
-one leaf and encoded whole after each edit. Null texts count as empty and have no tokens; edits are cut to the text; rows with null ids and
+one leaf and encoded whole after each edit. Very long texts are read whole. Null texts count as empty and have no tokens; edits are cut to the text; rows with null ids and
 repeated rows are counted like others. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -170,7 +173,13 @@ class CountedText:
         else:
             last = self.tree.slots - 1
         self.reencoded += at - begin
-        self.tree.put(first, self.leaves(found, last - first + 1))
+        slots, wanted = last - first + 1, max(1, -(-len(found) // LEAF))
+        if slots // 4 <= wanted <= 2 * slots:
+            self.tree.put(first, self.leaves(found, slots))
+        else:
+            # too much or too little for these leaves: they are split or joined, the others keep their sums
+            old = self.tree.sums[self.tree.size:self.tree.size + self.tree.slots]
+            self.tree = SegmentTree(np.concatenate([old[:first], self.leaves(found, wanted), old[last + 1:]]))
 
 
 def sample_edits(text: str) -> list[Edit]:

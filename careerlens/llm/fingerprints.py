@@ -7,7 +7,7 @@ equal fingerprints; texts without words share one, and their likeness is 1.
 ``similar_pairs`` joins bands of signatures in Spark and verifies candidates by the Jaccard similarity of the full
 sets. It shares the bucket rounds with near-duplicate detection.
 
-Null texts count as empty. Rows are ordered by descending id, null ids last, equal ids by text; the next row of the
+Null texts count as empty. Very long texts are shingled whole. Rows are ordered by descending id, null ids last, equal ids by text; the next row of the
 last is the first, and a lone row is its own next. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -116,5 +116,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Verified pairs (a, b) of class representatives; equal sets of shingles form one class."""
+    """Verified links (a, b) of class representatives; equal sets of shingles form one class.
+
+    The links connect all that is similar; within a large group of near copies they are not all of its pairs.
+    """
     return links_of(sketch_table(docs, id_col, text_col), docs, id_col, text_col, threshold)[0]

@@ -5,8 +5,8 @@ rate, a registered domain towards its suffix, a host towards its domain, each th
 estimated from the spread of that level's counts by the method of moments for the beta-binomial. A host is blocked
 where the lower bound of its posterior (mean less ``Z`` standard deviations) reaches ``BLOCK_RATE``.
 
-The suffix is the last label of the host without user, port and a closing dot, the registered domain its last two
-labels. Null urls and those without ``://`` have an empty host and path and form a host of their own. Outcomes without
+The suffix is the longest one of a given table that the host, without user, port and a closing dot, ends with, or its last
+label; the registered domain is the suffix and one more label. Very long urls are read whole. Null urls and those without ``://`` have an empty host and path and form a host of their own. Outcomes without
 a page and null outcomes are ignored; repeated pages and repeated outcomes of an id count each page once, as bad if
 any outcome is. Without outcomes nothing is blocked but by rules. An empty table gives an empty result. Other columns are ignored.
 """
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.llm.common import columns
+from careerlens.llm.common import columns, written
 
 #: (verdict, host and path) of the explicit rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -45,11 +45,31 @@ def matched_rule(rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Colu
     return name, verdict
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
-    """Posterior of each host. hosts: host, n (labelled pages), k (bad ones). Adds mean and bound."""
+def with_domain(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Add suffix and registered domain (the suffix and one more label) to hosts.
+
+    ``suffixes`` has a column suffix, such as ``co.uk``; the longest one that a host ends with counts, and the last label
+    where none does or no table is given. A host that is a suffix itself is its own domain.
+    """
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), "[.]$", "")
-    hosts = hosts.select("host", "n", "k", F.regexp_extract(bare, "([^.]*)$", 1).alias("suffix"),
-                         F.regexp_extract(bare, "([^.]*[.]?[^.]*)$", 1).alias("domain"))
+    last, two = F.regexp_extract(bare, "([^.]*)$", 1), F.regexp_extract(bare, "([^.]*[.]?[^.]*)$", 1)
+    if suffixes is None:
+        return hosts.select("*", last.alias("suffix"), two.alias("domain"))
+    labels = F.split(bare, "[.]")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = suffixes.select(F.lower(F.col("suffix")).alias("tail")).where("tail is not null").distinct()
+    found = hosts.select("host").distinct().select("host", F.explode(tails).alias("tail")).join(names, "tail")
+    found = found.groupBy("host").agg(F.max_by("tail", F.length("tail")).alias("known"))
+    rows = hosts.join(found, "host", "left").withColumn("suffix", F.coalesce("known", last))
+    ahead = F.element_at(F.split(F.substring(bare, F.lit(1), F.length(bare) - F.length("known") - 1), "[.]"), -1)
+    longer = F.length(bare) > F.length("known")
+    return rows.withColumn("domain", F.when(F.col("known").isNull(), two).when(longer, F.concat(ahead, F.lit("."), F.col("known")))
+                           .otherwise(F.col("known"))).drop("known")
+
+
+def reputation(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Posterior of each host. hosts: host, n (labelled pages), k (bad ones). Adds mean and bound."""
+    hosts = with_domain(hosts.select("host", "n", "k"), suffixes)
     every = hosts.agg(F.sum("n"), F.sum("k")).first()
     top = ((every[1] or 0) + 0.5) / ((every[0] or 0) + 1.0)
     known: DataFrame | None = None
@@ -77,14 +97,15 @@ def reputation(hosts: DataFrame) -> DataFrame:
 
 
 def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
-                 id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict. outcomes: page_id, bad (0 or 1)."""
+                 id_col: str = "page_id", url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict. outcomes: page_id, bad (0 or 1); suffixes: see :func:`with_domain`."""
     rows = with_host(columns(pages, page_id=id_col, url=url_col))
     bad = outcomes.where("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     once = rows.where("page_id is not null").groupBy("page_id", "host").agg(F.lit(1).alias("one"))
     counted = once.join(bad, "page_id", "left").groupBy("host").agg(
         F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("k"))
-    found = reputation(counted).select("host", (F.col("bound") >= BLOCK_RATE).alias("bad_host"))
+    # one row per host, written: every level's estimate reads it
+    found = reputation(written(counted, "hosts"), suffixes).select("host", (F.col("bound") >= BLOCK_RATE).alias("bad_host"))
     rule, verdict = matched_rule(rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("told"))
     # a host with a third of all pages: the join's large side can be split, the other has one row per host

@@ -598,3 +598,34 @@ def test_drop_near_goes_by_id_and_text(spark):
     a, b = "one two three four five six seven", "other words that stand alone in here"
     frame = spark.createDataFrame([(3, a), (7, a), (7, b), (None, a), (9, None)], "doc_id long, text string")
     assert sorted(map(tuple, near_dedup.drop_near(frame).collect()), key=str) == sorted([(3, a), (7, b), (None, a), (9, None)], key=str)
+
+
+def test_leaves_are_split_after_a_large_insertion():
+    """An edit after a 300 KB insertion touches a leaf, not the insertion."""
+    pieces = edit_counts.PieceCounter(tokens.default_vocabulary())
+    counted = edit_counts.CountedText("short text " * 20, pieces)
+    counted.edit(5, 5, "some inserted words, " * 15_000)
+    before = counted.reencoded
+    for at in (100_000, 200_000, 10, len(counted.text) - 3):
+        counted.edit(at, at + 1, "x")
+    assert counted.reencoded - before < 4 * 3000
+    counted.edit(1000, 250_000, "")
+    counted.edit(900, 901, "y")
+    assert counted.tokens() == pieces.whole(counted.text)
+    assert counted.tree.total()[0] == len(counted.text)
+
+
+def test_registered_domains_follow_the_suffix_table(spark):
+    hosts = ["fresh.co.uk", "a.b.site1.co.uk", "co.uk", "uk", "x.example.com", "com", "", "user@h.co.uk:80", "h.co.uk."]
+    frame = spark.createDataFrame([(h, 0, 0) for h in hosts], "host string, n long, k long")
+    table = spark.createDataFrame([("co.uk",), ("uk",), ("com",), (None,)], "suffix string")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in url_reputation.with_domain(frame, table).collect()}
+    assert got == {"fresh.co.uk": ("co.uk", "fresh.co.uk"), "a.b.site1.co.uk": ("co.uk", "site1.co.uk"), "co.uk": ("co.uk", "co.uk"),
+                   "uk": ("uk", "uk"), "x.example.com": ("com", "example.com"), "com": ("com", "com"), "": ("", ""),
+                   "user@h.co.uk:80": ("co.uk", "h.co.uk"), "h.co.uk.": ("co.uk", "h.co.uk")}
+    # sites of a common suffix are judged apart: half of them bad, none known for long
+    rows = [(i, f"http://site{i}.co.uk/") for i in range(400)] + [(1000, "http://fresh.co.uk/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(400)], "page_id long, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_reputation.url_verdicts(pages, outcomes, suffixes=table).collect()}
+    assert got[1000] == "allow" and got[0] == "allow"

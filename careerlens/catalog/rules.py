@@ -602,3 +602,19 @@ def st3(spark, sf):
 
     terms = F.concat(array_literal(YEAR_TERMS), F.array("company", "lang"))
     return fx.records(spark, sf).select("doc_id", F.array_join(terms, "|").alias("terms"))
+
+
+@query("ag11_distinct_preview", using="fx_postings", sql="""
+with m as (select date_trunc('month', date_found) as month, count(*) as n, count(distinct title) as titles,
+  count(distinct url) as urls from fx_postings group by 1)
+select cast(month as date) as month, n, titles, urls, true as titles_near, true as urls_near from m""")
+def ag11_preview(spark, sf):
+    # estimates of each month from the sketches of its days, beside the exact counts
+    rows = fx.postings(spark, sf)
+    days = report.daily_sketches(rows, "title", "url").withColumn("month", F.trunc("day", "month"))
+    preview = report.distinct_preview(days, "title", "url", keys=("month",))
+    exact = rows.groupBy(F.trunc("date_found", "month").alias("month")).agg(
+        F.countDistinct("title").alias("titles"), F.countDistinct("url").alias("urls"))
+    near = lambda estimate, count: F.abs(F.col(estimate) - F.col(count)) <= 0.04 * F.col(count) + 1
+    return preview.join(exact, "month").select(
+        "month", "n", "titles", "urls", near("title", "titles").alias("titles_near"), near("url", "urls").alias("urls_near"))

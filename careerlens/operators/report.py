@@ -150,6 +150,29 @@ def health_verdict(rows: DataFrame) -> DataFrame:
     return _health_counts(rows).select("total", "passed", "warned", "failed", "found", verdict.alias("verdict"))
 
 
+# -------------------------------------------------------- large previews
+
+#: 2^SKETCH_BITS registers: a relative error of about 1.04 / sqrt(2^bits), some 0.8 %.
+SKETCH_BITS = 14
+
+
+def daily_sketches(postings: DataFrame, *columns: str, day: str = "date_found", bits: int = SKETCH_BITS) -> DataFrame:
+    """(day, n, one sketch per column): what a day's rows add to counts of distinct values; written once per day."""
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), bits).alias(c) for c in columns]
+    return postings.groupBy(F.to_date(day).alias("day")).agg(F.count("*").alias("n"), *sketches)
+
+
+def merged_sketches(sketches: DataFrame, *columns: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches of several days as one per group of ``keys``; the postings themselves are not read."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.hll_union_agg(c, True).alias(c) for c in columns])
+
+
+def distinct_preview(sketches: DataFrame, *columns: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows and about how many distinct values each column has, from daily sketches."""
+    merged = merged_sketches(sketches, *columns, keys=keys)
+    return merged.select(*keys, "n", *[F.hll_sketch_estimate(c).alias(c) for c in columns])
+
+
 def save_summary(tagged: DataFrame) -> DataFrame:
     """Matches, newly inserted ones and duplicates of a run."""
     return tagged.agg(

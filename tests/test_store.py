@@ -155,3 +155,18 @@ def test_csv_keeps_blanks_empty_texts_and_nulls(spark, tmp_path, rows):
     data = [(1, "  padded  "), (2, ""), (3, None), (4, "a,\"b\"")]
     store.export_csv(spark.createDataFrame(data, "id int, title string"), str(tmp_path / "csv"))
     assert rows(store.read_csv_export(spark, str(tmp_path / "csv"), "id int, title string")) == data
+
+
+def test_sketches_of_days_merge_to_the_whole(spark):
+    """A preview from daily sketches is within the error of one sketch over everything, however the days are merged."""
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("u"), F.col("id") % 70_000).alias("url"),
+        F.expr("timestamp '2025-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 90 as int))").alias("date_found"))
+    days = report.daily_sketches(rows, "url")
+    assert days.count() == 90
+    whole = report.distinct_preview(days, "url").first()
+    assert whole.n == 200_000 and abs(whole.url - 70_000) < 0.03 * 70_000
+    months = report.merged_sketches(days.withColumn("month", F.trunc("day", "month")), "url", keys=("month",))
+    assert report.distinct_preview(months, "url").first() == whole
+    direct = rows.agg(F.hll_sketch_estimate(F.hll_sketch_agg("url", report.SKETCH_BITS))).first()[0]
+    assert abs(direct - whole.url) < 0.02 * 70_000

@@ -107,3 +107,13 @@ def test_one_key_with_most_rows(spark):
     assert mixed(docs).select("position").distinct().count() == 3000
     assert exact_dedup.exact_dedup(docs).where("kept").count() == 1001
     assert near_dedup.near_classes(docs).agg({"n_shingles": "sum"}).first()[0] > 0
+
+
+def test_whole_pipeline_on_an_empty_table_and_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("empty", []), ("odd", ROWS)):
+        spark.createDataFrame(docs, KIND).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        label_frame(spark).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in out} <= {r[0] for r in docs} and bool(out) == bool(docs)

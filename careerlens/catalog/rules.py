@@ -135,6 +135,28 @@ def pr5_default(spark, sf):
                        .alias("reject_reason"))
 
 
+# Every outcome of the default lists that a title of 15 characters can have, for every record: form, title, path, reason.
+_OUTCOMES = (
+    ("candidate", "Software Engineer ", "jobs/", None), ("short", "Engineer", "jobs/", "title"),
+    ("skipped", "Learn more, engineer ", "jobs/", "title"), ("blog", "Software Engineer ", "blog/jobs/", "url_excluded"),
+    ("subscribe", "Subscribe, engineer ", "jobs/", "text_excluded"), ("category", " Career Opportunities ", "jobs/", "category"),
+    ("elsewhere", "Software Engineer ", "", "no_posting_path"), ("no role", "Zuk zuk zuk zuk ", "jobs/", "no_role_word"),
+    ("both", "Subscribe, engineer ", "blog/", "url_excluded"))
+_BARE = ("short", "category")
+
+
+@query("pr5_default_outcomes", using="fx_records", sql=" union all ".join(
+    f"select doc_id, {sql_text(form)} as form, {sql_text(reason) if reason else 'null'} as reject_reason from fx_records"
+    for form, _, _, reason in _OUTCOMES))
+def pr5_outcomes(spark, sf):
+    forms = F.array(*[F.struct(
+        F.lit(form).alias("form"),
+        (F.lit(title) if form in _BARE else F.concat(F.lit(title), "company")).alias("title"),
+        F.concat(F.lit(fx.URL_ROOT + path), F.md5("text")).alias("url")) for form, title, path, _ in _OUTCOMES])
+    rows = fx.records(spark, sf).select("doc_id", "company", F.inline(forms))
+    return rules.with_candidate_reason(rules.with_site_rules(rows, ())).select("doc_id", "form", "reject_reason")
+
+
 # Records with every kind of fault, by language of the text.
 _FAULTY_SQL = """
   faulty as (

@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.llm.common import columns, numbered
+from careerlens.llm.common import columns, numbered, written
 
 UNITS = 2
 UNIT_ROWS = 8
@@ -119,7 +119,8 @@ def plan_of(rows: DataFrame, weights: Mapping[str | None, float], unit_rows: int
 def schedule(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add block, slot and position to rows that have doc_id and source."""
     unit_rows = max(1, block_rows // UNITS)
-    plan = plan_of(rows, weights, unit_rows)
+    # written: sampling for ranges and retried tasks read the schedule and do not work it out again
+    plan = written(plan_of(rows, weights, unit_rows), "mixing-plan")
     rows = numbered(rows.withColumn("_h", F.xxhash64("doc_id")), ["source"], ["_h", "doc_id"],
                     F.xxhash64("doc_id", F.lit(7)), "_rank").drop("_h")
     rows = rows.withColumn("_unit", F.floor(F.col("_rank") / unit_rows).cast("long"))

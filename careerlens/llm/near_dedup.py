@@ -244,13 +244,15 @@ def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     def unresolved() -> DataFrame:
         at = shared.where(F.col("size") > small_bucket)
         at = at.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        at = at.withColumn("component", F.coalesce("component", "rep"))
+        # written once: the list of open buckets, the pivots and the candidates all read it
+        at = written(at.withColumn("component", F.coalesce("component", "rep")), "labelled")
         several = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return at.join(several.where("lo < hi").select("key"), "key", "left_semi")
+        return written(at.join(several.where("lo < hi").select("key"), "key", "left_semi"), "unresolved")
 
     known = taken = 0
+    left = None
     while True:
-        at = shared.withColumn("component", F.col("rep")) if label is None else unresolved()
+        at = shared.withColumn("component", F.col("rep")) if label is None else (left := unresolved())
         order = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
         ahead = at.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(small_bucket, pivots + taken))
         ahead = ahead.where((F.col("size") <= small_bucket) | F.col("place").between(taken + 1, taken + pivots))
@@ -269,7 +271,8 @@ def links_of(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         known, taken = count, taken + pivots
         label = components(links)
 
-    rest = written(unresolved().select("key", "size", "rep", "component"), "rest")
+    # the last round added no link, so its buckets are still those that hold several components
+    rest = left.select("key", "size", "rep", "component")
     if rest.isEmpty():
         return links, label
     more = written(cross_links(rest, reps, sets_of(rest.select("rep")), threshold, miss, block), "links")

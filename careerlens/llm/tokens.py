@@ -2,18 +2,22 @@
 
 The byte-level BPE vocabulary splits a text into pre-tokens before merging, and a space between two other characters
 that are not blank always begins a pre-token. So the ids of a text are the ids of its first chunk followed by those of
-every further chunk with its leading space; chunks recur, and each is encoded once per worker. Texts with other blanks
-at a space, or with a special token in them, are encoded whole.
+every further chunk with its leading space; chunks recur, and each is encoded once per worker. A line feed between two
+characters that are not blank is a pre-token of its own, so chunks end there too and the next one begins with it. Texts
+with other blanks at a space, or with a special token in them, are encoded whole.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
+from collections.abc import Callable
 
 from careerlens.llm.common import worker_cache
 
-#: Chunks kept per worker; the cache starts anew beyond it. It bounds memory, not results.
-CACHE_CHUNKS = 800_000
+#: Chunks a worker gathers before it forgets those that were not met since the last time. It bounds memory, not results.
+CACHE_CHUNKS = 300_000
+LINE_END = re.compile(r"\n(?<=\S\n)(?=\S)")
 
 
 def byte_signs() -> dict[int, int]:
@@ -32,6 +36,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class BlankEdge(Exception):
+    """A chunk that is empty or has a blank at an end."""
+
+
+class Chunks(dict):
+    """Ids of the chunks met so far; others are worked out as they are asked for."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.before.get(chunk) or self.ids_of(chunk)
+        if len(self) >= CACHE_CHUNKS:
+            self.before = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         import os
@@ -41,50 +66,47 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Chunks(self.chunk)
         self.model = self.tokenizer.model
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
-
-    def word(self, chunk: str) -> bytes:
-        """Ids of a space and letters, which are one pre-token: straight from the merges, byte by byte as they know them."""
-        shown = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return array("I", [t.id for t in self.model.tokenize("\u0120" + shown)]).tobytes()
+        self.line_end = self.whole("\n")
+
+    def word(self, word: str, start: str = "\u0120") -> bytes:
+        """Ids of a space (``start``) and letters, which are one pre-token: straight from the merges, byte by byte as they
+        know them."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(start + shown)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk: after a space, or from a line feed on."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        if not chunk or chunk[-1].isspace():
+            raise BlankEdge
+        mark = self.marks.get(chunk[-1], b"")
+        plain = chunk[:-1] if mark else chunk
+        if chunk[0] == "\n":
+            if plain[1:].isalpha():
+                return self.line_end + self.word(plain[1:], "") + mark
+            return self.whole(chunk)
+        if chunk[0].isspace():
+            raise BlankEdge
+        return (self.known.get(plain) or self.word(plain)) + mark if plain.isalpha() else self.whole(" " + chunk)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``."""
-        if any(s in text for s in self.special):
+        if " \n" in text or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
+        first, *rest = (LINE_END.sub(" \n", text) if "\n" in text else text).split(" ")
         if not rest or not first or first[-1].isspace():
             return self.whole(text)
-        known = self.known
         try:
-            return self.whole(first) + b"".join([known[c] for c in rest])
-        except KeyError:
-            pass
-        new = [c for c in set(rest) if c not in known]
-        if "" in new or any(c[0].isspace() or c[-1].isspace() for c in new):
+            return self.whole(first) + b"".join(map(self.known.__getitem__, rest))
+        except BlankEdge:
             return self.whole(text)
-        if len(known) + len(new) > CACHE_CHUNKS:
-            known.clear()
-            new = list(set(rest))
-            if "" in new or any(c[0].isspace() or c[-1].isspace() for c in new):
-                return self.whole(text)
-        others = []
-        for chunk in new:
-            if chunk.isalpha():
-                known[chunk] = self.word(chunk)
-            elif chunk[-1] in self.marks and chunk[:-1].isalpha():
-                known[chunk] = (known.get(chunk[:-1]) or self.word(chunk[:-1])) + self.marks[chunk[-1]]
-            else:
-                others.append(chunk)
-        batch = self.tokenizer.encode_batch_fast([" " + c for c in others], add_special_tokens=False)
-        for chunk, found in zip(others, batch):
-            known[chunk] = array("I", found.ids).tobytes()
-        return self.whole(first) + b"".join([known[c] for c in rest])
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import duckdb
@@ -557,6 +558,16 @@ def test_pipeline(spark, sf, docs):
     check_packing(out)
 
 
+def test_chunks_end_at_single_line_feeds(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
+    encoder, rng = tokens.ChunkEncoder(tokens.default_vocabulary()), random.Random(3)
+    parts = ["a", "B", "é", "1", " ", " ", "\n", "\n", "\t", "\r", "'s", ".", ",", "\x1c", "word", "日", "\u0301", "  ", "\n\n"]
+    for text in ("".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(20000)):
+        assert encoder.encode(text) == encoder.whole(text), text
+    encoder.encode("see one\nTwo three")
+    assert "\nTwo" in encoder.known and len(encoder.known) <= 50
+
+
 def test_mixed_rows_are_all_rows_in_order(spark, sf):
     frame = read(spark, sf, "documents")
     weights = mixing.tempered_weights(frame)

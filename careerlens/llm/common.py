@@ -66,6 +66,11 @@ def crc_of(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0))
 
 
+def buckets_for(rows: int) -> int:
+    """Number of buckets in which this many rows are numbered."""
+    return max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET)
+
+
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], spread: Column, out: str = "rank",
              rows: int | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2 … within each key, without bringing a key's rows into one task.
@@ -74,7 +79,7 @@ def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], s
     whose counts give each bucket its first number. Rows are numbered by bucket, then by ``order``.
     """
     rows = df.count() if rows is None else rows
-    buckets = max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET)
+    buckets = buckets_for(rows)
     df = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(key)]
     first = df.groupBy(*key, "_bucket").agg(F.count("*").alias("_n"))

@@ -139,12 +139,14 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int =
 
 
 def mixed_rows(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS,
-               id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows with all their columns in the order of the mixture, by ranges of positions."""
+               id_col: str = "doc_id", source_col: str = "source", position_col: str | None = None) -> DataFrame:
+    """All rows with all their columns in the order of the mixture, by ranges of positions. ``position_col`` names a last
+    column for the positions."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
                        F.col(f"`{source_col}`").cast("string").alias("source"))
     rows = schedule(rows, weights, block_rows).select("row", "position")
-    return rows.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+    return rows.repartitionByRange("position").sortWithinPartitions("position").select(
+        "row.*", *([F.col("position").alias(position_col)] if position_col else []))
 
 
 def tempered_weights(docs: DataFrame, power: float = 0.5, source_col: str = "source") -> dict[str | None, float]:

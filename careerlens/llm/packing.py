@@ -11,6 +11,9 @@ within their length and find their sequence and offset by that number.
 Numbers within a length come from bucket counts, so a length that holds most pieces is not brought into one task.
 Null texts count as empty and give one piece that holds the end token. Repeated rows and rows with null ids are packed
 like others; they get pieces of their own. An empty table gives an empty result. Other columns are ignored.
+
+With an order column the pieces of each length are numbered by it, so those that lie close in the order go to neighbouring
+sequences of a run, and sequences are numbered by the place of their first, longest piece.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careerlens.llm.common import columns, numbered, written
+from careerlens.llm.common import buckets_for, columns, numbered, written
 from careerlens.llm.tokens import default_vocabulary, encoder
 
 LIMIT = 2048
@@ -31,8 +34,9 @@ END_ID = 0
 
 
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, id_col: str = "doc_id",
-                 text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of whole texts: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
+                 text_col: str = "text", with_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """Pieces of whole texts: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids and the position, which is
+    the value of a whole-number column."""
     path = vocabulary or default_vocabulary()
     end = int(END_ID).to_bytes(4, "little")
 
@@ -40,21 +44,23 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
         encode = encoder(path).encode
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text, *place in zip(*(batch[c] for c in batch.columns)):
                 ids = encode(text or "") + end
                 total = len(ids) // 4
                 at = 0
                 for piece, stop in enumerate(range((total - 1) % limit + 1, total + 1, limit)):
                     part = ids[4 * at:4 * stop]
-                    out.append((doc_id, piece, at, stop - at, zlib.crc32(part), *((part,) if with_ids else ())))
+                    out.append((doc_id, piece, at, stop - at, zlib.crc32(part), *((part,) if with_ids else ()), *place))
                     at = stop
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(("ids",) if with_ids else ())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(("ids",) if with_ids else ()), *batch.columns[2:]]
             frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            for c in ("doc_id", *batch.columns[2:]):
+                frame[c] = frame[c].astype("Int64")
             yield frame
 
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "") + (", position long" if order_col else "")
+    rows = columns(docs, doc_id=id_col, text=text_col, **({"position": order_col} if order_col else {}))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("long").alias(c) for c in rows.columns[2:]])
     return rows.mapInPandas(run, kind)
 
 
@@ -129,11 +135,12 @@ def run_table(runs: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Add sequence_id and offset to a (written) table of pieces."""
+    """Add sequence_id and offset to a (written) table of pieces. A column ``position`` of it is the order to keep."""
     counts = np.zeros(limit + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``limit`` rows
         counts[row["length"]] = row["count"]
-    table = run_table(pack_counts(counts, limit)).sort_values(["length", "from"])
+    runs = pack_counts(counts, limit)
+    table = run_table(runs).sort_values(["length", "from"])
     bounds = np.searchsorted(table["length"].to_numpy(), np.arange(limit + 2))
     cut = {c: table[c].to_numpy(np.int64) for c in table.columns}
     given = pieces.columns
@@ -152,12 +159,26 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
             batch["offset"] = cut["offset"][at] + ahead % cut["per"][at] * length
             yield batch
 
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
-    rows = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], spread, "_number", int(counts.sum()))
+    total, ties = int(counts.sum()), ["doc_id", "piece", "ids_crc32"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return rows.select(*given, "_number").mapInPandas(place, f"{kind}, sequence_id long, offset long")
-
-
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
+    kind = f"{kind}, sequence_id long, offset long"
+    if "position" not in given:
+        rows = numbered(pieces, ["length"], ties, F.xxhash64(*ties), "_number", total)
+        return rows.select(*given, "_number").mapInPandas(place, kind)
+
+    # ranges of positions are the buckets; rows without one come last
+    end = (pieces.agg(F.max("position").alias("last")).first()["last"] or 0) + 1
+    at = F.coalesce("position", F.lit(end))
+    bucket = F.floor(at / F.lit(float(end + 1)) * buckets_for(total))
+    rows = numbered(pieces, ["length"], [at, *ties], bucket, "_number", total)
+    rows = written(rows.select(*given, "_number").mapInPandas(place, kind), "placed")
+    heads = rows.where(F.col("offset") == 0).select("sequence_id", "position")
+    sequences = sum(times for _, times in runs)
+    bucket = F.floor(at / F.lit(float(end + 1)) * buckets_for(sequences))
+    heads = numbered(heads, [], [at, "sequence_id"], bucket, "_place", sequences).select("sequence_id", "_place")
+    return rows.join(heads, "sequence_id").select(*given, F.col("_place").alias("sequence_id"), "offset")
+
+
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, order_col: str | None = None) -> DataFrame:
     """Pieces of all documents with their places. The pieces are written once, as their counts steer the packing."""
-    return pack(written(token_pieces(docs, vocabulary, limit), "pieces"), limit)
+    return pack(written(token_pieces(docs, vocabulary, limit, order_col=order_col), "pieces"), limit)

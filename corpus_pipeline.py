@@ -4,6 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` wr
 ``spark.checkpoint.dir`` and reads back as the next stage's documents. All stages but the last keep the columns of
 documents, others included. Nulls, empty and very long texts, ties and repeated rows go as each stage's module says; texts
 are read whole. An empty table gives an empty result. The mixture is the order of the rows: files and rows within them follow the schedule.
+It adds the positions as a last column, by which the packing numbers the sequences and deals pieces of one length to them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from careerlens.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from careerlens.llm.common import read, written
+from careerlens.llm.common import free_name, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mixture."""
-    return mixing.mixed_rows(docs, mixing.tempered_weights(docs))
+    """All documents, laid out in the order of the mixture, with their positions in it."""
+    return mixing.mixed_rows(docs, mixing.tempered_weights(docs), position_col=free_name(docs, "mixture_position"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and offset."""
-    return packing.pack_documents(docs)
+    """Pieces of the documents with their sequence and offset. Sequences follow the last column, the mixture's position."""
+    return packing.pack_documents(docs, order_col=docs.columns[-1])
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),

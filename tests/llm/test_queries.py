@@ -16,7 +16,7 @@ import corpus_pipeline
 from careerlens.llm import (edit_counts, exact_dedup, fingerprints, html_text, lm_score, mixing, near_dedup, packing,
                             shingles, tokens, toxicity, url_reputation)
 from careerlens.llm.catalog import ORACLES, QUERIES
-from careerlens.llm.common import read
+from careerlens.llm.common import read, written
 
 
 @pytest.fixture(scope="module")
@@ -558,6 +558,33 @@ def test_pipeline(spark, sf, docs):
     check_packing(out)
 
 
+def test_sequences_follow_the_mixture(spark):
+    docs = spark.range(600).selectExpr(
+        "id as doc_id", "repeat('one ', cast(40 + 37 * (id % 39) as int)) as text", "if(id % 5 = 0, 'a', 'b') as source", "'x' as Mixture_Position")
+
+    def packed(rows):
+        out = corpus_pipeline.pack_sequences(spark, rows, "").toPandas().sort_values(["sequence_id", "offset"])
+        check_packing(out)
+        heads = out[out["offset"] == 0]
+        assert heads["position"].is_monotonic_increasing and heads["sequence_id"].tolist() == list(range(len(heads)))
+        return out
+
+    mixed = written(corpus_pipeline.mix_sources(spark, docs, ""), "mixed")
+    out = packed(mixed)
+    places = {r["doc_id"]: r["position"] for r in mixing.mix(docs, mixing.tempered_weights(docs)).collect()}
+    assert dict(zip(out["doc_id"], out["position"])) == places
+    other = packed(mixing.mixed_rows(docs, {"a": 1.0, "b": 20.0}, position_col="p"))
+    together = lambda rows: {tuple(g) for _, g in rows.groupby("sequence_id")["doc_id"]}
+    assert together(out) != together(other)
+
+
+def test_sequences_keep_rows_without_a_position(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (2, None, None), (3, "c", 2)], "doc_id long, text string, p int")
+    got = packing.pack_documents(docs, limit=1, order_col="p").orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in got] == [3, 3, 1, 1, 1, 2] and got[-1]["position"] is None
+    assert packing.pack_documents(docs.limit(0), order_col="p").collect() == []
+
+
 def test_chunks_end_at_single_line_feeds(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
     encoder, rng = tokens.ChunkEncoder(tokens.default_vocabulary()), random.Random(3)

@@ -43,9 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks of one worker share it."""
+    """A dictionary that tasks of one Python worker share. A worker serves many stages and jobs, so it keeps one only: that of
+    another name is dropped."""
     holder = sys.modules.setdefault("_careerlens_worker", types.ModuleType("_careerlens_worker"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.kept = name, {}
+    return holder.kept
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

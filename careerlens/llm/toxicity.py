@@ -40,7 +40,7 @@ MIN_POSITIVES, MIN_RATIO, MAX_FEATURES = 4, 2.5, 1024
 CUT = 0.7
 SEEDS = (1, 2, 3)
 #: Words whose features a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
 
 

@@ -16,7 +16,7 @@ import corpus_pipeline
 from careerlens.llm import (edit_counts, exact_dedup, fingerprints, html_text, lm_score, mixing, near_dedup, packing,
                             shingles, tokens, toxicity, url_reputation)
 from careerlens.llm.catalog import ORACLES, QUERIES
-from careerlens.llm.common import read, written
+from careerlens.llm.common import read, worker_cache, written
 
 
 @pytest.fixture(scope="module")
@@ -585,6 +585,12 @@ def test_sequences_keep_rows_without_a_position(spark):
     assert packing.pack_documents(docs.limit(0), order_col="p").collect() == []
 
 
+def test_a_worker_keeps_one_cache():
+    worker_cache("test-one")["x"] = 1
+    assert worker_cache("test-one") == {"x": 1}
+    assert worker_cache("test-two") == {} and worker_cache("test-one") == {}
+
+
 def test_chunks_end_at_single_line_feeds(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
     encoder, rng = tokens.ChunkEncoder(tokens.default_vocabulary()), random.Random(3)

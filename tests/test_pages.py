@@ -286,3 +286,10 @@ def test_built_in_extractors_share_one_parser_stage(spark, sf):
 
     text = QUERIES["ux1_built_in_extractors"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in text and "pages.parquet" not in text  # the cards are written, once
+
+
+def test_references_are_decoded_outside_the_jvm_and_only_where_there_are_some(spark):
+    df = spark.createDataFrame([("a &notit; &copyx",), ("plain",), (None,)], "t string").withColumn("d", decode_references("t"))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in text and "Contains(t" in text and "CounterClockwise" not in text
+    assert [r.d for r in df.collect()] == ["a ¬it; ©x", "plain", None]

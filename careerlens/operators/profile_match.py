@@ -48,8 +48,10 @@ def taxonomy_terms(df: DataFrame, skills: Sequence[str], text: str = "text") ->
 def term_frequencies(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Occurrences of every term in every document.
 
-    Grouped by document and term, so no term of its own is a shuffle key.
+    Texts meet by document before they are taken apart: a text is smaller than the rows of its terms, and what follows
+    finds a document's terms in one task. No term is a shuffle key.
     """
+    df = df.select(key, text).repartition(key)
     # the outer form, since a plain explode would tokenise twice (once as a filter)
     words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).filter("term != ''")
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -59,11 +61,11 @@ def top_terms(df: DataFrame, key: str, k: int = 5, text: str = "text") -> DataFr
     """The ``k`` terms of each document with the highest tf * ln(N / df).
 
     Frequent terms are joined by a bounded broadcast, see
-    :func:`careerlens.operators.small_tables.skew_safe_lookup`.
+    :func:`careerlens.operators.small_tables.skew_safe_lookup`. The texts are shuffled once and taken apart three times,
+    and the best of a document's frequent terms are chosen before anything else is shuffled.
     """
     tf = term_frequencies(df, key, text)
-    # naming tf here keeps the shuffle below identical to the one of tf: it is reused
-    doc_freq = tf.filter("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
+    doc_freq = tf.groupBy("term").agg(F.count("*").alias("df"))
     size = df.agg(F.count("*").alias("n")).select("n").scalar()
     doc_freq = doc_freq.select("term", "df", F.ln(size / F.col("df")).alias("idf"))
     rated = skew_safe_lookup(tf, doc_freq, "term", "df", "idf")

@@ -104,3 +104,10 @@ def test_project_ranking_keeps_listed_order_on_ties(spark):
         got.setdefault(r.id, []).append((r.rank, r.project, r.shared_terms))
     assert sorted(got[0]) == [(1, "a", 0), (2, "b", 0), (3, "c", 0)]
     assert sorted(got[1]) == [(1, "c", 1), (2, "a", 0), (3, "b", 0)]
+
+
+def test_frequent_terms_are_answered_without_a_shuffle(spark):
+    facts = spark.range(100).select("id", (F.col("id") % 3).alias("key"))
+    dim = facts.groupBy("key").agg(F.count("*").alias("w")).withColumn("value", F.lit(1.5))
+    text = plan(skew_safe_lookup(facts, dim, "key", "w", "value", hot=50))
+    assert "Union" in text and "__jk" not in text

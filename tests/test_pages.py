@@ -293,3 +293,14 @@ def test_references_are_decoded_outside_the_jvm_and_only_where_there_are_some(sp
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in text and "Contains(t" in text and "CounterClockwise" not in text
     assert [r.d for r in df.collect()] == ["a ¬it; ©x", "plain", None]
+
+
+def test_page_text_is_laid_out_for_rules_that_ask_for_texts_only(monkeypatch):
+    from careerlens.operators import dom
+    from careerlens.plans.site_records import RULES
+
+    forms, layout = [], dom._layout
+    monkeypatch.setattr(dom, "_layout", lambda root, *f, **k: forms.append(len(f)) or layout(root, *f, **k))
+    root = dom.parse_page('<div class="job-1">x<a href="/1">エントリー</a></div>')
+    assert dom._page_cards(root, RULES["mercari"])[1] == [] and len(dom._page_cards(root, RULES["rakuten"])[1]) == 1
+    assert forms == [1, 2]

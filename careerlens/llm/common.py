@@ -74,6 +74,11 @@ def buckets_for(rows: int) -> int:
     return max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET)
 
 
+def bucket_of(spread: Column, rows: int) -> Column:
+    """The bucket of a row in :func:`numbered`. Within a key, numbers follow the bucket, then the order."""
+    return F.pmod(spread, F.lit(buckets_for(rows))).cast("int")
+
+
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], spread: Column, out: str = "rank",
              rows: int | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2 … within each key, without bringing a key's rows into one task.
@@ -82,8 +87,7 @@ def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], s
     whose counts give each bucket its first number. Rows are numbered by bucket, then by ``order``.
     """
     rows = df.count() if rows is None else rows
-    buckets = buckets_for(rows)
-    df = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
+    df = df.withColumn("_bucket", bucket_of(spread, rows))
     same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(key)]
     first = df.groupBy(*key, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,10 +23,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careerlens.llm.common import columns, numbered, written
+from careerlens.llm.common import bucket_of, columns, numbered, written
 
 UNITS = 2
 UNIT_ROWS = 8
@@ -116,13 +116,18 @@ def plan_of(rows: DataFrame, weights: Mapping[str | None, float], unit_rows: int
     return found.where("k < u").drop("u")
 
 
-def schedule(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add block, slot and position to rows that have doc_id and source."""
+def spread_of() -> Column:
+    """The number that deals a source's rows to buckets."""
+    return F.xxhash64("doc_id", F.lit(7))
+
+
+def schedule(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS, count: int | None = None) -> DataFrame:
+    """Add block, slot and position to rows that have doc_id and source. ``count`` is their number, if known."""
     unit_rows = max(1, block_rows // UNITS)
     # written: sampling for ranges and retried tasks read the schedule and do not work it out again
     plan = written(plan_of(rows, weights, unit_rows), "mixing-plan")
     rows = numbered(rows.withColumn("_h", F.xxhash64("doc_id")), ["source"], ["_h", "doc_id"],
-                    F.xxhash64("doc_id", F.lit(7)), "_rank").drop("_h")
+                    spread_of(), "_rank", count).drop("_h")
     rows = rows.withColumn("_unit", F.floor(F.col("_rank") / unit_rows).cast("long"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("_unit") == F.col("k")), "left")
     place = (F.col("slot") * unit_rows + F.pmod("_rank", F.lit(unit_rows))).cast("long")
@@ -138,14 +143,74 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int =
     return schedule(rows, weights, block_rows).select("doc_id", "source", "block", "slot", "position")
 
 
+def same_row(left: DataFrame, right: DataFrame, *keys: str) -> Column:
+    """Equal keys, nulls included."""
+    on = F.lit(True)
+    for key in keys:
+        on = on & left[key].eqNullSafe(right[key])
+    return on
+
+
+def placed_rows(rows: DataFrame, weights: Mapping[str | None, float], block_rows: int, count: int) -> DataFrame:
+    """doc_id, source, position, part of every row, written once. Parts are ranges of positions, numbered in their order."""
+    key = [bucket_of(spread_of(), count), F.xxhash64("doc_id"), F.col("doc_id")]
+    placed = schedule(rows.select("doc_id", "source"), weights, block_rows, count).select("doc_id", "source", "position")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(placed.repartitionByRange(parts, "position", *key).withColumn("part", F.spark_partition_id()), "mixing-places")
+
+
+def with_part(rows: DataFrame, placed: DataFrame, count: int) -> DataFrame:
+    """Add to rows, whose ids are unique within a source, the part that holds their position.
+
+    Positions of a source rise with bucket, hash and id, so a part holds one stretch of them. The firsts of all stretches are sent to
+    the rows: one for each source, and bucket or part."""
+    key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"))
+    bucket = bucket_of(spread_of(), count).alias("_b")
+    firsts = placed.groupBy("source", bucket, "part").agg(F.min(key).alias("first"))
+    firsts = written(firsts.groupBy("source", "_b").agg(F.sort_array(F.collect_list(F.struct("first", "part"))).alias("_firsts")),
+                     "mixing-parts")
+    rows = rows.withColumn("_b", bucket)
+    found = rows.join(F.broadcast(firsts), same_row(rows, firsts, "source", "_b"), "left").select(
+        *[rows[c] for c in rows.columns], firsts["_firsts"])
+    return found.withColumn("part", F.element_at(F.filter("_firsts", lambda f: f["first"] <= key), -1)["part"]).drop("_b", "_firsts")
+
+
+def repeats_placed(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """part, source, doc_id, row, position of rows whose ids are repeated within a source: the n-th of the rows takes the n-th
+    place. They are written, so that a retried task finds each row at its place."""
+    nth = Window.partitionBy("source", "doc_id")
+    rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy(F.lit(0))))
+    placed = placed.withColumn("_nth", F.row_number().over(nth.orderBy("position", "part")))
+    both = rows.join(placed, same_row(rows, placed, "source", "doc_id", "_nth"))
+    return written(both.select("part", rows["source"], rows["doc_id"], "row", "position"), "mixing-repeats")
+
+
 def mixed_rows(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = BLOCK_ROWS,
                id_col: str = "doc_id", source_col: str = "source", position_col: str | None = None) -> DataFrame:
     """All rows with all their columns in the order of the mixture, by ranges of positions. ``position_col`` names a last
-    column for the positions."""
+    column for the positions.
+
+    Ids and sources alone are scheduled. A row's part of the mixture is looked up by its id, and the row is moved there once,
+    together with its position. Rows that repeat an id of their source are few or none; they are moved three times."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
                        F.col(f"`{source_col}`").cast("string").alias("source"))
-    rows = schedule(rows, weights, block_rows).select("row", "position")
-    return rows.repartitionByRange("position").sortWithinPartitions("position").select(
+    count = rows.count()
+    placed = placed_rows(rows, weights, block_rows, count)
+    again = written(placed.groupBy("source", "doc_id").count().where("count > 1").select("source", "doc_id"), "mixing-again")
+    once, places, repeats = rows, placed, None
+    if not again.isEmpty():
+        of_rows, of_places = same_row(rows, again, "source", "doc_id"), same_row(placed, again, "source", "doc_id")
+        once, places = rows.join(again, of_rows, "left_anti"), placed.join(again, of_places, "left_anti")
+        repeats = repeats_placed(rows.join(again, of_rows, "left_semi"), placed.join(again, of_places, "left_semi"))
+    kept = ["part", "source", "doc_id", "row", "position"]
+    moved = with_part(once, places, count).withColumn("position", F.lit(None).cast("bigint")).select(kept).unionByName(
+        places.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)).select(kept))
+    if repeats is not None:
+        moved = moved.unionByName(repeats)
+    # rows of one id and source lie in one part: the window moves nothing
+    own = F.max("position").over(Window.partitionBy("part", "source", "doc_id"))
+    moved = moved.repartitionByRange("part").withColumn("position", F.coalesce("position", own)).where("row is not null")
+    return moved.sortWithinPartitions("position").select(
         "row.*", *([F.col("position").alias(position_col)] if position_col else []))
 
 

@@ -609,6 +609,41 @@ def test_mixed_rows_are_all_rows_in_order(spark, sf):
     assert got == want
 
 
+def test_mixed_rows_move_texts_once(spark, sf):
+    """With no table small enough to be sent whole, one shuffle carries the texts, whatever their number."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = read(spark, sf, "documents")
+        got = mixing.mixed_rows(frame, mixing.tempered_weights(frame), position_col="p")
+        plan = got._jdf.queryExecution().executedPlan()
+        nodes, exchanges = [plan.initialPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                exchanges.append(node.output().toString())
+        assert len([e for e in exchanges if "row#" in e or "text#" in e]) == 1
+        places = got.select("p").toPandas()["p"]
+        assert places.is_monotonic_increasing and places.is_unique and len(places) == frame.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_mixed_rows_of_repeated_ids(spark):
+    """Repeated, null and text ids, null sources and sources without a weight: every row once, at the places of the schedule."""
+    rows = [(str(i % 500) if i % 50 else None, f"text {i % 900}", (None, "a", "b", "none")[i * 7 % 4]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(5)
+    weights = {"a": 3.0, "b": 1.0, None: 0.5}
+    got = written(mixing.mixed_rows(frame, weights, position_col="p"), "mixed-repeats")
+    assert sorted(map(tuple, got.drop("p").collect()), key=repr) == sorted(rows, key=repr)
+    want = mixing.mix(frame, weights)
+    assert sorted(map(repr, got.select("doc_id", "source", "p").collect())) == sorted(
+        map(repr, want.select("doc_id", "source", F.col("position").alias("p")).collect()))
+    ordered = [r["p"] for r in mixing.mixed_rows(frame, weights, position_col="p").collect() if r["p"] is not None]
+    assert ordered == sorted(ordered) and len(set(ordered)) == len(ordered) == sum(r[2] != "none" for r in rows)
+
+
 def test_url_rules():
     assert {r for _, r in url_reputation.RULES} == {"net/", "example.net/en/", "example.com/de/", "org/fr/"}
 

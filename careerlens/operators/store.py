@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlens import schemas
@@ -360,29 +360,30 @@ def insert_run(spark: SparkSession, root: str, postings: DataFrame, run_id: str)
 
 
 def insert_counted(spark: SparkSession, root: str, postings: DataFrame, run_id: str) -> tuple[DataFrame, dict[str, int]]:
-    """As :func:`insert_run`, with the numbers of ``matches`` (rows given), ``added`` and ``duplicates`` as the write
-    itself observed them: nothing is read again to count."""
+    """As :func:`insert_run`, with the numbers of ``matches`` (rows given), ``added`` and ``duplicates``.
+
+    Given rows are counted as they are kept for the write, added ones from the footers of the run's files. A write observes
+    nothing where a plan turns out to be empty, so its observations do not do."""
     day = F.coalesce(F.to_date("date_found"), F.lit(NO_DAY).cast("date"))
-    given, added = Observation(f"given-{run_id}"), Observation(f"added-{run_id}")
-    # read twice: for the filter and to write. A lost block is recomputed.
+    # read three times: for the filter, to write and to count. A lost block is recomputed.
     batch = postings.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         known = known_urls(spark, root, batch, run_id)
         # the filter first, of all that is given: a url that is stored is always in it
         filter_rows(batch).write.mode("overwrite").parquet(f"{root}/filter/run_id={run_id}")
-        rows = batch.observe(given, F.count(F.lit(1)).alias("n"))
-        fresh = rows if known is None else rows.join(known, "url", "left_anti")
+        fresh = batch if known is None else batch.join(known, "url", "left_anti")
         fresh = fresh.select(*schemas.POSTINGS.names, day.alias("found_day"), F.lit(run_id).alias("run_id"))
         path = _version_path(spark, root)
         for name in _children(spark, path):
             if name.startswith("found_day="):
                 _delete(spark, f"{path}/{name}/run_id={run_id}")
-        _write_bucketed(fresh.observe(added, F.count(F.lit(1)).alias("n")), path, ("found_day", "run_id"))
+        _write_bucketed(fresh, path, ("found_day", "run_id"))
+        matches = batch.count()
     finally:
         batch.unpersist()
         _delete(spark, f"{root}/possible/run_id={run_id}")
-    counts = {"matches": given.get["n"], "added": added.get["n"]}
-    return inserted_by(spark, root, run_id), {**counts, "duplicates": counts["matches"] - counts["added"]}
+    added = stored_postings(spark, root).where(F.col("run_id") == run_id).count()
+    return inserted_by(spark, root, run_id), {"matches": matches, "added": added, "duplicates": matches - added}
 
 
 def inserted_by(spark: SparkSession, root: str, run_id: str) -> DataFrame:

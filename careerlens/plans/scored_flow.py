@@ -87,7 +87,7 @@ def match_postings(matches: DataFrame, found: Column) -> DataFrame:
 
 
 def save_scan(matches: DataFrame, root: str, run_id: str, found: Column) -> tuple[DataFrame, dict[str, int]]:
-    """Store a run's matches; returns the inserted postings and the counts that the write itself observed.
+    """Store a run's matches; returns the inserted postings and their counts.
 
     ``matches``: urls with a match, ``added``: new ones, ``duplicates``: the rest.
     """

@@ -37,6 +37,16 @@ def test_insert_if_absent_twice_is_once(spark, tmp_path, rows):
     assert tuple(summary) == (3, 1, 2)
 
 
+def test_counts_of_inserts_without_a_new_row(spark, tmp_path):
+    root = str(tmp_path)
+    batch = store.as_postings(_batch(spark, ("c", "t", "a", "k"), ("c", "t", "b", "k")), at(), matched=F.col("keywords"))
+    assert store.insert_counted(spark, root, batch.limit(0), "r0")[1] == {"matches": 0, "added": 0, "duplicates": 0}
+    assert store.insert_counted(spark, root, batch.where("url = 'a'"), "r1")[1] == {"matches": 1, "added": 1, "duplicates": 0}
+    for run_id, added in (("r2", 1), ("r2", 1), ("r3", 0), ("r3", 0)):
+        rows, counts = store.insert_counted(spark, root, batch, run_id)
+        assert counts == {"matches": 2, "added": added, "duplicates": 2 - added} and rows.count() == added
+
+
 def test_new_rows_keeps_the_first_by_order(spark, rows):
     history = spark.createDataFrame([("b",)], "url string")
     batch = _batch(spark, ("c1", "first", "a", "k"), ("c1", "x", "b", "k"), ("c2", "second", "a", "k"))
